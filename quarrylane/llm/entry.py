@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, pieces, quality, urlfilter
+from . import mixing, pieces, quality, simhash, urlfilter
 
 
 def queries() -> dict:
     return {
+        "op2_simhash": simhash.op2_simhash,
         "op4_sentencepiece": pieces.op4_sentencepiece,
         "op5_quality_rules": quality.op5_quality_rules,
         "op7_mixing": mixing.op7_mixing,

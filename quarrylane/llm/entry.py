@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, pieces, quality, simhash, urlfilter
+from . import linededup, mixing, pieces, quality, simhash, urlfilter
 
 
 def queries() -> dict:
@@ -10,10 +10,11 @@ def queries() -> dict:
         "op2_simhash": simhash.op2_simhash,
         "op4_sentencepiece": pieces.op4_sentencepiece,
         "op5_quality_rules": quality.op5_quality_rules,
+        "op6_line_dedup": linededup.op6_line_dedup,
         "op7_mixing": mixing.op7_mixing,
         "op8_url_filters": urlfilter.op8_url_filters,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mixing": mixing.OP7_SQL, "op8_url_filters": urlfilter.OP8_SQL}
+    return {"op6_line_dedup": linededup.OP6_SQL, "op7_mixing": mixing.OP7_SQL, "op8_url_filters": urlfilter.OP8_SQL}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import linededup, mixing, ngrams, pieces, quality, simhash, urlfilter
+from . import linededup, mixing, ngrams, pieces, quality, simhash, toxicity, urlfilter
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op6_line_dedup": linededup.op6_line_dedup,
         "op7_mixing": mixing.op7_mixing,
         "op8_url_filters": urlfilter.op8_url_filters,
+        "op9_toxicity": toxicity.op9_toxicity,
         "op10_lm_scoring": ngrams.op10_lm_scoring,
     }
 

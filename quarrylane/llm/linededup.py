@@ -28,15 +28,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .text import let, materialize, table, words
+from .text import SPACES, let, materialize, table
 
 #: Lines with fewer words are not compared and always stay.
 MIN_WORDS = 5
 _LAST = 9223372036854775807
 
 
-def _halves(w: Column, n: Column) -> Column:
-    """Keys one of which two lines one edit apart, or equal, share.
+#: Rows of a side that may be broadcast, at most; counted before, and larger sides are joined by a shuffle.
+MOST_BROADCAST = 500_000
+_GAP, _WORD = "[\\x20\\x09-\\x0D]", "[^\\x20\\x09-\\x0D]"
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """A materialized DataFrame, marked for broadcast if it has been counted to be small."""
+    return F.broadcast(df) if df.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else df
+
+
+def _compared(line: Column, min_words: int) -> Column:
+    """Whether a line has min_words words."""
+    return line.rlike(f"^{_GAP}*(?:{_WORD}+{_GAP}+){{{min_words - 1}}}{_WORD}") if min_words > 0 else F.lit(True)
+
+
+def _normal(line: Column) -> Column:
+    """Words joined by single spaces."""
+    return F.regexp_replace(F.btrim(line, F.lit(SPACES)), f"{_GAP}+", " ")
+
+
+def _halves(t: Column, n: Column) -> Column:
+    """Keys one of which two lines one edit apart, or equal, share; t has n words joined by single spaces.
 
     For two such lines of m and m or m + 1 words, either the first or the last m // 2 words agree. A line
     of n words can be the shorter or the longer one, so both m = n and m = n - 1 count. Lengths are taken
@@ -48,33 +68,33 @@ def _halves(w: Column, n: Column) -> Column:
         power = F.call_function("shiftleft", F.lit(1), F.length(F.bin(h)) - 1)
         return F.when(h < 2, h).when(h * 2 >= power * 3, (power * 3 / 2).cast("int")).otherwise(power).cast("int")
 
-    keys = []
-    for m in (n, n - 1):
-        k = scale(half(m))
-        keys += [F.xxhash64(F.lit("first"), k, F.array_join(F.slice(w, F.lit(1), k), " ")), F.xxhash64(F.lit("last"), k, F.array_join(F.slice(w, F.greatest(n - k + 1, F.lit(1)), k), " "))]
-    return F.array_distinct(F.array(*keys))
+    first = lambda k: F.call_function("substring_index", t, F.lit(" "), k)
+    keys = lambda k: F.array(F.xxhash64(F.lit("first"), k, first(k)), F.xxhash64(F.lit("last"), k, first(-k)))
+    return let(F.struct(scale(half(n)).alias("a"), scale(half(n - 1)).alias("b")), lambda k: F.when(k["a"] == k["b"], keys(k["a"])).otherwise(F.concat(keys(k["a"]), keys(k["b"]))))
 
 
-def lines_of(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(d, pos, w, n): the lines that are compared; d is the doc_id, null as the largest long."""
+def _places(docs: DataFrame, min_words: int) -> DataFrame:
+    """(d, pos, line): the lines that are compared; d is the doc_id, null as the largest long."""
     split = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("d"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return split.select("d", "pos", words(F.col("line")).alias("w")).withColumn("n", F.size("w")).filter(F.col("n") >= min_words)
+    return split.filter(_compared(F.col("line"), min_words))
 
 
-def first_places(docs: DataFrame, min_words: int = MIN_WORDS, keyed: bool = False) -> DataFrame:
-    """(digest, at struct<d, pos>): the earliest place of each distinct line; keyed adds its half-line keys."""
-    lines = lines_of(docs, min_words).select(F.unhex(F.md5(F.array_join("w", " "))).alias("digest"), F.struct("d", "pos").alias("at"), *([_halves(F.col("w"), F.col("n")).alias("keys")] if keyed else []))
-    return lines.groupBy("digest").agg(F.min("at").alias("at"), *([F.first("keys").alias("keys")] if keyed else []))
+def first_places(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(digest binary, at struct<d, pos>, keys array<long>): the earliest place of each distinct line and its half-line keys."""
+    known = let(_normal(F.col("line")), lambda t: F.struct(F.unhex(F.md5(t)).alias("digest"), let(F.octet_length(t) - F.octet_length(F.replace(t, F.lit(" "), F.lit(""))) + 1, lambda n: _halves(t, n)).alias("keys")))
+    lines = _places(docs, min_words).select(F.struct("d", "pos").alias("at"), known.alias("known")).select("at", "known.digest", "known.keys")
+    return lines.groupBy("digest").agg(F.min("at").alias("at"), F.first("keys").alias("keys"))
 
 
 def _neighbourhood(lines: DataFrame) -> DataFrame:
-    """lines (d, pos, w, n) -> (v, m, gone, at): hash and word count of the line itself (gone null) and of it without word gone."""
-    each = lines.select(F.struct("d", "pos").alias("at"), "n", F.posexplode("w").alias("i", "word"))
-    along = Window.partitionBy("at").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy("at")
-    here, left = F.xxhash64("word", "i"), F.xxhash64("word", F.col("i") - 1)  # as the word counts where it is, and one place to the left
-    hashed = each.select("at", "n", "i", here.alias("here"), left.alias("left"))
-    run = hashed.select("at", "n", "i", "here", "left", F.bit_xor("here").over(along).alias("here_to"), F.bit_xor("left").over(along).alias("left_to"), F.bit_xor("here").over(whole).alias("here_all"), F.bit_xor("left").over(whole).alias("left_all"))
+    """lines (d, pos, w) -> (v, m, gone, at): hash and word count of the line itself (gone null) and of it without word gone."""
+    each = lines.select("d", "pos", F.size("w").alias("n"), F.posexplode(F.transform("w", lambda x: F.xxhash64(x))).alias("i", "h"))
+    along = Window.partitionBy("d", "pos").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = Window.partitionBy("d", "pos")
+    here, left = F.xxhash64("h", "i"), F.xxhash64("h", F.col("i") - 1)  # as the word counts where it is, and one place to the left
+    run = each.repartition("d", "pos").select("d", "pos", "n", "i", here.alias("here"), left.alias("left")).select(
+        F.struct("d", "pos").alias("at"), "n", "i", "here", F.bit_xor("here").over(along).alias("here_to"), F.bit_xor("left").over(along).alias("left_to"), F.bit_xor("here").over(whole).alias("here_all"), F.bit_xor("left").over(whole).alias("left_all")
+    )
     without = F.col("here_to").bitwiseXOR(F.col("here")).bitwiseXOR(F.col("left_to")).bitwiseXOR(F.col("left_all"))
     itself = F.struct(F.col("here_all").alias("v"), F.col("n").alias("m"), F.lit(None).cast("int").alias("gone"))
     variant = F.struct(without.alias("v"), (F.col("n") - 1).alias("m"), F.col("i").alias("gone"))
@@ -90,29 +110,32 @@ def _one_edit(a: Column, b: Column) -> Column:
     return (m - n <= 1) & let(common(short, long, n), rest)
 
 
-def later_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(at): earliest places of distinct lines that have an earlier line one edit apart, among docs (doc_id, text)."""
-    places = first_places(docs, min_words, keyed=True)
-    keys = places.select("digest", "at", F.explode("keys").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).filter("low <> high").select("key")
-    found = keys.join(shared, "key", "left_semi").select("at.d", "at.pos").distinct()
-    here = found.groupBy("d").agg(F.collect_set("pos").alias("positions"))
-    source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("d"), F.split("text", "\n").alias("lines")).join(here, "d")
-    picked = source.select("d", F.explode("positions").alias("pos"), "lines").select("d", "pos", words(F.get("lines", F.col("pos"))).alias("w")).withColumn("n", F.size("w")).filter(F.col("n") >= min_words)
+def later_lines(docs: DataFrame, places: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(at): earliest places of distinct lines that have an earlier line one edit apart, among docs (doc_id, text) with their first_places."""
+    keys = places.select(F.xxhash64("digest").alias("id"), "at", F.explode("keys").alias("key"))
+    shared = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high").select("key")
+    found = materialize(keys.select("at", "key").join(shared, "key", "left_semi").select("at.d", "at.pos").distinct(), "found")
+    here = _small(materialize(found.groupBy("d").agg(F.collect_set("pos").alias("positions")), "documents-of-found"))
+    source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("d"), "text").join(here, "d")
+    chosen = F.filter(F.transform(F.split("text", "\n"), lambda line, i: F.struct(i.alias("pos"), line.alias("line"))), lambda x: F.array_contains("positions", x["pos"]))
+    picked = source.select("d", F.inline(chosen)).filter(_compared(F.col("line"), min_words)).select("d", "pos", F.split(_normal(F.col("line")), " ").alias("w"))
     lines = materialize(picked.dropDuplicates(["d", "pos"]), "lines")
 
-    near = _neighbourhood(lines)
-    same_place = near.filter("gone IS NOT NULL").groupBy("v", "m", "gone").agg(F.min("at").alias("first"), F.count("*").alias("k")).filter("k > 1").drop("k")
-    replaced = near.filter("gone IS NOT NULL").join(same_place, ["v", "m", "gone"]).filter("first < at").select("at", "first")
+    every = materialize(_neighbourhood(lines), "neighbourhood")
+    several = _small(materialize(every.groupBy("v", "m").agg(F.count("*").alias("k")).filter("k > 1").select("v", "m"), "variants"))
+    near = materialize(every.join(several, ["v", "m"]), "near")
+    variants = near.filter("gone IS NOT NULL")
+    same_place = variants.groupBy("v", "m", "gone").agg(F.min("at").alias("first"))
+    replaced = variants.join(same_place, ["v", "m", "gone"]).filter("first < at").select("at", "first")
     whole = F.min(F.when(F.col("gone").isNull(), F.col("at"))).alias("itself")
     variant = F.min(F.when(F.col("gone").isNotNull(), F.col("at"))).alias("variant")
     inserted = near.groupBy("v", "m").agg(whole, variant).filter("itself IS NOT NULL AND variant IS NOT NULL")
     lacks_word = inserted.filter("variant < itself").select(F.col("itself").alias("at"), F.col("variant").alias("first"))
-    has_word = near.filter("gone IS NOT NULL").join(inserted.select("v", "m", "itself"), ["v", "m"]).filter("itself < at").select("at", F.col("itself").alias("first"))
+    has_word = variants.join(inserted.select("v", "m", "itself"), ["v", "m"]).filter("itself < at").select("at", F.col("itself").alias("first"))
     pairs = replaced.union(lacks_word).union(has_word).distinct()
     text = lines.select(F.struct("d", "pos").alias("at"), "w")
     verified = pairs.join(text, "at").join(text.select(F.col("at").alias("first"), F.col("w").alias("first_w")), "first").filter(_one_edit(F.col("w"), F.col("first_w")))
-    return verified.select("at").distinct()
+    return materialize(verified.select("at").distinct(), "later-lines")
 
 
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -127,13 +150,12 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """
     own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     thin = docs.select("doc_id", "text")
-    places = first_places(thin, min_words).select("at")
-    kept = places.join(later_lines(thin, min_words), "at", "left_anti").select("at.d", "at.pos").groupBy("d").agg(F.collect_set("pos").alias("__kept"))
+    places = materialize(first_places(thin, min_words), "places")
+    kept = places.select("at").join(later_lines(thin, places, min_words), "at", "left_anti").select("at.d", "at.pos").groupBy("d").agg(F.collect_set("pos").alias("__kept"))
     joined = docs.select(*own, F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("__d")).join(kept.withColumnRenamed("d", "__d"), "__d", "left")
-    short = lambda line: F.size(words(line)) < min_words
 
     def rebuilt(lines: Column) -> Column:
-        always = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: short(F.get(lines, i)))
+        always = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: ~_compared(F.get(lines, i), min_words))
         stay = F.array_sort(F.array_union(always, F.coalesce(F.array_intersect(F.col("__kept"), F.sequence(F.lit(0), F.size(lines) - 1)), F.array().cast("array<int>"))))
         return let(stay, lambda s: F.struct(F.array_join(F.transform(s, lambda i: F.get(lines, i)), "\n").alias("text"), F.size(lines).cast("long").alias("n"), (F.size(lines) - F.size(s)).cast("long").alias("gone")))
 

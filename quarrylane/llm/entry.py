@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import linededup, mixing, ngrams, pieces, quality, simhash, toxicity, urlfilter
+from . import linededup, mixing, ngrams, pieces, quality, simhash, topk, toxicity, urlfilter
 
 
 def queries() -> dict:
     return {
+        "op1_topk": topk.op1_topk,
         "op2_simhash": simhash.op2_simhash,
         "op4_sentencepiece": pieces.op4_sentencepiece,
         "op5_quality_rules": quality.op5_quality_rules,
@@ -19,4 +20,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_line_dedup": linededup.OP6_SQL, "op7_mixing": mixing.OP7_SQL, "op8_url_filters": urlfilter.OP8_SQL}
+    return {"op1_topk": topk.OP1_SQL, "op6_line_dedup": linededup.OP6_SQL, "op7_mixing": mixing.OP7_SQL, "op8_url_filters": urlfilter.OP8_SQL}

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import linededup, mixing, ngrams, pieces, quality, simhash, topk, toxicity, urlfilter
+from . import licenses, linededup, mixing, ngrams, pieces, quality, simhash, topk, toxicity, urlfilter
 
 
 def queries() -> dict:
     return {
         "op1_topk": topk.op1_topk,
         "op2_simhash": simhash.op2_simhash,
+        "op3_license_scan": licenses.op3_license_scan,
         "op4_sentencepiece": pieces.op4_sentencepiece,
         "op5_quality_rules": quality.op5_quality_rules,
         "op6_line_dedup": linededup.op6_line_dedup,
@@ -20,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk": topk.OP1_SQL, "op6_line_dedup": linededup.OP6_SQL, "op7_mixing": mixing.OP7_SQL, "op8_url_filters": urlfilter.OP8_SQL}
+    return {"op1_topk": topk.OP1_SQL, "op3_license_scan": licenses.OP3_SQL, "op6_line_dedup": linededup.OP6_SQL, "op7_mixing": mixing.OP7_SQL, "op8_url_filters": urlfilter.OP8_SQL}

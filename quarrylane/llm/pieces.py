@@ -19,6 +19,7 @@ import re
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -193,8 +194,11 @@ class Codec:
         return self.parts(self.prefix + text.replace(" ", SPACE)) if text else []
 
     def encode(self, text: str) -> list[int]:
-        memo = self.memo
-        return [int(i) for p in self._split(text) for i in memo[p][0].split(",")]
+        return self.encode_array(text).tolist()
+
+    def encode_array(self, text: str | None) -> np.ndarray:
+        written = ",".join([p[0] for p in map(self.memo.__getitem__, self._split(text or ""))])
+        return np.fromstring(written, dtype=np.int32, sep=",") if written else np.zeros(0, dtype=np.int32)
 
     def _raw(self, ids: list[int]) -> str:
         """The pieces' text with spaces, without regard to the start of a text."""
@@ -263,7 +267,7 @@ def _mapped(df: DataFrame, model: bytes, column: str, schema: str, make) -> Data
 
 def encode(docs: DataFrame, model: bytes) -> DataFrame:
     """Adds ids array<int> to docs (text, ...): no ids for a null or empty text. Rows stay as many; a column named ids is replaced."""
-    return _mapped(docs, model, "text", "ids array<int>", lambda codec, text: (codec.encode(text or ""),))
+    return _mapped(docs, model, "text", "ids array<int>", lambda codec, text: (codec.encode_array(text),))
 
 
 def decode(rows: DataFrame, model: bytes) -> DataFrame:

@@ -34,51 +34,60 @@ def quantized(vector: Column, scale: int = 256) -> Column:
     return F.when(F.coalesce(whole, F.lit(False)), F.transform(vector, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("int")))
 
 
+#: Shares of the lists after which bounds are looked at.
+CHECKS = (0.5, 0.75, 0.875, 1.0)
+
+
 class Block:
-    """Distinct vectors of a block with a sorted list for each dimension."""
+    """Distinct vectors of a block with a sorted list for each dimension and direction."""
 
     def __init__(self, vectors: np.ndarray, ids: list[np.ndarray]):
         self.vectors, self.ids = np.ascontiguousarray(vectors, dtype=np.int64), ids  # ids: ascending, of each vector
         n, d = self.vectors.shape
-        order = np.argsort(self.vectors, axis=0, kind="stable").T
-        self.lists = np.concatenate([order[:, ::-1], order])  # 2d lists: descending components, then ascending ones
-        self.values = np.concatenate([np.take_along_axis(self.vectors.T, order, 1)[:, ::-1], np.take_along_axis(self.vectors.T, order, 1)])
-        self.flat = np.arange(d)
-
-    def search(self, own: int, query: np.ndarray, k: int) -> list[tuple[int, int]]:
-        """The k best (score, id) of this block, without id `own`; ties to smaller ids."""
+        rising = np.argsort(self.vectors, axis=0, kind="stable").T
+        self.lists = np.concatenate([rising[:, ::-1], rising])  # d lists with components falling, then d with them rising
+        values = np.take_along_axis(self.vectors.T, rising, 1).astype(np.float64)
+        self.values = np.concatenate([values[:, ::-1], values])
+        self.place = np.empty((2 * d, n), dtype=np.int32)  # of each vector in each list
+        np.put_along_axis(self.place, self.lists, np.arange(n, dtype=np.int32)[None, :], 1)
+
+    def candidates(self, query: np.ndarray, need: int) -> np.ndarray:
+        """Vectors of which the `need` best are a part: read from the lists until no other can be.
+
+        Whole numbers in doubles are exact up to 2^53.
+        """
         n, d = self.vectors.shape
         used = np.flatnonzero(query)
         rows = np.where(query[used] > 0, used, used + d)
-        weight = query[used]
-        least = self.values[rows, n - 1] * weight  # the smallest contribution that a list has
-        seen = np.zeros(n, dtype=np.int64)  # contributions read so far
-        floor = np.zeros(n, dtype=np.int64)  # the least contributions of the lists in which a vector was read
-        marks = np.zeros((len(used), n), dtype=bool)
-        need = min(n, k + 1)  # one of them may be the query's own
-        depth, candidates = 0, np.arange(n)
-        while depth < n:
-            stop = min(n, max(depth + 64, depth * 3 // 2))
-            at = self.lists[rows, depth:stop]
-            gains = self.values[rows, depth:stop] * weight[:, None]
-            seen += np.bincount(at.ravel(), gains.ravel().astype(np.float64), n).astype(np.int64)
-            floor += np.bincount(at.ravel(), np.repeat(least, stop - depth).astype(np.float64), n).astype(np.int64)
-            marks[np.arange(len(used))[:, None], at] = True
+        weight = query[used].astype(np.float64)[:, None]
+        least = self.values[rows, n - 1] * weight[:, 0]  # the smallest contribution that each list has
+        seen, depth = np.zeros(n), 0  # contributions read so far
+        place = self.place[rows]
+        for share in CHECKS:
+            stop = max(min(n, need), int(n * share))
+            gains = self.values[rows, depth:stop] * weight
+            seen += np.bincount(self.lists[rows, depth:stop].ravel(), gains.ravel(), n)
             depth = stop
+            if depth >= n:
+                break
             frontier = gains[:, -1]
-            lower = seen + (least.sum() - floor)
-            bound = np.partition(lower, n - need)[n - need]
-            if depth < n and frontier.sum() >= bound:
+            unread = np.stack([least, frontier]) @ (place >= depth).astype(np.float64)  # what a vector gains where it wasn't met, at least and at most
+            bound = np.partition(seen + unread[0], n - need)[n - need]
+            if frontier.sum() >= bound:
                 continue  # a vector that no list has shown yet could still qualify
-            upper = seen + (frontier.sum() - frontier @ marks)
-            candidates = np.flatnonzero(upper >= bound)
-            if len(candidates) <= max(8 * need, n // 32):
-                break
-        scores = self.vectors[candidates][:, used] @ weight  # resolved
-        best = np.lexsort((candidates, -scores))
-        edge = scores[best[min(need, len(best)) - 1]]
-        found = [(-int(s), int(i)) for c, s in zip(candidates[best], scores[best]) if s >= edge for i in self.ids[c] if i != own]
-        return [(-s, i) for s, i in sorted(found)[:k]]
+            able = np.flatnonzero(seen + unread[1] >= bound)
+            if len(able) <= max(8 * need, n // 16):
+                return able
+        return np.flatnonzero(seen >= np.partition(seen, n - need)[n - need])
+
+    def search(self, own: int, query: np.ndarray, k: int) -> list[tuple[int, int]]:
+        """The k best (score, id) of this block, without id `own`; ties to smaller ids."""
+        need = min(len(self.vectors), k + 1)  # one of them may be the query's own
+        found = self.candidates(query, need)
+        scores = self.vectors[found] @ query  # resolved
+        edge = np.partition(scores, len(scores) - need)[len(scores) - need]
+        best = [(-int(s), int(i)) for c, s in zip(found, scores) if s >= edge for i in self.ids[c] if i != own]
+        return [(-s, i) for s, i in sorted(best)[:k]]
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, vector_block: int = VECTOR_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:

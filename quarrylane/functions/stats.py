@@ -9,6 +9,7 @@ from statistics import NormalDist
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 
 def _s(x) -> int:
@@ -33,7 +34,7 @@ def mann_kendall_of(x) -> tuple[float, float, str]:
     return tau, min(1.0, math.erfc(max(abs(s) - 1, 0) / math.sqrt(variance) / math.sqrt(2))), direction
 
 
-@F.pandas_udf("tau double, p_value double, direction string")
+@F.pandas_udf(StructType([StructField("tau", DoubleType()), StructField("p_value", DoubleType()), StructField("direction", StringType())]))
 def _mann_kendall(series: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([mann_kendall_of([int(v) for v in x]) if x is not None else (None, None, None) for x in series], columns=["tau", "p_value", "direction"])
 
@@ -56,7 +57,7 @@ def fisher_of(n11: int, n12: int, n21: int, n22: int) -> float:
     return min(1.0, sum(math.exp(p) for k in range(max(0, row + col - n), min(row, col) + 1) if (p := log_p(k)) <= seen))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _fisher(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
     return pd.Series([fisher_of(*map(int, t)) for t in zip(a, b, c, d)])
 
@@ -72,7 +73,7 @@ def binomial_tail_of(k: int, n: int, p: float) -> float:
     return min(1.0, math.fsum(math.exp(_log_choose(n, i) + i * math.log(p) + (n - i) * math.log1p(-p)) for i in range(k, n + 1))) if 0 < p < 1 else float(p >= 1 and k <= n)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _binomial_tail(k: pd.Series, n: pd.Series, p: pd.Series) -> pd.Series:
     return pd.Series([binomial_tail_of(int(a), int(b), float(c)) for a, b, c in zip(k, n, p)])
 
@@ -81,7 +82,7 @@ def binomial_tail(k: Column, n: Column, p: Column) -> Column:
     return _binomial_tail(k, n, p)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _mcnemar(b: pd.Series, c: pd.Series) -> pd.Series:
     return pd.Series([min(1.0, 2 * math.fsum(math.exp(_log_choose(int(x + y), i) - (x + y) * math.log(2)) for i in range(int(min(x, y)) + 1))) if x + y else 1.0 for x, y in zip(b, c)])
 
@@ -91,7 +92,7 @@ def mcnemar(b: Column, c: Column) -> Column:
     return _mcnemar(b, c)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _phi(z: pd.Series) -> pd.Series:
     return z.map(lambda v: None if v is None or v != v else NormalDist().cdf(v))
 

@@ -85,7 +85,8 @@ def betweenness(edges: DataFrame, parts: int | None = None) -> DataFrame:
                         depends[v] += paths[v] / paths[w] * (1 + depends[w])
                     if w != source:
                         sums[w] += depends[w]
-        yield pd.DataFrame({"node": list(sums), "b": list(sums.values())})
+        if sums:
+            yield pd.DataFrame({"node": list(sums), "b": list(sums.values())})
 
     nodes = spark.createDataFrame([(v,) for v in sorted(near)], f"node {kind}").repartition(parts or spark.sparkContext.defaultParallelism, "node")
     sums = nodes.mapInPandas(run, f"node {kind}, b double").groupBy("node").agg(F.sum("b").alias("b"))

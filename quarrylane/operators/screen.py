@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from quarrylane.functions import text as T
 
@@ -91,7 +92,7 @@ def fingerprint(x: str | None, prefix: int = 2000) -> int:
     return int(np.packbits(2 * votes > len(grams)).view(">i8")[0])
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def _simhash(x: pd.Series) -> pd.Series:
     return x.map(fingerprint)
 

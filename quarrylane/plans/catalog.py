@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import assoc_queries, evaluation_queries, relational_queries, state_queries, text_queries, trend_queries  # noqa: F401
+from . import assoc_queries, evaluation_queries, relational_queries, source_queries, state_queries, text_queries, trend_queries  # noqa: F401
 from .registry import QUERIES, SQL, Query
 
 

@@ -16,7 +16,18 @@ _B = ", b AS (SELECT *, CASE human WHEN 'accept' THEN 1 WHEN 'reject' THEN 0 END
 _CELLS = "count(*) FILTER (WHERE t = 1 AND j = 1) AS tp, count(*) FILTER (WHERE t = 0 AND j = 1) AS fp, count(*) FILTER (WHERE t = 1 AND j = 0) AS fn, count(*) FILTER (WHERE t = 0 AND j = 0) AS tn, count(*) FILTER (WHERE t IS NOT NULL AND j IS NOT NULL) AS n"
 _MCC = "round((tp::DOUBLE * tn - fp::DOUBLE * fn) / nullif(sqrt((tp + fp)::DOUBLE * (tp + fn) * (tn + fp) * (tn + fn)), 0), 9) AS mcc"
 _METRICS = _MCC + ", round(2.0 * tp::DOUBLE / nullif(2 * tp + fp + fn, 0), 9) AS f1, round(tp::DOUBLE / nullif(tp + fp, 0), 9) AS precision, round(tp::DOUBLE / nullif(tp + fn, 0), 9) AS recall, round((tp + tn)::DOUBLE / nullif(tp + fp + fn + tn, 0), 9) AS accuracy, round((tp::DOUBLE / nullif(tp + fn, 0) + tn::DOUBLE / nullif(tn + fp, 0)) / 2, 9) AS balanced_accuracy, round(tn::DOUBLE / nullif(tn + fn, 0), 9) AS npv, round(((tp + tn)::DOUBLE / (tp + fp + fn + tn) - ((tp + fp)::DOUBLE * (tp + fn) + (tn + fn)::DOUBLE * (tn + fp)) / ((tp + fp + fn + tn)::DOUBLE ^ 2)) / nullif(1 - ((tp + fp)::DOUBLE * (tp + fn) + (tn + fn)::DOUBLE * (tn + fp)) / ((tp + fp + fn + tn)::DOUBLE ^ 2), 0), 9) AS kappa"
-_T, _J, _F = (evaluate.binary(F.col(c)) for c in ("human", "v2", "v1"))
+
+
+def _truth():
+    return evaluate.binary(F.col("human"))
+
+
+def _judged():
+    return evaluate.binary(F.col("v2"))
+
+
+def _first():
+    return evaluate.binary(F.col("v1"))
 
 
 @query("a11_coverage", _G + " SELECT stratum, count(*) AS n_total, count(v2) AS n_with_v2, count(*) FILTER (WHERE human = 'uncertain' OR v2 IS NULL) AS n_excluded, count(*) FILTER (WHERE human = 'accept') AS h_accept, count(*) FILTER (WHERE human = 'reject') AS h_reject, count(*) FILTER (WHERE human = 'uncertain') AS h_uncertain, count(*) FILTER (WHERE v2 = 'accept') AS v2_accept, count(*) FILTER (WHERE v2 = 'reject') AS v2_reject FROM g GROUP BY stratum")
@@ -35,12 +46,12 @@ def confusion(spark, d) -> DataFrame:
 
 @query("e01_metrics_by_scope", _G + _B + f", c AS (SELECT stratum AS scope, {_CELLS} FROM b GROUP BY stratum UNION ALL SELECT 'combined', {_CELLS} FROM b) SELECT scope, tp, fp, fn, tn, n, {_METRICS} FROM c")
 def metrics_by_scope(spark, d) -> DataFrame:
-    return evaluate.with_metrics(evaluate.by_scope(view(spark, d, GOLD), "stratum", _T, _J))
+    return evaluate.with_metrics(evaluate.by_scope(view(spark, d, GOLD), "stratum", _truth(), _judged()))
 
 
 @query("e02_metrics_zero", _G + _B + f", c AS (SELECT source AS scope, {_CELLS} FROM b WHERE t = 1 GROUP BY source) SELECT scope, coalesce(round((tp::DOUBLE * tn - fp::DOUBLE * fn) / nullif(sqrt((tp + fp)::DOUBLE * (tp + fn) * (tn + fp) * (tn + fn)), 0), 9), 0) AS mcc, coalesce(round(2.0 * tp::DOUBLE / nullif(2 * tp + fp + fn, 0), 9), 0) AS f1 FROM c")
 def metrics_zero(spark, d) -> DataFrame:
-    cells = view(spark, d, GOLD).filter(_T == 1).groupBy(F.col("source").alias("scope")).agg(*evaluate.counts(_T, _J))
+    cells = view(spark, d, GOLD).filter(_truth() == 1).groupBy(F.col("source").alias("scope")).agg(*evaluate.counts(_truth(), _judged()))
     return evaluate.with_metrics(cells, names=("mcc", "f1")).select("scope", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("mcc", "f1")])
 
 
@@ -51,17 +62,17 @@ def _dimension(key: str, least: int | None) -> str:
 
 @query("a13_metrics_by_source", _dimension("source", 700))
 def metrics_by_source(spark, d) -> DataFrame:
-    return evaluate.by_dimension(view(spark, d, GOLD), "source", _T, _J, 700)
+    return evaluate.by_dimension(view(spark, d, GOLD), "source", _truth(), _judged(), 700)
 
 
 @query("a13_metrics_by_item", _dimension("item", 5))
 def metrics_by_item(spark, d) -> DataFrame:
-    return evaluate.by_dimension(view(spark, d, GOLD), "item", _T, _J, 5)
+    return evaluate.by_dimension(view(spark, d, GOLD), "item", _truth(), _judged(), 5)
 
 
 @query("a13_metrics_by_category", _dimension("category", None))
 def metrics_by_category(spark, d) -> DataFrame:
-    return evaluate.by_dimension(view(spark, d, GOLD), "category", _T, _J)
+    return evaluate.by_dimension(view(spark, d, GOLD), "category", _truth(), _judged())
 
 
 _ERR = "count(*) AS n, count(*) FILTER (WHERE f = 1 AND t = 0) AS v1_fp, count(*) FILTER (WHERE f = 0 AND t = 1) AS v1_fn, count(*) FILTER (WHERE f <> t AND j = t) AS corrected, count(*) FILTER (WHERE f <> t AND j <> t) AS repeated, round(count(*) FILTER (WHERE f <> t AND j = t)::DOUBLE / nullif(count(*) FILTER (WHERE f <> t), 0), 9) AS correction_rate FROM b WHERE error_code IS NOT NULL AND f IS NOT NULL AND t IS NOT NULL AND j IS NOT NULL"
@@ -69,13 +80,13 @@ _ERR = "count(*) AS n, count(*) FILTER (WHERE f = 1 AND t = 0) AS v1_fp, count(*
 
 @query("a14_error_correction", _G + _B + f" SELECT error_code, {_ERR} GROUP BY error_code UNION ALL SELECT '_total', {_ERR}")
 def error_correction(spark, d) -> DataFrame:
-    return evaluate.error_correction(view(spark, d, GOLD), "error_code", _F, _J, _T)
+    return evaluate.error_correction(view(spark, d, GOLD), "error_code", _first(), _judged(), _truth())
 
 
 @query("a15_audit", _G + " SELECT document_id, idx, item, stratum, human, v2, CASE WHEN human = 'accept' THEN 1 WHEN human = 'reject' THEN 0 END AS extractor_correct, CASE WHEN human = 'uncertain' OR v2 IS NULL THEN NULL ELSE (human = v2)::INT END AS pipeline_correct, (human = 'uncertain' OR v2 IS NULL)::INT AS excluded FROM g")
 def audit(spark, d) -> DataFrame:
     out = (F.col("human") == "uncertain") | F.col("v2").isNull()
-    return view(spark, d, GOLD).select("document_id", "idx", "item", "stratum", "human", "v2", _T.alias("extractor_correct"), F.when(~out, (F.col("human") == F.col("v2")).cast("int")).alias("pipeline_correct"), out.cast("int").alias("excluded"))
+    return view(spark, d, GOLD).select("document_id", "idx", "item", "stratum", "human", "v2", _truth().alias("extractor_correct"), F.when(~out, (F.col("human") == F.col("v2")).cast("int")).alias("pipeline_correct"), out.cast("int").alias("excluded"))
 
 
 @query("a16_by_label", _G + " SELECT human, v1, count(*) AS n, count(v2) AS n_with_v2, count(*) FILTER (WHERE v2 = 'accept') AS v2_accept, count(*) FILTER (WHERE v2 = 'reject') AS v2_reject, round(100.0 * count(*) FILTER (WHERE v2 = human)::DOUBLE / nullif(count(v2), 0), 6) AS agree_pct FROM g GROUP BY human, v1")
@@ -124,23 +135,23 @@ _SENS = " UNION ALL ".join(f"SELECT '{name}' AS scenario, stratum, t, {j} AS j F
 
 @query("e08_sensitivity", _G + _B + f", x AS ({_SENS}), c AS (SELECT scenario, stratum AS scope, {_CELLS} FROM x GROUP BY 1, 2 UNION ALL SELECT scenario, 'combined', {_CELLS} FROM x GROUP BY 1) SELECT scope, scenario, tp, fp, fn, tn, n, {_METRICS} FROM c")
 def sensitivity(spark, d) -> DataFrame:
-    return evaluate.sensitivity(view(spark, d, GOLD), "stratum", _T, _J)
+    return evaluate.sensitivity(view(spark, d, GOLD), "stratum", _truth(), _judged())
 
 
 @query("e09_extractor_only", _G + _B + f", x AS (SELECT * REPLACE (1 AS j) FROM b), c AS (SELECT stratum AS scope, {_CELLS} FROM x GROUP BY stratum UNION ALL SELECT 'combined', {_CELLS} FROM x) SELECT scope, tp, fp, fn, tn, n, {_METRICS} FROM c")
 def extractor_only(spark, d) -> DataFrame:
-    return evaluate.with_metrics(evaluate.by_scope(view(spark, d, GOLD), "stratum", _T, F.lit(1)))
+    return evaluate.with_metrics(evaluate.by_scope(view(spark, d, GOLD), "stratum", _truth(), F.lit(1)))
 
 
 @query("e04_bootstrap_bca")
 def bootstrap(spark, d) -> DataFrame:
-    return evaluate.bootstrap(view(spark, d, GOLD), "stratum", _T, _J)
+    return evaluate.bootstrap(view(spark, d, GOLD), "stratum", _truth(), _judged())
 
 
 @query("e07_post_stratified", _G + _B + f", c AS (SELECT stratum AS scope, {_CELLS} FROM b GROUP BY stratum), w AS (SELECT stratum AS scope, count(*) AS w FROM g GROUP BY stratum) SELECT round(sum(2.0 * tp::DOUBLE / (2 * tp + fp + fn) * w) / sum(w), 8) AS point FROM c JOIN w USING (scope)")
 def post_stratified(spark, d) -> DataFrame:
     gold = view(spark, d, GOLD)
-    points = evaluate.with_metrics(gold.groupBy(F.col("stratum").alias("scope")).agg(*evaluate.counts(_T, _J)), names=("f1",)).select("scope", F.col("f1").alias("point"))
+    points = evaluate.with_metrics(gold.groupBy(F.col("stratum").alias("scope")).agg(*evaluate.counts(_truth(), _judged())), names=("f1",)).select("scope", F.col("f1").alias("point"))
     return evaluate.post_stratified(points, gold.groupBy(F.col("stratum").alias("scope")).agg(F.count("*").alias("n"))).select(F.round("point", 8).alias("point"))
 
 

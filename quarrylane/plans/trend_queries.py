@@ -14,7 +14,11 @@ from .registry import query
 _YEARS = list(range(1995, 2002))
 _TYPES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
 _A, _AD = ctes(a=ACCEPTED), ctes(a=ACCEPTED, d=DOCUMENTS)
-_EARLY, _LATE = F.col("year") <= 1997, F.col("year") >= 1998
+
+
+def _periods():
+    """Early and late years."""
+    return F.col("year") <= 1997, F.col("year") >= 1998
 
 
 @query("a01_volume_by_year", _A + "SELECT year, count(*) AS n, count(*) - lag(count(*)) OVER (ORDER BY year) AS yoy_delta, round(100.0 * (count(*) - lag(count(*)) OVER (ORDER BY year)) / lag(count(*)) OVER (ORDER BY year)::DOUBLE, 6) AS yoy_pct FROM a WHERE source <> 'NATION_3' GROUP BY year")
@@ -46,7 +50,7 @@ FROM (SELECT item, count(*) FILTER (WHERE year <= 1997) AS early, count(*) FILTE
 
 @query("a05_emergence", _A + _EMERGENCE)
 def emergence(spark, d) -> DataFrame:
-    return trends.emergence(view(spark, d, ACCEPTED), "item", _EARLY, _LATE, new_from=2000)
+    return trends.emergence(view(spark, d, ACCEPTED), "item", *_periods(), new_from=2000)
 
 
 @query("a05_first_appearances", _A + "SELECT first_year, count(*) AS items FROM (SELECT item, source, min(year) AS first_year FROM a GROUP BY item, source) GROUP BY first_year")
@@ -74,7 +78,7 @@ FROM e WHERE early + late >= 0.05
 
 @query("a08_normalised_emergence", _AD.rstrip() + _NORMALISED)
 def normalised_emergence(spark, d) -> DataFrame:
-    return trends.normalised_emergence(view(spark, d, ACCEPTED), view(spark, d, DOCUMENTS), "item", "source_group", _EARLY, _LATE)
+    return trends.normalised_emergence(view(spark, d, ACCEPTED), view(spark, d, DOCUMENTS), "item", "source_group", *_periods())
 
 
 @query("a09_source_entropy", _A.rstrip() + """, c AS (SELECT year, source, count(*) AS n FROM a GROUP BY year, source), p AS (SELECT *, n / sum(n) OVER (PARTITION BY year) AS p, row_number() OVER (PARTITION BY year ORDER BY n DESC, source) AS r FROM c)
@@ -121,8 +125,8 @@ def trend_matrix(spark, d) -> DataFrame:
 @query("u03_u04_robust_items", _AD.rstrip() + _NORMALISED.replace("SELECT item, round(early", ", norm AS (SELECT item, round(early", 1).replace("FROM e WHERE", "FROM e WHERE", 1).rstrip() + f"), raw AS ({_EMERGENCE}) SELECT coalesce(r.item, n.item) AS item, CASE WHEN r.item IS NOT NULL AND n.item IS NOT NULL THEN 'both' WHEN n.item IS NULL THEN 'raw only' ELSE 'normalised only' END AS found FROM (SELECT item FROM raw WHERE trend <> 'steady') r FULL JOIN (SELECT item FROM norm WHERE trend <> 'steady') n ON r.item = n.item")
 def robust_items(spark, d) -> DataFrame:
     rows, docs = view(spark, d, ACCEPTED), view(spark, d, DOCUMENTS)
-    raw = trends.emergence(rows, "item", _EARLY, _LATE).filter("trend <> 'steady'").select("item")
-    norm = trends.normalised_emergence(rows, docs, "item", "source_group", _EARLY, _LATE).filter("trend <> 'steady'").select("item")
+    raw = trends.emergence(rows, "item", *_periods()).filter("trend <> 'steady'").select("item")
+    norm = trends.normalised_emergence(rows, docs, "item", "source_group", *_periods()).filter("trend <> 'steady'").select("item")
     parts = (raw.intersect(norm), "both"), (raw.exceptAll(norm), "raw only"), (norm.exceptAll(raw), "normalised only")
     one, two, three = (df.withColumn("found", F.lit(name)) for df, name in parts)
     return one.unionByName(two).unionByName(three)

@@ -73,9 +73,14 @@ def _halves(t: Column, n: Column) -> Column:
     return let(F.struct(scale(half(n)).alias("a"), scale(half(n - 1)).alias("b")), lambda k: F.when(k["a"] == k["b"], keys(k["a"])).otherwise(F.concat(keys(k["a"]), keys(k["b"]))))
 
 
+def _document() -> Column:
+    """What tells a document: its id, null as the largest long, and a hash of its text."""
+    return F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"), F.xxhash64("text").alias("h"))
+
+
 def _places(docs: DataFrame, min_words: int) -> DataFrame:
-    """(d, pos, line): the lines that are compared; d is the doc_id, null as the largest long."""
-    split = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("d"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    """(d, pos, line): the lines that are compared, with their document and place."""
+    split = docs.select(_document().alias("d"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     return split.filter(_compared(F.col("line"), min_words))
 
 
@@ -116,7 +121,7 @@ def later_lines(docs: DataFrame, places: DataFrame, min_words: int = MIN_WORDS)
     shared = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high").select("key")
     found = materialize(keys.select("at", "key").join(shared, "key", "left_semi").select("at.d", "at.pos").distinct(), "found")
     here = _small(materialize(found.groupBy("d").agg(F.collect_set("pos").alias("positions")), "documents-of-found"))
-    source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("d"), "text").join(here, "d")
+    source = docs.select(_document().alias("d"), "text").join(here, "d")
     chosen = F.filter(F.transform(F.split("text", "\n"), lambda line, i: F.struct(i.alias("pos"), line.alias("line"))), lambda x: F.array_contains("positions", x["pos"]))
     picked = source.select("d", F.inline(chosen)).filter(_compared(F.col("line"), min_words)).select("d", "pos", F.split(_normal(F.col("line")), " ").alias("w"))
     lines = materialize(picked.dropDuplicates(["d", "pos"]), "lines")
@@ -143,16 +148,16 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     A line goes if an equal line stands earlier, or one that is one word edit apart. Lines of fewer than
     min_words words, blank ones among them, stay. A document all of whose lines go keeps its row with an
-    empty text. A null text stays null, with no lines. Rows with one doc_id count as one document: their
-    lines at one position share one place, so what is decided for one row holds for the others; of
-    different lines at one place each is looked at for equality, one for edits. Null doc_ids come last.
-    Other columns stay; those named like an added one are replaced.
+    empty text. A null text stays null, with no lines. Rows alike in doc_id and text count as one document
+    and are treated alike; rows of one doc_id with different texts are documents of their own, in the
+    order of a hash of the text. Null doc_ids come last. Other columns stay; those named like an added
+    one are replaced.
     """
     own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     thin = docs.select("doc_id", "text")
     places = materialize(first_places(thin, min_words), "places")
     kept = places.select("at").join(later_lines(thin, places, min_words), "at", "left_anti").select("at.d", "at.pos").groupBy("d").agg(F.collect_set("pos").alias("__kept"))
-    joined = docs.select(*own, F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("__d")).join(kept.withColumnRenamed("d", "__d"), "__d", "left")
+    joined = docs.select(*own, _document().alias("__d")).join(kept.withColumnRenamed("d", "__d"), "__d", "left")
 
     def rebuilt(lines: Column) -> Column:
         always = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: ~_compared(F.get(lines, i), min_words))

@@ -95,7 +95,7 @@ def scan(docs: DataFrame, known: dict[str, str] | None = None, rules: list[tuple
     own = [c for c in docs.columns if c not in ("sentence_ids", "licenses", "unmatched")]
     names = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
     name = lambda s: F.when(s.rlike(TRIGGER), F.try_element_at(names, normalised(s)))
-    found = F.transform(sentences(F.col("text")), lambda s: F.coalesce(F.concat(F.lit("<"), name(s), F.lit(">")), F.lit(_OTHER)))
+    found = F.transform(F.filter(sentences(F.col("text")), lambda s: s.rlike("[A-Za-z0-9]")), lambda s: F.coalesce(F.concat(F.lit("<"), name(s), F.lit(">")), F.lit(_OTHER)))
     ids = F.when(F.col("text").rlike(TRIGGER), found)
     ordered = F.array(*[F.struct(F.lit(license_).alias("name"), F.lit(_pattern(sequence)).alias("pattern")) for license_, sequence in rules])
 
@@ -134,7 +134,7 @@ WITH known(sentence, id) AS (VALUES {', '.join(f'({quoted(a)}, {quoted(b)})' for
 d AS (SELECT row_number() OVER () AS n, doc_id, text FROM documents),
 s AS (SELECT n, unnest(string_split(regexp_replace(regexp_replace(text, '\\n[ \\t]*[*#/]*[ \\t]*([a-z])', ' \\1', 'g'), '([.!?;:])[ \\t]+', '\\1' || chr(10), 'g'), chr(10))) AS line FROM d WHERE regexp_matches(text, '{TRIGGER}')),
 p AS (SELECT n, row_number() OVER (PARTITION BY n) AS pos, regexp_replace(trim(regexp_replace(translate(line, '{UPPER}', '{LOWER}'), '[^a-z0-9]+', ' ', 'g')), '^copyright( c)?( [0-9]+)+( .*)?$', 'copyright') AS sentence FROM s),
-named AS (SELECT n, pos, coalesce('<' || k.id || '>', '<x>') AS id FROM p LEFT JOIN known k USING (sentence)),
+named AS (SELECT n, pos, coalesce('<' || k.id || '>', '<x>') AS id FROM p LEFT JOIN known k USING (sentence) WHERE sentence <> ''),
 {', '.join(steps)},
 ids AS (SELECT n, string_agg(replace(replace(id, '<', ''), '>', ''), ',' ORDER BY pos) FILTER (WHERE id <> '<x>') AS ids FROM named GROUP BY n)
 SELECT doc_id, coalesce(ids, '') AS sentence_ids, coalesce(array_to_string(list_filter(names, lambda x, i: list_position(names, x) = i), ','), '') AS licenses, coalesce(len(regexp_extract_all(rest, '<[^<>][^<>]+>')), 0)::BIGINT AS unmatched

@@ -116,8 +116,12 @@ def error_correction(gold: DataFrame, code: str, first: Column, second: Column,
     return rolled.select(F.when(F.col("g") == 1, "_total").otherwise(F.col("code")).alias("error_code"), "n", "v1_fp", "v1_fn", "corrected", "repeated", F.round(F.try_divide(F.col("corrected").cast("double"), F.col("corrected") + F.col("repeated")), 9).alias("correction_rate"))
 
 
-def bootstrap(gold: DataFrame, scope: str, truth: Column, judged: Column, iterations: int = 1000, seed: int = 42, metric: str = "f1") -> DataFrame:
-    """(scope, n, point, ci_low, ci_high): BCa interval of a metric.
+def bootstrap(gold: DataFrame, scope: str, truth: Column, judged: Column, iterations: int = 1000, seed: int = 42, metric: str = "f1", method: str = "bca") -> DataFrame:
+    """(scope, n, point, ci_low, ci_high): interval of a metric.
+
+    Methods: bca (levels kept within .001 and .999, null for fewer than 10 replicates), clipped (the share
+    below the point kept within 1e-9 of 0 and 1, levels as they come, null for n under 5 or fewer than 50
+    replicates), percentile (order statistics).
 
     A metric depends on four counts only, so a replicate is a multinomial draw over four cells: each is
     drawn from the cell probabilities of a scope, never from its rows. The jackknife is closed form too.
@@ -151,15 +155,21 @@ def bootstrap(gold: DataFrame, scope: str, truth: Column, judged: Column, iterat
                     draw = np.random.default_rng(xxhash.xxh64_intdigest(f"{seed}:{r.scope}")).multinomial(n, table / n, size=iterations)
                     reps = np.array([v for v in map(value, draw) if not math.isnan(v)])
                     here = value(table)
-                    if len(reps) >= 10 and not math.isnan(here):
+                    enough = n >= 5 and len(reps) >= 50 if method == "clipped" else len(reps) >= 10
+                    if enough and method == "percentile":
+                        ordered = np.sort(reps)
+                        low, high = (float(ordered[min(len(ordered) - 1, int(q * len(ordered)))]) for q in (0.025, 0.975))
+                    elif enough and not math.isnan(here):
                         share = (reps < here).mean()
+                        share = min(max(share, 1e-9), 1 - 1e-9) if method == "clipped" else share
                         z0 = normal.inv_cdf(share) if 0 < share < 1 else 0.0
                         left = [(table[k], value(table - np.eye(4)[k])) for k in range(4) if table[k]]
                         left = [(w, v) for w, v in left if not math.isnan(v)]
                         mean = sum(w * v for w, v in left) / max(sum(w for w, _ in left), 1)
                         cube, square = sum(w * (mean - v) ** 3 for w, v in left), sum(w * (mean - v) ** 2 for w, v in left)
                         a = cube / (6 * square**1.5) if square else 0.0
-                        ends = [min(max(normal.cdf(z0 + (z0 + z) / (1 - a * (z0 + z))), 0.001), 0.999) for z in (normal.inv_cdf(0.025), normal.inv_cdf(0.975))]
+                        ends = [normal.cdf(z0 + (z0 + z) / (1 - a * (z0 + z))) for z in (normal.inv_cdf(0.025), normal.inv_cdf(0.975))]
+                        ends = ends if method == "clipped" else [min(max(e, 0.001), 0.999) for e in ends]
                         low, high = (float(v) for v in np.quantile(reps, ends))
                 out.append((r.scope, r.n, r.point, low, high))
             yield pd.DataFrame(out, columns=["scope", "n", "point", "ci_low", "ci_high"])

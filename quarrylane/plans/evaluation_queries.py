@@ -119,7 +119,10 @@ def raw_agreement(spark, d) -> DataFrame:
     return rows.select("stratum", "n", F.round(F.col("k").cast("double") / F.col("n"), 9).alias("raw_agreement"))
 
 
-@query("e19_alpha_headline")
+_CUTS = ", cuts AS (SELECT unnest(['full', 'stratified', 'control']) AS cut), lv AS (SELECT unnest(['binary', 'ordinal']) AS level), jd AS (SELECT unnest(['v1', 'v2']) AS judge), pr AS (SELECT cut, level, judge, " + _ORD.format("human") + " AS a, " + _ORD.format("CASE judge WHEN 'v1' THEN v1 ELSE v2 END") + " AS b FROM g, cuts, lv, jd WHERE (cut = 'full' OR stratum = cut) AND (judge = 'v1' OR v2 IS NOT NULL) AND (level = 'ordinal' OR (human <> 'uncertain' AND CASE judge WHEN 'v1' THEN v1 ELSE v2 END <> 'uncertain'))), un AS (SELECT cut, level, judge, unnest([a, b]) AS c FROM pr), mg AS (SELECT cut, level, judge, c, count(*)::DOUBLE AS n FROM un GROUP BY 1, 2, 3, 4), dl AS (SELECT x.cut, x.level, x.judge, x.c, y.c AS k, x.n * y.n AS e, CASE WHEN x.level = 'binary' THEN 1.0 ELSE ((SELECT sum(n) FROM mg WHERE mg.cut = x.cut AND mg.level = x.level AND mg.judge = x.judge AND mg.c BETWEEN least(x.c, y.c) AND greatest(x.c, y.c)) - (x.n + y.n) / 2) ^ 2 END AS d2 FROM mg x JOIN mg y ON x.cut = y.cut AND x.level = y.level AND x.judge = y.judge AND x.c <> y.c), ob AS (SELECT pr.cut, pr.level, pr.judge, count(*) AS n, sum(coalesce(d2, 0)) * 2 AS o FROM pr LEFT JOIN dl ON pr.cut = dl.cut AND pr.level = dl.level AND pr.judge = dl.judge AND pr.a = dl.c AND pr.b = dl.k GROUP BY 1, 2, 3)"
+
+
+@query("e19_alpha_headline", _G + _CUTS + " SELECT cut, judge, level, n, round(1 - (2 * n - 1) * o / (SELECT sum(e * d2) FROM dl WHERE dl.cut = ob.cut AND dl.level = ob.level AND dl.judge = ob.judge), 9) AS alpha FROM ob")
 def alpha_headline(spark, d) -> DataFrame:
     gold, found = view(spark, d, GOLD), None
     for cut, rows in (("full", gold), ("stratified", gold.filter("stratum = 'stratified'")), ("control", gold.filter("stratum = 'control'"))):
@@ -148,6 +151,16 @@ def bootstrap(spark, d) -> DataFrame:
     return evaluate.bootstrap(view(spark, d, GOLD), "stratum", _truth(), _judged())
 
 
+@query("e05_bootstrap_clipped")
+def bootstrap_clipped(spark, d) -> DataFrame:
+    return evaluate.bootstrap(view(spark, d, GOLD), "stratum", _truth(), _judged(), metric="kappa", method="clipped")
+
+
+@query("e06_bootstrap_percentile")
+def bootstrap_percentile(spark, d) -> DataFrame:
+    return evaluate.bootstrap(view(spark, d, GOLD), "stratum", _truth(), _judged(), metric="kappa", method="percentile")
+
+
 @query("e07_post_stratified", _G + _B + f", c AS (SELECT stratum AS scope, {_CELLS} FROM b GROUP BY stratum), w AS (SELECT stratum AS scope, count(*) AS w FROM g GROUP BY stratum) SELECT round(sum(2.0 * tp::DOUBLE / (2 * tp + fp + fn) * w) / sum(w), 8) AS point FROM c JOIN w USING (scope)")
 def post_stratified(spark, d) -> DataFrame:
     gold = view(spark, d, GOLD)
@@ -186,12 +199,12 @@ def binomial_tail(spark, d) -> DataFrame:
     return found.withColumn("p_value", F.round(stats.binomial_tail(F.col("k"), F.col("n"), F.lit(0.5)), 9))
 
 
-@query("e17_binomial_larger_tail")
+@query("e17_binomial_larger_tail", "WITH x AS (SELECT label, count(*) FILTER (WHERE vec_id % 2 = 0) AS k, count(*) AS n FROM embeddings GROUP BY label), y AS (SELECT label, k, n, unnest(range(0, n + 1)) AS i FROM x), z AS (SELECT label, k, n, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + n * ln(0.5::DOUBLE))) FILTER (WHERE i >= k) AS hi, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + n * ln(0.5::DOUBLE))) FILTER (WHERE i <= k) AS lo FROM y GROUP BY 1, 2, 3) SELECT label, k, n, round(least(1.0, greatest(hi, lo)), 9) AS p_value FROM z")
 def binomial_larger_tail(spark, d) -> DataFrame:
     found = table(spark, d, "embeddings").groupBy("label").agg(F.count_if(F.col("vec_id") % 2 == 0).alias("k"), F.count("*").alias("n"))
     upper = stats.binomial_tail(F.col("k"), F.col("n"), F.lit(0.5))
     lower = stats.binomial_tail(F.col("n") - F.col("k"), F.col("n"), F.lit(0.5))
-    return found.withColumn("p_value", F.greatest(upper, lower))
+    return found.withColumn("p_value", F.round(F.greatest(upper, lower), 9))
 
 
 @query("a34_rater_agreement", _G + " SELECT stratum, count(*) AS n, round(avg((v1 = v2)::INT::DOUBLE), 9) AS accuracy, count(*) FILTER (WHERE v1 = 'accept' AND v2 = 'reject') AS removed FROM g WHERE v2 IS NOT NULL GROUP BY stratum")

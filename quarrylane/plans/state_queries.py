@@ -179,3 +179,9 @@ def stream_hourly(spark, d) -> DataFrame:
 def stream_job_status(spark, d) -> DataFrame:
     """Job states kept by a stateful operator; the first end event is final."""
     return rollups.run_once(rollups.job_states(rollups.events_stream(spark, d)), "update")
+
+
+@query("k10_stream_sessions", "WITH m AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS opens FROM events), s AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM m) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k")
+def stream_sessions(spark, d) -> DataFrame:
+    """Runs of a user's events, beyond the batch views."""
+    return rollups.run_once(rollups.sessions(rollups.events_stream(spark, d)), "complete").select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylane.functions import text as T
@@ -77,8 +77,6 @@ def keyword_and_cutoff(spark, d) -> DataFrame:
 @query("t13_early_stop", "SELECT user_id, page FROM (SELECT user_id, event_id // 500 AS page, min(ts) AS oldest FROM events GROUP BY 1, 2) x WHERE NOT EXISTS (SELECT 1 FROM (SELECT user_id, event_id // 500 AS page, min(ts) AS oldest FROM events GROUP BY 1, 2) y WHERE y.user_id = x.user_id AND y.page > x.page AND y.oldest < TIMESTAMP '2024-01-10')")
 def early_stop(spark, d) -> DataFrame:
     """Pages of each feed, newest first, up to the first whose oldest entry is before the cutoff."""
-    from pyspark.sql import Window
-
     pages = table(spark, d, "events").groupBy("user_id", F.floor(F.col("event_id") / 500).alias("page")).agg(F.min("ts").alias("oldest"))
     newer = Window.partitionBy("user_id").orderBy(F.desc("page")).rowsBetween(Window.unboundedPreceding, -1)
     return pages.withColumn("stopped", F.max((F.col("oldest") < F.lit("2024-01-10").cast("timestamp_ntz")).cast("int")).over(newer)).filter("coalesce(stopped, 0) = 0").select("user_id", "page")
@@ -162,7 +160,10 @@ def vocabulary(spark, d) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.array_join(terms, ",").alias("terms"), (F.size(terms) >= 2).alias("enough"), F.array_join(tools, ",").alias("tools"))
 
 
-@query("f06_gate_one", f"SELECT doc_id, CASE WHEN n < 200 THEN 'short' WHEN NOT (i OR v OR t) THEN 'no_heuristic' ELSE 'level1_ok' END AS reason FROM (SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS n, len({_hits(_TERMS)}) >= 2 AS v, len({_hits(_TOOLS)}) > 0 AS t, regexp_matches(text, '\\b(?:[a-fA-F0-9]{{64}}|[a-fA-F0-9]{{40}}|[a-fA-F0-9]{{32}})\\b|\\b(?:(?:25[0-5]|2[0-4]\\d|1?\\d?\\d)\\.){{3}}(?:25[0-5]|2[0-4]\\d|1?\\d?\\d)\\b|(?i:\\bcve-\\d{{4}}-\\d{{4,7}}\\b)|(?i:\\b(?:hxxps?://\\S+|\\S+\\[\\.\\]\\S+))') AS i FROM documents)")
+_GATE = f"SELECT doc_id, CASE WHEN n < 200 THEN 'short' WHEN NOT (i OR v OR t) THEN 'no_heuristic' ELSE 'level1_ok' END AS reason FROM (SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS n, len({_hits(_TERMS)}) >= 2 AS v, len({_hits(_TOOLS)}) > 0 AS t, regexp_matches(text, '\\b(?:[a-fA-F0-9]{{64}}|[a-fA-F0-9]{{40}}|[a-fA-F0-9]{{32}})\\b|\\b(?:(?:25[0-5]|2[0-4]\\d|1?\\d?\\d)\\.){{3}}(?:25[0-5]|2[0-4]\\d|1?\\d?\\d)\\b|(?i:\\bcve-\\d{{4}}-\\d{{4,7}}\\b)|(?i:\\b(?:hxxps?://\\S+|\\S+\\[\\.\\]\\S+))') AS i FROM documents)"
+
+
+@query("f06_gate_one", _GATE)
 def gate_one(spark, d) -> DataFrame:
     return screen.gate_one(table(spark, d, "documents"), _TERMS, _TOOLS).select("doc_id", "reason")
 
@@ -175,12 +176,15 @@ def _gated(spark, d) -> DataFrame:
     return screen.gate_two(passed, similarity, "doc_id")
 
 
-@query("f07_f08_two_level_gate")
+_GATE_TWO = f"WITH g AS ({_GATE}), s AS (SELECT x.vec_id AS doc_id, max(list_cosine_similarity(x.embedding::DOUBLE[], q.embedding::DOUBLE[])) AS s FROM embeddings x JOIN embeddings q ON q.vec_id < 20 GROUP BY 1), r AS (SELECT g.doc_id, CASE WHEN s IS NOT NULL THEN greatest(0.0, least(1.0, s)) END AS similarity, CASE WHEN reason <> 'level1_ok' THEN reason WHEN s >= 0.55 THEN 'passed' ELSE 'low_similarity' END AS reason FROM g LEFT JOIN s USING (doc_id))"
+
+
+@query("f07_f08_two_level_gate", _GATE_TWO + " SELECT doc_id, reason, round(similarity, 6) AS similarity FROM r")
 def two_level_gate(spark, d) -> DataFrame:
     return _gated(spark, d).select("doc_id", "reason", F.round("similarity", 6).alias("similarity"))
 
 
-@query("f09_gate_statistics")
+@query("f09_gate_statistics", _GATE_TWO + " SELECT count(*) AS total, " + ", ".join(f"count(*) FILTER (WHERE reason = '{r}') AS {r}" for r in ("short", "no_heuristic", "low_similarity", "passed")) + ", round(count(*) FILTER (WHERE reason = 'passed')::DOUBLE / count(*), 3) AS pass_rate FROM r")
 def gate_statistics(spark, d) -> DataFrame:
     return screen.gate_stats(_gated(spark, d))
 
@@ -218,12 +222,15 @@ def _prints(spark, d) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", screen.simhash64(F.col("text")).alias("fp"))
 
 
-@query("t04_simhash", "WITH t AS (SELECT doc_id, trim(regexp_replace(lower(left(text, 2000)), '\\s+', ' ', 'g')) AS t FROM documents), g AS (SELECT doc_id, unnest(CASE WHEN length(t) < 3 THEN [t] ELSE list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3)) END) AS g FROM t), h AS (SELECT doc_id, ('0x' || substr(md5(g), 17, 16))::UBIGINT AS h FROM g), v AS (SELECT doc_id, " + ", ".join(f"2 * sum((h >> {b}) & 1) > count(*) AS b{b}" for b in range(64)) + " FROM h GROUP BY doc_id) SELECT doc_id, " + " || ".join(f"(b{b}::INT)::VARCHAR" for b in range(63, -1, -1)) + " AS bits FROM v")
+_PRINTS = "WITH t AS (SELECT doc_id, trim(regexp_replace(lower(left(text, 2000)), '\\s+', ' ', 'g')) AS t FROM documents), g AS (SELECT doc_id, unnest(CASE WHEN length(t) < 3 THEN [t] ELSE list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3)) END) AS g FROM t), h AS (SELECT doc_id, ('0x' || substr(md5(g), 17, 16))::UBIGINT AS h FROM g), v AS (SELECT doc_id, " + ", ".join(f"2 * sum((h >> {b}) & 1) > count(*) AS b{b}" for b in range(64)) + " FROM h GROUP BY doc_id), p AS (SELECT doc_id, " + " || ".join(f"(b{b}::INT)::VARCHAR" for b in range(63, -1, -1)) + " AS bits FROM v)"
+
+
+@query("t04_simhash", _PRINTS + " SELECT doc_id, bits FROM p")
 def simhash(spark, d) -> DataFrame:
     return _prints(spark, d).select("doc_id", F.lpad(F.bin("fp"), 64, "0").alias("bits"))
 
 
-@query("t05_j15_near_pairs")
+@query("t05_j15_near_pairs", _PRINTS + ", f AS (SELECT min(doc_id) AS doc_id, bits FROM p GROUP BY bits), n AS (SELECT doc_id, ('0b' || bits)::UBIGINT AS x FROM f) SELECT i.doc_id AS a, j.doc_id AS b, bit_count(xor(i.x, j.x)) AS distance FROM n i JOIN n j ON i.doc_id < j.doc_id WHERE bit_count(xor(i.x, j.x)) <= 3")
 def near_pairs(spark, d) -> DataFrame:
     firsts = _prints(spark, d).groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
     return screen.near_pairs(firsts, "doc_id")
@@ -245,10 +252,23 @@ def cosine_top_k(spark, d) -> DataFrame:
     return screen.cosine_top_k(queries, vectors, 7).withColumn("similarity", F.round("similarity", 6))
 
 
-@query("v02_merged_candidates")
+@query("v02_merged_candidates", "WITH s AS (SELECT q.vec_id AS query_id, 'T' || e.vec_id AS item, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS s, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9) DESC, e.vec_id) AS r FROM embeddings q JOIN embeddings e ON q.vec_id < 20), f AS (SELECT DISTINCT vec_id AS query_id, unnest(['T' || vec_id || '.001', 'T' || vec_id]) AS item FROM embeddings WHERE vec_id < 20 AND vec_id % 3 = 0), k AS (SELECT query_id, item, 1.0::DOUBLE AS similarity, 0 AS tier FROM f UNION ALL SELECT s.query_id, s.item, round(s.s, 3), 1 FROM s WHERE r <= 7 AND NOT EXISTS (SELECT 1 FROM f WHERE f.query_id = s.query_id AND f.item = s.item)), o AS (SELECT *, row_number() OVER (PARTITION BY query_id, tier ORDER BY similarity DESC, item) AS place FROM k) SELECT query_id, item, similarity, tier, place FROM o WHERE tier = 0 OR place <= 5")
 def merged_candidates(spark, d) -> DataFrame:
     vectors = table(spark, d, "embeddings")
     queries = vectors.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), "embedding")
     found = screen.cosine_top_k(queries, vectors, 7).select("query_id", F.concat(F.lit("T"), F.col("vec_id").cast("string")).alias("item"), "similarity")
     forced = queries.filter("query_id % 3 = 0").select("query_id", F.concat(F.lit("T"), F.col("query_id").cast("string"), F.lit(".001")).alias("item"))
     return screen.merge_candidates(forced, found, "query_id", 5)
+
+
+@query("v03_ingest_counters")
+def ingest_counters(spark, d) -> DataFrame:
+    """Documents in order: near a kept one (dup_sim), else of a url already kept (dup_url), else inserted; the check for nearness comes first."""
+    from quarrylane.scratch import materialize
+
+    docs = materialize(table(spark, d, "documents").select("doc_id", F.concat("source", F.lit("/"), (F.col("doc_id") % 200).cast("string")).alias("url"), screen.simhash64(F.col("text")).alias("fp")), "ingest")
+    firsts = materialize(docs.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "firsts")
+    kept = screen.keep_first(firsts, screen.near_pairs(firsts, "doc_id"), "doc_id").withColumn("new", F.lit(True))
+    marked = docs.join(kept, "doc_id", "left").withColumn("first_of_url", F.min(F.when(F.col("new"), F.col("doc_id"))).over(Window.partitionBy("url")))
+    status = F.when(F.col("new").isNull(), "dup_sim").when(F.col("doc_id") == F.col("first_of_url"), "inserted").otherwise("dup_url")
+    return marked.groupBy(status.alias("status")).agg(F.count("*").alias("n"))

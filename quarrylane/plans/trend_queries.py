@@ -113,6 +113,17 @@ def mann_kendall(spark, d) -> DataFrame:
     return series.withColumn("mk", stats.mann_kendall(F.col("series"))).select("item", "series", "mk.tau", "mk.p_value", "mk.direction")
 
 
+_SERIES5 = ", ".join(f"count(*) FILTER (WHERE year = {y})" for y in _YEARS[:5])
+# Of the 120 orders of five different values, how many have at least this |S|.
+_AT_LEAST = "CASE abs(s) WHEN 0 THEN 120 WHEN 2 THEN 98 WHEN 4 THEN 58 WHEN 6 THEN 28 WHEN 8 THEN 10 WHEN 10 THEN 2 END"
+
+
+@query("e13_exact_p_of_five", _A.rstrip() + f", s AS (SELECT item, [{_SERIES5}] AS x FROM a GROUP BY item HAVING len(list_distinct([{_SERIES5}])) = 5), k AS (SELECT item, (SELECT sum(sign(x[j] - x[i])) FROM range(1, 6) t(i), range(1, 6) u(j) WHERE i < j)::INT AS s FROM s) SELECT item, round(s / 10.0, 6) AS tau, round({_AT_LEAST} / 120.0, 6) AS p_value, CASE WHEN s > 0 THEN 'increasing' WHEN s < 0 THEN 'decreasing' ELSE 'stable' END AS direction FROM k")
+def exact_p_of_five(spark, d) -> DataFrame:
+    series = trends.dense_series(view(spark, d, ACCEPTED), "item", "year", _YEARS[:5]).filter(F.size(F.array_distinct("series")) == 5)
+    return series.withColumn("mk", stats.mann_kendall(F.col("series"))).select("item", F.round("mk.tau", 6).alias("tau"), F.round("mk.p_value", 6).alias("p_value"), "mk.direction")
+
+
 @query("e14_trend_matrix")
 def trend_matrix(spark, d) -> DataFrame:
     series = trends.dense_series(view(spark, d, ACCEPTED), "item", "year", _YEARS[:5])

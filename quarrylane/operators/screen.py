@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -109,14 +110,20 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def near_pairs(prints: DataFrame, key: str, fp: str = "fp", bits: int = 3) -> DataFrame:
-    """(a, b, distance): pairs of keys, a < b, whose fingerprints differ in at most `bits` bits, at most 3.
+def near_pairs(prints: DataFrame, key: str, fp: str = "fp", bits: int = 3, bands: int = 6) -> DataFrame:
+    """(a, b, distance): pairs of keys, a < b, whose fingerprints differ in at most `bits` bits.
 
-    Of four 16-bit bands one is equal; bands are joined on, distances verified. Equal fingerprints should be
-    collapsed before, as they pair with one another.
+    Of `bands` bands of bits, bands - bits at least are equal: fingerprints are joined on every choice of so
+    many bands (with 6 bands and 3 bits twenty keys of 32 bits), and distances verified, so no pair is lost.
+    More bands make more and longer keys. Equal fingerprints should be collapsed before, as they pair with
+    one another.
     """
-    bands = F.array(*[F.struct(F.lit(k).alias("k"), F.call_function("shiftrightunsigned", F.col(fp), F.lit(16 * k)).bitwiseAND(F.lit(0xFFFF)).alias("v")) for k in range(4)])
-    banded = prints.select(F.col(key).alias("id"), F.col(fp).alias("f"), F.explode(bands).alias("band"))
+    edges = [64 * k // bands for k in range(bands + 1)]
+    keys = []
+    for n, chosen in enumerate(combinations(range(bands), bands - bits)):
+        mask = sum(((1 << (edges[k + 1] - edges[k])) - 1) << edges[k] for k in chosen)
+        keys.append(F.xxhash64(F.lit(n), F.col(fp).bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask))))
+    banded = prints.select(F.col(key).alias("id"), F.col(fp).alias("f"), F.explode(F.array(*keys)).alias("band"))
     one, two = (banded.select(F.col("id").alias(n), F.col("f").alias(f"f{n}"), "band") for n in ("a", "b"))
     pairs = one.join(two, "band").filter("a < b").withColumn("distance", hamming(F.col("fa"), F.col("fb"))).filter(F.col("distance") <= bits)
     return pairs.select("a", "b", "distance").distinct()
@@ -138,16 +145,18 @@ def keep_first(prints: DataFrame, pairs: DataFrame, key: str, most_rounds: int =
     return settled.filter("kept").select(F.col("id").alias(key))
 
 
-def cosine_top_k(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "query_id", vector_id: str = "vec_id", column: str = "embedding") -> DataFrame:
+def cosine_top_k(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "query_id", vector_id: str = "vec_id", column: str = "embedding", blocks: int = 256) -> DataFrame:
     """(query, vector, similarity, rank): exact cosine top k of a stated, small query set against all vectors, ties to smaller ids.
 
-    Queries are broadcast only if they have been counted to be few (50,000); else Spark chooses how to join the blocks.
+    Queries are broadcast only if they have been counted to be few (50,000); else vectors are dealt into blocks
+    by a hash, and each query goes to every block.
     """
     few = queries.limit(50_001).count() <= 50_000
-    q = queries.select(F.col(query_id).alias("q"), F.col(column).alias("qv"))
-    v = vectors.select(F.col(vector_id).alias("v"), F.col(column).alias("vv"))
+    parts = 1 if few else blocks
+    q = queries.select(F.col(query_id).alias("q"), F.col(column).alias("qv"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("block"))
+    v = vectors.select(F.col(vector_id).alias("v"), F.col(column).alias("vv"), F.pmod(F.xxhash64(vector_id), F.lit(parts)).cast("int").alias("block"))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, z: s + z)
-    pairs = v.join(F.broadcast(q) if few else q, F.size("qv") == F.size("vv"))
+    pairs = v.join(F.broadcast(q) if few else q, "block").filter(F.size("qv") == F.size("vv"))
     scored = pairs.withColumn("similarity", F.try_divide(dot(F.col("qv"), F.col("vv")), F.sqrt(dot(F.col("qv"), F.col("qv"))) * F.sqrt(dot(F.col("vv"), F.col("vv")))))
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc(F.round("similarity", 9)), "v"))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k).select(F.col("q").alias(query_id), F.col("v").alias(vector_id), "similarity", "rank")

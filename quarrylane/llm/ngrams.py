@@ -35,6 +35,8 @@ from .text import crc_mod, shared_dir, table
 
 #: Tokens that a task counts, or scores, at once.
 CHUNK_TOKENS = 1_000_000
+#: Counts of pairs are bytes; those of this many or more stand in a table of their own.
+_MANY = 255
 _START, _END = b" <start>", b" <end>"  # no words, as they hold a space
 
 
@@ -165,7 +167,10 @@ def _merge_pairs(parts, folder: str, shards: int):
     count = np.add.reduceat(count, starts)
     pair, before, word = pair[starts], before[starts], word[starts]
     _write(folder, f"pair-{shard}", pair)
-    _write(folder, f"pair-count-{shard}", np.minimum(count, 0xFFFFFFFF).astype(np.uint32))
+    _write(folder, f"pair-count-{shard}", np.minimum(count, _MANY).astype(np.uint8))
+    often = count >= _MANY
+    _write(folder, f"often-{shard}", pair[often])
+    _write(folder, f"often-count-{shard}", count[often])
     context, total, one, two, more = _summed(before, count, (count == 1).astype(np.int64), (count == 2).astype(np.int64), (count > 2).astype(np.int64))
     _write(folder, f"context-{shard}", context)
     _write(folder, f"context-stats-{shard}", np.stack([total, one, two, more], axis=1))
@@ -284,7 +289,10 @@ class Lookup:
         pairs, at = np.unique(rank[before] * len(hashes) + words, return_inverse=True)  # in the order of the contexts' hashes
         left, right = np.divmod(pairs, len(hashes))
         left = order[left]
-        found = self.find("pair", hashes[left], _pair_hash(hashes[left], hashes[right]), "pair-count", np.uint32, 1)[:, 0]
+        by, keys = hashes[left], _pair_hash(hashes[left], hashes[right])
+        found = self.find("pair", by, keys, "pair-count", np.uint8, 1)[:, 0]
+        often = found == _MANY
+        found[often] = self.find("often", by[often], keys[often], "often-count", np.int64, 1)[:, 0]
         p = (found - np.array([0.0, *m.pair_discounts])[np.minimum(found, 3)]) / total[left] + weight[left] * word_p[right]
         starts = np.cumsum([0, *chunk.lengths[:-1]])
         add = lambda x: np.add.reduceat(x, starts)

@@ -60,9 +60,9 @@ def _dimension(key: str, least: int | None) -> str:
     return _G + _B + f", x AS (SELECT {key} AS key, {_CELLS}, sum(t) AS a FROM b WHERE t IS NOT NULL AND j IS NOT NULL GROUP BY 1), c AS (SELECT {k} AS key, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn, sum(tn)::BIGINT AS tn, sum(n)::BIGINT AS n, sum(a) AS a FROM x GROUP BY 1) SELECT key, tp, fp, fn, tn, n, round(a::DOUBLE / n, 9) AS accept_rate, {_METRICS} FROM c"
 
 
-@query("a13_metrics_by_source", _dimension("source", 700))
+@query("a13_metrics_by_source", _dimension("source", 1560))
 def metrics_by_source(spark, d) -> DataFrame:
-    return evaluate.by_dimension(view(spark, d, GOLD), "source", _truth(), _judged(), 700)
+    return evaluate.by_dimension(view(spark, d, GOLD), "source", _truth(), _judged(), 1560)
 
 
 @query("a13_metrics_by_item", _dimension("item", 5))

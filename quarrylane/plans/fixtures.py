@@ -32,13 +32,13 @@ SELECT a.document_id, a.idx, a.item, a.category, d.source, d.source_group, d.pub
 FROM ({ANNOTATIONS}) a JOIN ({DOCUMENTS}) d ON a.document_id = d.document_id WHERE a.v1 = 'accept'
 """
 
-#: A sample with labels of a human rater and of two others; a third rater's label is missing for some.
+#: Labels of a human rater and of two others; the second's are missing for some.
 GOLD = f"""
 SELECT a.document_id, a.idx, a.item, a.category, d.source, d.source_group, CASE WHEN d.priority IN ('1-URGENT', '2-HIGH') THEN 'control' ELSE 'stratified' END AS stratum,
   a.v1, CASE WHEN a.quantity % 5 = 0 THEN NULL ELSE a.v2 END AS v2,
   CASE WHEN a.quantity % 7 = 0 THEN 'uncertain' WHEN (a.v2 = 'accept') = (a.quantity % 3 > 0) THEN 'accept' ELSE 'reject' END AS human,
   CASE WHEN a.v1 = 'accept' AND a.quantity % 3 = 0 THEN 'E1' WHEN a.v1 = 'reject' AND a.quantity % 4 = 0 THEN 'E2' WHEN a.quantity % 11 = 0 THEN 'E4' END AS error_code
-FROM ({ANNOTATIONS}) a JOIN ({DOCUMENTS}) d ON a.document_id = d.document_id WHERE a.idx < 2
+FROM ({ANNOTATIONS}) a JOIN ({DOCUMENTS}) d ON a.document_id = d.document_id
 """
 
 _TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")

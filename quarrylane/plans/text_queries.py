@@ -171,12 +171,12 @@ def gate_one(spark, d) -> DataFrame:
 def _gated(spark, d) -> DataFrame:
     passed = screen.gate_one(table(spark, d, "documents"), _TERMS, _TOOLS)
     vectors = table(spark, d, "embeddings")
-    queries = vectors.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), "embedding")
+    queries = vectors.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     similarity = screen.cosine_top_k(vectors.select(F.col("vec_id").alias("query_id"), "embedding"), queries.withColumnRenamed("query_id", "vec_id"), 1).select(F.col("query_id").alias("doc_id"), "similarity")
     return screen.gate_two(passed, similarity, "doc_id")
 
 
-_GATE_TWO = f"WITH g AS ({_GATE}), s AS (SELECT x.vec_id AS doc_id, max(list_cosine_similarity(x.embedding::DOUBLE[], q.embedding::DOUBLE[])) AS s FROM embeddings x JOIN embeddings q ON q.vec_id < 20 GROUP BY 1), r AS (SELECT g.doc_id, CASE WHEN s IS NOT NULL THEN greatest(0.0, least(1.0, s)) END AS similarity, CASE WHEN reason <> 'level1_ok' THEN reason WHEN s >= 0.55 THEN 'passed' ELSE 'low_similarity' END AS reason FROM g LEFT JOIN s USING (doc_id))"
+_GATE_TWO = f"WITH g AS ({_GATE}), s AS (SELECT x.vec_id AS doc_id, max(list_cosine_similarity(x.embedding::DOUBLE[], q.embedding::DOUBLE[])) AS s FROM embeddings x JOIN embeddings q ON q.vec_id % 50 = 0 GROUP BY 1), r AS (SELECT g.doc_id, CASE WHEN s IS NOT NULL THEN greatest(0.0, least(1.0, s)) END AS similarity, CASE WHEN reason <> 'level1_ok' THEN reason WHEN s >= 0.55 THEN 'passed' ELSE 'low_similarity' END AS reason FROM g LEFT JOIN s USING (doc_id))"
 
 
 @query("f07_f08_two_level_gate", _GATE_TWO + " SELECT doc_id, reason, round(similarity, 6) AS similarity FROM r")
@@ -245,17 +245,17 @@ def keep_first(spark, d) -> DataFrame:
     return screen.keep_first(firsts, screen.near_pairs(firsts, "doc_id"), "doc_id")
 
 
-@query("v01_j16_cosine_top_k", "WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS s FROM embeddings q JOIN embeddings e ON q.vec_id < 20), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, round(s, 6) AS similarity, rank FROM r WHERE rank <= 7")
+@query("v01_j16_cosine_top_k", "WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS s FROM embeddings q JOIN embeddings e ON q.vec_id % 50 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, round(s, 6) AS similarity, rank FROM r WHERE rank <= 7")
 def cosine_top_k(spark, d) -> DataFrame:
     vectors = table(spark, d, "embeddings")
-    queries = vectors.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), "embedding")
+    queries = vectors.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     return screen.cosine_top_k(queries, vectors, 7).withColumn("similarity", F.round("similarity", 6))
 
 
-@query("v02_merged_candidates", "WITH s AS (SELECT q.vec_id AS query_id, 'T' || e.vec_id AS item, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS s, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9) DESC, e.vec_id) AS r FROM embeddings q JOIN embeddings e ON q.vec_id < 20), f AS (SELECT DISTINCT vec_id AS query_id, unnest(['T' || vec_id || '.001', 'T' || vec_id]) AS item FROM embeddings WHERE vec_id < 20 AND vec_id % 3 = 0), k AS (SELECT query_id, item, 1.0::DOUBLE AS similarity, 0 AS tier FROM f UNION ALL SELECT s.query_id, s.item, round(s.s, 3), 1 FROM s WHERE r <= 7 AND NOT EXISTS (SELECT 1 FROM f WHERE f.query_id = s.query_id AND f.item = s.item)), o AS (SELECT *, row_number() OVER (PARTITION BY query_id, tier ORDER BY similarity DESC, item) AS place FROM k) SELECT query_id, item, similarity, tier, place FROM o WHERE tier = 0 OR place <= 5")
+@query("v02_merged_candidates", "WITH s AS (SELECT q.vec_id AS query_id, 'T' || e.vec_id AS item, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS s, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9) DESC, e.vec_id) AS r FROM embeddings q JOIN embeddings e ON q.vec_id % 50 = 0), f AS (SELECT DISTINCT vec_id AS query_id, unnest(['T' || vec_id || '.001', 'T' || vec_id]) AS item FROM embeddings WHERE vec_id % 50 = 0 AND vec_id % 3 = 0), k AS (SELECT query_id, item, 1.0::DOUBLE AS similarity, 0 AS tier FROM f UNION ALL SELECT s.query_id, s.item, round(s.s, 3), 1 FROM s WHERE r <= 7 AND NOT EXISTS (SELECT 1 FROM f WHERE f.query_id = s.query_id AND f.item = s.item)), o AS (SELECT *, row_number() OVER (PARTITION BY query_id, tier ORDER BY similarity DESC, item) AS place FROM k) SELECT query_id, item, similarity, tier, place FROM o WHERE tier = 0 OR place <= 5")
 def merged_candidates(spark, d) -> DataFrame:
     vectors = table(spark, d, "embeddings")
-    queries = vectors.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), "embedding")
+    queries = vectors.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     found = screen.cosine_top_k(queries, vectors, 7).select("query_id", F.concat(F.lit("T"), F.col("vec_id").cast("string")).alias("item"), "similarity")
     forced = queries.filter("query_id % 3 = 0").select("query_id", F.concat(F.lit("T"), F.col("query_id").cast("string"), F.lit(".001")).alias("item"))
     return screen.merge_candidates(forced, found, "query_id", 5)

@@ -122,7 +122,7 @@ def later_lines(docs: DataFrame, places: DataFrame, min_words: int = MIN_WORDS)
     found = materialize(keys.select("at", "key").join(shared, "key", "left_semi").select("at.d", "at.pos").distinct(), "found")
     here = _small(materialize(found.groupBy("d").agg(F.collect_set("pos").alias("positions")), "documents-of-found"))
     source = docs.select(_document().alias("d"), "text").join(here, "d")
-    chosen = F.filter(F.transform(F.split("text", "\n"), lambda line, i: F.struct(i.alias("pos"), line.alias("line"))), lambda x: F.array_contains("positions", x["pos"]))
+    chosen = let(F.split("text", "\n"), lambda lines: F.transform("positions", lambda p: F.struct(p.alias("pos"), F.get(lines, p).alias("line"))))
     picked = source.select("d", F.inline(chosen)).filter(_compared(F.col("line"), min_words)).select("d", "pos", F.split(_normal(F.col("line")), " ").alias("w"))
     lines = materialize(picked.dropDuplicates(["d", "pos"]), "lines")
 

@@ -17,6 +17,8 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
+import sys
+import types
 from collections.abc import Iterator
 
 import numpy as np
@@ -246,6 +248,15 @@ def _utf8(run: bytes) -> str:
     return "".join(out)
 
 
+def _worker_codec(model: bytes) -> Codec:
+    """The codec of this worker, kept from task to task with what it remembers; its tables are bounded."""
+    kept = sys.modules.setdefault("_quarrylane_codecs", types.ModuleType("_quarrylane_codecs")).__dict__
+    key = hashlib.sha256(model).hexdigest()
+    if key not in kept:
+        kept[key] = Codec(model)
+    return kept[key]
+
+
 def _mapped(df: DataFrame, model: bytes, column: str, schema: str, make) -> DataFrame:
     """df plus what make(codec, value) gives for each value of a column, as an Arrow map of whole rows; model is small and goes along."""
     added = StructType.fromDDL(schema).names
@@ -254,7 +265,7 @@ def _mapped(df: DataFrame, model: bytes, column: str, schema: str, make) -> Data
     arrow = to_arrow_schema(types)
 
     def run(batches):
-        codec = Codec(model)
+        codec = _worker_codec(model)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)

@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-import re
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrylane.scratch import materialize, shared_dir
+
+__all__ = ["LOWER", "SPACES", "UPPER", "crc_mod", "let", "materialize", "shared_dir", "table", "words"]
+
 #: The six characters that end a word: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
-#: For str.translate in Python workers.
-ASCII_LOWER = {ord(a): b for a, b in zip(UPPER, LOWER)}
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,36 +32,6 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def lower_ascii(text: Column) -> Column:
-    """A-Z in lower case, everything else as it is."""
-    return F.translate(text, UPPER, LOWER)
-
-
 def crc_mod(key: Column, modulus: int) -> Column:
     """crc32 of a key written as text, modulo `modulus`; a null key gives null."""
     return F.crc32(key.cast("string")) % modulus
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or the one set on the context.
-
-    Only where neither is set (tests in one JVM) a folder of our own is made and set.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
-    if not found:
-        import tempfile
-
-        found = tempfile.mkdtemp(prefix="quarrylane-")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Writes a DataFrame to the shared folder and reads it back: lineage is cut, and a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)

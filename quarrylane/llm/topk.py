@@ -8,6 +8,8 @@ contribution where nothing was) and an upper one (with the contribution last
 read there). Reading stops when no vector outside a few candidates can still
 reach the k-th lower bound; the candidates' final scores are then resolved.
 Each block gives k results a query; the best k of all blocks are the answer.
+Blocks that one task reads one after another hand on the k-th score found, which
+lets reading stop sooner.
 
 Queries come in blocks too, and every block of vectors meets every block of
 queries in one task, so neither side is ever broadcast or held whole. Equal
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from .text import materialize, table
 
 #: Vectors, and queries, that meet in one task.
-VECTOR_BLOCK = 4096
+VECTOR_BLOCK = 16384
 QUERY_BLOCK = 4096
 
 
@@ -34,8 +36,10 @@ def quantized(vector: Column, scale: int = 256) -> Column:
     return F.when(F.coalesce(whole, F.lit(False)), F.transform(vector, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("int")))
 
 
-#: Shares of the lists after which bounds are looked at.
-CHECKS = (0.5, 0.75, 0.875, 1.0)
+#: Vectors of which a task makes sorted lists at a time.
+LISTED = 4096
+#: Shares of the lists after which bounds are looked at, without and with a score to beat from lists read before.
+CHECKS, CHECKS_TO_BEAT = (0.75, 0.875, 1.0), (0.4, 0.55, 0.75, 1.0)
 
 
 class Block:
@@ -51,8 +55,8 @@ class Block:
         self.place = np.empty((2 * d, n), dtype=np.int32)  # of each vector in each list
         np.put_along_axis(self.place, self.lists, np.arange(n, dtype=np.int32)[None, :], 1)
 
-    def candidates(self, query: np.ndarray, need: int) -> np.ndarray:
-        """Vectors of which the `need` best are a part: read from the lists until no other can be.
+    def candidates(self, query: np.ndarray, need: int, beat: int | None = None) -> np.ndarray:
+        """Vectors of which the `need` best, as far as they reach `beat`, are a part: read until no other can be.
 
         Whole numbers in doubles are exact up to 2^53.
         """
@@ -63,31 +67,37 @@ class Block:
         least = self.values[rows, n - 1] * weight[:, 0]  # the smallest contribution that each list has
         seen, depth = np.zeros(n), 0  # contributions read so far
         place = self.place[rows]
-        for share in CHECKS:
-            stop = max(min(n, need), int(n * share))
+        for share in CHECKS if beat is None else CHECKS_TO_BEAT:
+            stop = min(n, max(need, int(n * share), depth + 1))
             gains = self.values[rows, depth:stop] * weight
             seen += np.bincount(self.lists[rows, depth:stop].ravel(), gains.ravel(), n)
             depth = stop
             if depth >= n:
                 break
             frontier = gains[:, -1]
-            unread = np.stack([least, frontier]) @ (place >= depth).astype(np.float64)  # what a vector gains where it wasn't met, at least and at most
-            bound = np.partition(seen + unread[0], n - need)[n - need]
-            if frontier.sum() >= bound:
+            if beat is not None and frontier.sum() >= beat:
                 continue  # a vector that no list has shown yet could still qualify
-            able = np.flatnonzero(seen + unread[1] >= bound)
+            bounds = np.stack([frontier] if beat is not None else [frontier, least])
+            unread = bounds @ (place >= depth).astype(np.float64)  # what a vector gains where it wasn't met, at most and at least
+            bound = beat if beat is not None else np.partition(seen + unread[1], n - need)[n - need]
+            if frontier.sum() >= bound:
+                continue
+            able = np.flatnonzero(seen + unread[0] >= bound)
             if len(able) <= max(8 * need, n // 16):
                 return able
-        return np.flatnonzero(seen >= np.partition(seen, n - need)[n - need])
+        bound = np.partition(seen, n - need)[n - need]
+        return np.flatnonzero(seen >= (bound if beat is None else max(bound, beat)))
 
-    def search(self, own: int, query: np.ndarray, k: int) -> list[tuple[int, int]]:
-        """The k best (score, id) of this block, without id `own`; ties to smaller ids."""
+    def search(self, own: int, query: np.ndarray, k: int, before: list[tuple[int, int]] = ()) -> list[tuple[int, int]]:
+        """The k best (score, id) of this block and of what was found before, without id `own`; ties to smaller ids."""
         need = min(len(self.vectors), k + 1)  # one of them may be the query's own
-        found = self.candidates(query, need)
+        found = self.candidates(query, need, before[k - 1][0] if len(before) >= k else None)
         scores = self.vectors[found] @ query  # resolved
-        edge = np.partition(scores, len(scores) - need)[len(scores) - need]
-        best = [(-int(s), int(i)) for c, s in zip(found, scores) if s >= edge for i in self.ids[c] if i != own]
-        return [(-s, i) for s, i in sorted(best)[:k]]
+        if len(scores) > need:
+            edge = np.partition(scores, len(scores) - need)[len(scores) - need]
+            found, scores = found[scores >= edge], scores[scores >= edge]
+        best = [(-int(s), int(i)) for c, s in zip(found, scores) for i in self.ids[c] if i != own]
+        return [(-s, i) for s, i in sorted(best + [(-s, i) for s, i in before])[:k]]
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, vector_block: int = VECTOR_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
@@ -117,8 +127,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, vector_block: int
             distinct, of = np.unique(v[~asks], axis=0, return_inverse=True)
             order = np.lexsort((ids[~asks], of.ravel()))
             members = np.split(ids[~asks][order], np.cumsum(np.bincount(of.ravel()))[:-1])
-            here = Block(distinct, members)
-            out = [(int(i), x, s) for i, query in zip(ids[asks], v[asks]) for s, x in here.search(int(i), query, k)]
+            best: list[list[tuple[int, int]]] = [[] for _ in range(int(asks.sum()))]
+            for at in range(0, len(distinct), LISTED):
+                here = Block(distinct[at : at + LISTED], members[at : at + LISTED])
+                for n, (i, query) in enumerate(zip(ids[asks], v[asks])):
+                    best[n] = here.search(int(i), query, k, best[n])
+            out = [(int(i), x, s) for i, found in zip(ids[asks], best) for s, x in found]
         elif asks.any():
             out = [(int(i), int(x), 0) for i in ids[asks] for x in np.sort(ids[~asks])[: k + 1] if x != i]
         return pa.table([pa.array([o[n] for o in out], pa.int64()) for n in range(3)], names=["query_id", "vec_id", "score"])

@@ -50,7 +50,9 @@ def test_query_against_sql(spark, sf_dir, duck, name):
 # 1 exact top-k search
 
 
-def test_top_k(spark):
+@pytest.mark.parametrize("listed", [10, 4096])
+def test_top_k(spark, monkeypatch, listed):
+    monkeypatch.setattr(topk, "LISTED", listed)
     rng = np.random.default_rng(1)
     v = rng.integers(-20, 20, (300, 12))
     v[50:90] = v[50]  # many copies
@@ -462,7 +464,7 @@ def brute_lm(train):
 def test_language_model(spark, odd, none, monkeypatch, chunk):
     monkeypatch.setattr(ngrams, "CHUNK_TOKENS", chunk)
     rng = random.Random(12)
-    texts = [" ".join(f"W{int(rng.paretovariate(0.7)) % 50}" for _ in range(rng.randrange(30))) for _ in range(80)] + ODD_TEXTS[:7]
+    texts = [" ".join(f"W{int(rng.paretovariate(0.7)) % 50}" for _ in range(rng.randrange(30))) for _ in range(80)] + ODD_TEXTS[:7] + ["often pair " * 400]
     train = spark.createDataFrame([(t,) for t in texts], "text string")
     model = ngrams.train(train, shards=5)
     count, p = brute_lm(texts)

@@ -80,8 +80,8 @@ def _document() -> Column:
 
 def _places(docs: DataFrame, min_words: int) -> DataFrame:
     """(d, pos, line): the lines that are compared, with their document and place."""
-    split = docs.select(_document().alias("d"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return split.filter(_compared(F.col("line"), min_words))
+    split = docs.select(_document().alias("d"), F.split("text", "\n").alias("lines"))  # first, so that texts aren't carried along with each line
+    return split.select("d", F.posexplode("lines").alias("pos", "line")).filter(_compared(F.col("line"), min_words))
 
 
 def first_places(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -93,7 +93,8 @@ def first_places(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 def _neighbourhood(lines: DataFrame) -> DataFrame:
     """lines (d, pos, w) -> (v, m, gone, at): hash and word count of the line itself (gone null) and of it without word gone."""
-    each = lines.select("d", "pos", F.size("w").alias("n"), F.posexplode(F.transform("w", lambda x: F.xxhash64(x))).alias("i", "h"))
+    hashed = lines.select("d", "pos", F.size("w").alias("n"), F.transform("w", lambda x: F.xxhash64(x)).alias("hashes"))
+    each = hashed.select("d", "pos", "n", F.posexplode("hashes").alias("i", "h"))
     along = Window.partitionBy("d", "pos").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = Window.partitionBy("d", "pos")
     here, left = F.xxhash64("h", "i"), F.xxhash64("h", F.col("i") - 1)  # as the word counts where it is, and one place to the left

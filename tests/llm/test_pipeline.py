@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from collections import Counter
 
 import corpus_pipeline
@@ -69,3 +70,26 @@ def test_pipeline_step_by_step(spark, sf_dir):
     total = sum(len(t.split()) for t, _ in three.values())
     assert 1.3 * total < sum(copies[i] * len(t.split()) for i, (t, _) in three.items()) < 1.7 * total
     assert simhash.MOST_BITS == 4
+
+
+def test_near_dedup_at_similarity(spark, tmp_path):
+    def shingles(text):
+        w = text.lower().split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    rng = random.Random(5)
+    words = [f"v{i}" for i in range(3000)]
+    texts, pairs = [], []
+    for n in range(120):
+        base = [rng.choice(words) for _ in range(200)]
+        other = list(base)
+        for at in rng.sample(range(5, 195), rng.randint(1, 6)):
+            other[at] = "new"
+        x, y = shingles(" ".join(base)), shingles(" ".join(other))
+        texts += [" ".join(base), " ".join(other)]
+        pairs.append(len(x & y) / len(x | y))
+    assert sum(0.8 <= p < 0.95 for p in pairs) > 40 and sum(p < 0.8 for p in pairs) > 20
+    got = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "").collect()}
+    assert got == {i for i in range(240) if i % 2 == 0 or pairs[i // 2] < 0.8}
+    found = simhash.similar(spark.createDataFrame([(t,) for t in texts], "text string")).collect()
+    assert len(found) == 240 and len({r["component"] for r in found}) == len(got)

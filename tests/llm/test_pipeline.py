@@ -93,3 +93,11 @@ def test_near_dedup_at_similarity(spark, tmp_path):
     assert got == {i for i in range(240) if i % 2 == 0 or pairs[i // 2] < 0.8}
     found = simhash.similar(spark.createDataFrame([(t,) for t in texts], "text string")).collect()
     assert len(found) == 240 and len({r["component"] for r in found}) == len(got)
+
+
+def test_near_dedup_of_null_and_repeated_ids(spark, tmp_path):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    rows = [(None, a), (None, b), (None, c + " more"), (7, c), (7, d), (8, d + " more"), (7, d), (None, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, str(k)) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string")
+    got = [(r["doc_id"], r["text"] or "") for r in corpus_pipeline.near_dedup(spark, docs, "").collect()]
+    assert Counter(got) == Counter([(None, a), (None, b), (7, c), (7, d), (None, "")])

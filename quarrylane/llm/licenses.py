@@ -5,8 +5,7 @@ identifiers; the sequence of identifiers is then matched against licence rules
 in order. A rule that matches takes its identifiers out of the sequence, so that
 a longer rule (three clauses) goes before a shorter one (two clauses) and what
 no rule explains stays visible. All of it happens within a row, in DataFrame
-expressions; there is no shuffle. Texts without a word that every known
-sentence holds one of are passed over by one regular expression.
+expressions; there is no shuffle. Every sentence of every text is looked up.
 """
 
 from __future__ import annotations
@@ -44,7 +43,7 @@ SENTENCES: dict[str, str] = {
     **{f"this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version {v} of the license or at your option any later version": f"gpl-{v}+" for v in ("1", "2", "3")},
     **{f"{start}{k} {v} 0": f"cc-{k.replace(' ', '-')}-{v}" for start in ("licensed under cc ", "this work is licensed under cc ", "released under cc ") for k in _CC for v in ("1", "2", "3", "4")},
 }
-#: Words of which every known sentence has one; texts without any hold no known sentence.
+#: Texts that OP3_SQL looks at; scan() looks at all.
 TRIGGER = "(?i)licen[sc]e|copyright|permission|warrant|redistribut|rights reserved|liable|cc by"
 #: Licences by the sequences that show them, tried in this order. A name ending in ? may be missing.
 RULES: list[tuple[str, tuple[str, ...]]] = [
@@ -94,9 +93,8 @@ def scan(docs: DataFrame, known: dict[str, str] | None = None, rules: list[tuple
         raise ValueError(f"more than {MOST_SENTENCES} known sentences")
     own = [c for c in docs.columns if c not in ("sentence_ids", "licenses", "unmatched")]
     names = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
-    name = lambda s: F.when(s.rlike(TRIGGER), F.try_element_at(names, normalised(s)))
-    found = F.transform(F.filter(sentences(F.col("text")), lambda s: s.rlike("[A-Za-z0-9]")), lambda s: F.coalesce(F.concat(F.lit("<"), name(s), F.lit(">")), F.lit(_OTHER)))
-    ids = F.when(F.col("text").rlike(TRIGGER), found)
+    name = lambda s: F.try_element_at(names, normalised(s))
+    ids = F.transform(F.filter(sentences(F.col("text")), lambda s: s.rlike("[A-Za-z0-9]")), lambda s: F.coalesce(F.concat(F.lit("<"), name(s), F.lit(">")), F.lit(_OTHER)))
     ordered = F.array(*[F.struct(F.lit(license_).alias("name"), F.lit(_pattern(sequence)).alias("pattern")) for license_, sequence in rules])
 
     def step(state: Column, rule: Column) -> Column:

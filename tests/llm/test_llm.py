@@ -164,6 +164,14 @@ def test_components(spark):
 # 3 licences
 
 
+def test_license_scan_looks_at_every_sentence(spark):
+    texts = ["Released under CC-BY 4.0", "Released under CC-BY-SA-4.0.", "All rights\nreserved."]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert {r["text"]: r["licenses"] for r in licenses.scan(rows).collect()} == dict(zip(texts, [["CC-BY-4.0"], ["CC-BY-SA-4.0"], ["Proprietary"]]))
+    own = licenses.scan(spark.createDataFrame([("Free for all. More.",)], "text string"), {"free for all": "free"}, [("Free", ("free",))])
+    assert own.first()["licenses"] == ["Free"]
+
+
 def test_license_scan(spark, none):
     mit = "Copyright (c) 2020 Jo Doe. All rights reserved.\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and\nassociated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."
     texts = [*ODD_TEXTS, mit, "Plain.\nReleased under the MIT License.\nMore text.", "Licensed under the Apache License, Version 2.0. Licensed under CC BY-NC 4.0.", "This work is licensed under the GNU General Public License,\nversion 3.", "All rights reserved.", "my license is mine", "You may obtain a copy of the License at: nowhere"]

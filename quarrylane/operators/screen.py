@@ -130,7 +130,7 @@ def near_pairs(prints: DataFrame, key: str, fp: str = "fp", bits: int = 3, bands
 
 
 def keep_first(prints: DataFrame, pairs: DataFrame, key: str, most_rounds: int = 100) -> DataFrame:
-    """Keys that a pass in key order keeps: those with no kept earlier neighbour. Rounds settle keys whose earlier neighbours are settled."""
+    """Keys that a pass in key order keeps: those with no kept earlier neighbour. Rounds settle keys whose earlier neighbours are settled; keys open after most_rounds are an error."""
     from quarrylane.scratch import materialize
 
     settled = materialize(prints.select(F.col(key).alias("id")).join(pairs.select(F.col("b").alias("id")).distinct(), "id", "left_anti").withColumn("kept", F.lit(True)), "settled")
@@ -142,6 +142,9 @@ def keep_first(prints: DataFrame, pairs: DataFrame, key: str, most_rounds: int =
         if new.isEmpty():
             break
         settled = materialize(settled.union(new), "settled")
+    else:
+        if not links.select(F.col("b").alias("id")).join(settled, "id", "left_anti").isEmpty():
+            raise RuntimeError(f"keep_first did not settle in {most_rounds} rounds")
     return settled.filter("kept").select(F.col("id").alias(key))
 
 

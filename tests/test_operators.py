@@ -236,3 +236,11 @@ def test_series_s(spark):
 def test_trend_category(spark, direction):
     row = spark.range(1).select(trends.trend_category(F.lit(50), F.lit(2.0), F.lit(direction), F.lit(True)).alias("c")).first()
     assert row["c"] == ("EMERGING" if direction == "increasing" else "OBSOLESCENT")
+
+
+def test_keep_first_says_when_keys_stay_open(spark):
+    prints = spark.createDataFrame([(i,) for i in range(6)], "id long")
+    chain = spark.createDataFrame([(i, i + 1) for i in range(5)], "a long, b long")
+    assert {r["id"] for r in screen.keep_first(prints, chain, "id", most_rounds=5).collect()} == {0, 2, 4}
+    with pytest.raises(RuntimeError):
+        screen.keep_first(prints, chain, "id", most_rounds=2)

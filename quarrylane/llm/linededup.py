@@ -1,8 +1,9 @@
 """Line dedup over a corpus by a deletion-neighbourhood join.
 
 A line stands for the sequence of its words. Two lines are the same if they are
-equal or one edit apart: one word put in, left out or replaced. Of such lines
-the earliest (by doc_id, then position) stays.
+equal or, from MIN_WORDS words up, one edit apart: one word put in, left out or
+replaced. (Shorter lines must be equal: one word more or less is another line.)
+Of such lines the earliest (by doc_id, then position) stays.
 
 1. Lines are reduced to digests; equal ones collapse to their earliest place,
    with partial minima, so a line that a third of all documents has is one row.
@@ -28,31 +29,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .text import SPACES, let, materialize, table
+from .text import let, materialize, table
 
-#: Lines with fewer words are not compared and always stay.
+#: Lines of fewer words are compared for equality only; an edit bound of one word would join most of them.
 MIN_WORDS = 5
 _LAST = 9223372036854775807
+#: Bytes in memory of a side that may be broadcast, at most; measured before, and larger sides are joined by a shuffle.
+MOST_BROADCAST = 32 << 20
 
 
-#: Rows of a side that may be broadcast, at most; counted before, and larger sides are joined by a shuffle.
-MOST_BROADCAST = 500_000
-_GAP, _WORD = "[\\x20\\x09-\\x0D]", "[^\\x20\\x09-\\x0D]"
+def _small(df: DataFrame, row_bytes: Column) -> DataFrame:
+    """A materialized DataFrame, marked for broadcast if its rows have been measured to be small."""
+    return F.broadcast(df) if (df.agg(F.sum(row_bytes)).first()[0] or 0) <= MOST_BROADCAST else df
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """A materialized DataFrame, marked for broadcast if it has been counted to be small."""
-    return F.broadcast(df) if df.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else df
+def _lines(text: Column) -> Column:
+    """The lines of a text in order, each as its words joined by single spaces."""
+    spaced = F.regexp_replace(text, "[\\x20\\x09\\x0B-\\x0D]+", " ")
+    return F.transform(F.split(spaced, "\n"), lambda line: F.trim(line))
 
 
-def _compared(line: Column, min_words: int) -> Column:
-    """Whether a line has min_words words."""
-    return line.rlike(f"^{_GAP}*(?:{_WORD}+{_GAP}+){{{min_words - 1}}}{_WORD}") if min_words > 0 else F.lit(True)
-
-
-def _normal(line: Column) -> Column:
-    """Words joined by single spaces."""
-    return F.regexp_replace(F.btrim(line, F.lit(SPACES)), f"{_GAP}+", " ")
+def _word_count(line: Column) -> Column:
+    """Words of a line as _lines gives it."""
+    return F.when(line == "", 0).otherwise(F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1)
 
 
 def _halves(t: Column, n: Column) -> Column:
@@ -78,17 +77,16 @@ def _document() -> Column:
     return F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"), F.xxhash64("text").alias("h"))
 
 
-def _places(docs: DataFrame, min_words: int) -> DataFrame:
-    """(d, pos, line): the lines that are compared, with their document and place."""
-    split = docs.select(_document().alias("d"), F.split("text", "\n").alias("lines"))  # first, so that texts aren't carried along with each line
-    return split.select("d", F.posexplode("lines").alias("pos", "line")).filter(_compared(F.col("line"), min_words))
-
-
 def first_places(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(digest binary, at struct<d, pos>, keys array<long>): the earliest place of each distinct line and its half-line keys."""
-    known = let(_normal(F.col("line")), lambda t: F.struct(F.unhex(F.md5(t)).alias("digest"), let(F.octet_length(t) - F.octet_length(F.replace(t, F.lit(" "), F.lit(""))) + 1, lambda n: _halves(t, n)).alias("keys")))
-    lines = _places(docs, min_words).select(F.struct("d", "pos").alias("at"), known.alias("known")).select("at", "known.digest", "known.keys")
-    return lines.groupBy("digest").agg(F.min("at").alias("at"), F.first("keys").alias("keys"))
+    """(x, y, at struct<d, pos>, keys array<long>): the earliest place of each distinct line that has a word, told by 128 bits of hashes, and its half-line keys.
+
+    Lines of fewer than min_words words have no keys.
+    """
+    split = docs.filter("text IS NOT NULL").select(_document().alias("d"), _lines(F.col("text")).alias("lines"))  # first, so that texts aren't carried along with each line
+    each = split.select("d", F.posexplode("lines").alias("pos", "t")).filter("t <> ''")
+    keys = let(_word_count(F.col("t")), lambda n: F.when(n >= min_words, _halves(F.col("t"), n)))
+    known = each.select(F.struct("d", "pos").alias("at"), F.xxhash64("t").alias("x"), F.xxhash64(F.lit("line"), "t").alias("y"), keys.alias("keys"))
+    return known.groupBy("x", "y").agg(F.min("at").alias("at"), F.first("keys").alias("keys"))
 
 
 def _neighbourhood(lines: DataFrame) -> DataFrame:
@@ -118,17 +116,18 @@ def _one_edit(a: Column, b: Column) -> Column:
 
 def later_lines(docs: DataFrame, places: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(at): earliest places of distinct lines that have an earlier line one edit apart, among docs (doc_id, text) with their first_places."""
-    keys = places.select(F.xxhash64("digest").alias("id"), "at", F.explode("keys").alias("key"))
+    keys = places.select(F.xxhash64("x", "y").alias("id"), "at", F.explode("keys").alias("key"))
     shared = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high").select("key")
     found = materialize(keys.select("at", "key").join(shared, "key", "left_semi").select("at.d", "at.pos").distinct(), "found")
-    here = _small(materialize(found.groupBy("d").agg(F.collect_set("pos").alias("positions")), "documents-of-found"))
+    positions = materialize(found.groupBy("d").agg(F.collect_set("pos").alias("positions")), "documents-of-found")
+    here = _small(positions, 48 + 4 * F.size("positions"))
     source = docs.select(_document().alias("d"), "text").join(here, "d")
-    chosen = let(F.split("text", "\n"), lambda lines: F.transform("positions", lambda p: F.struct(p.alias("pos"), F.get(lines, p).alias("line"))))
-    picked = source.select("d", F.inline(chosen)).filter(_compared(F.col("line"), min_words)).select("d", "pos", F.split(_normal(F.col("line")), " ").alias("w"))
+    chosen = let(_lines(F.col("text")), lambda lines: F.transform("positions", lambda p: F.struct(p.alias("pos"), F.get(lines, p).alias("line"))))
+    picked = source.select("d", F.inline(chosen)).filter(_word_count(F.col("line")) >= min_words).select("d", "pos", F.split("line", " ").alias("w"))
     lines = materialize(picked.dropDuplicates(["d", "pos"]), "lines")
 
     every = materialize(_neighbourhood(lines), "neighbourhood")
-    several = _small(materialize(every.groupBy("v", "m").agg(F.count("*").alias("k")).filter("k > 1").select("v", "m"), "variants"))
+    several = _small(materialize(every.groupBy("v", "m").agg(F.count("*").alias("k")).filter("k > 1").select("v", "m"), "variants"), F.lit(32))
     near = materialize(every.join(several, ["v", "m"]), "near")
     variants = near.filter("gone IS NOT NULL")
     same_place = variants.groupBy("v", "m", "gone").agg(F.min("at").alias("first"))
@@ -147,38 +146,39 @@ def later_lines(docs: DataFrame, places: DataFrame, min_words: int = MIN_WORDS)
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs (doc_id, text, ...) without later lines; adds n_lines and n_removed (long).
 
-    A line goes if an equal line stands earlier, or one that is one word edit apart. Lines of fewer than
-    min_words words, blank ones among them, stay. A document all of whose lines go keeps its row with an
+    A line goes if an equal line stands earlier, or one that is one word edit apart and both have min_words
+    words or more. Lines without words stay. A document all of whose lines go keeps its row with an
     empty text. A null text stays null, with no lines. Rows alike in doc_id and text count as one document
     and are treated alike; rows of one doc_id with different texts are documents of their own, in the
-    order of a hash of the text. Null doc_ids come last. Other columns stay; those named like an added
-    one are replaced.
+    order of a hash of the text. Null doc_ids come last. Other columns stay, whatever their names; those
+    named like an added one are replaced.
     """
     own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     thin = docs.select("doc_id", "text")
     places = materialize(first_places(thin, min_words), "places")
-    kept = places.select("at").join(later_lines(thin, places, min_words), "at", "left_anti").select("at.d", "at.pos").groupBy("d").agg(F.collect_set("pos").alias("__kept"))
-    joined = docs.select(*own, _document().alias("__d")).join(kept.withColumnRenamed("d", "__d"), "__d", "left")
+    kept = places.select("at").join(later_lines(thin, places, min_words), "at", "left_anti").select("at.d", "at.pos").groupBy("d").agg(F.collect_set("pos").alias("kept"))
+    joined = docs.select(F.struct(*own).alias("row"), _document().alias("d")).join(kept, "d", "left")
 
     def rebuilt(lines: Column) -> Column:
-        always = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: ~_compared(F.get(lines, i), min_words))
-        stay = F.array_sort(F.array_union(always, F.coalesce(F.array_intersect(F.col("__kept"), F.sequence(F.lit(0), F.size(lines) - 1)), F.array().cast("array<int>"))))
+        of_words = F.filter(F.transform(lines, lambda line, i: F.when(line.rlike("[^\\x20\\x09-\\x0D]"), F.lit(-1)).otherwise(i)), lambda i: i >= 0)  # places without words
+        stay = F.array_sort(F.concat(of_words, F.coalesce("kept", F.array().cast("array<int>"))))
         return let(stay, lambda s: F.struct(F.array_join(F.transform(s, lambda i: F.get(lines, i)), "\n").alias("text"), F.size(lines).cast("long").alias("n"), (F.size(lines) - F.size(s)).cast("long").alias("gone")))
 
-    done = joined.withColumn("__new", F.when(F.col("text").isNotNull(), let(F.split("text", "\n"), rebuilt)))
-    columns = [F.col("__new.text").alias("text") if c == "text" else F.col(c) for c in own]
-    return done.select(*columns, F.coalesce("__new.n", F.lit(0).cast("long")).alias("n_lines"), F.coalesce("__new.gone", F.lit(0).cast("long")).alias("n_removed"))
+    done = joined.select("row", F.when(F.col("row.text").isNotNull(), let(F.split("row.text", "\n"), rebuilt)).alias("new"))
+    columns = [(F.col("new.text") if c == "text" else F.col("row")[c]).alias(c) for c in own]
+    return done.select(*columns, F.coalesce("new.n", F.lit(0).cast("long")).alias("n_lines"), F.coalesce("new.gone", F.lit(0).cast("long")).alias("n_removed"))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its later lines; see dedup for nulls, ties and repeated rows."""
     return dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 OP6_SQL = r"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents WHERE text IS NOT NULL),
 w AS (SELECT doc_id, pos, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS ws FROM l),
-o AS (SELECT *, CASE WHEN len(ws) >= 5 THEN row_number() OVER (PARTITION BY ws ORDER BY doc_id, pos) END AS nth FROM w),
-d AS (SELECT doc_id, pos, ws, row_number() OVER (ORDER BY doc_id, pos) AS ord FROM o WHERE nth = 1),
+o AS (SELECT *, CASE WHEN len(ws) > 0 THEN row_number() OVER (PARTITION BY ws ORDER BY doc_id, pos) END AS nth FROM w),
+d AS (SELECT doc_id, pos, ws, row_number() OVER (ORDER BY doc_id, pos) AS ord FROM o WHERE nth = 1 AND len(ws) >= 5),
 k AS (SELECT ord, ws, len(ws) AS m, unnest([(len(ws), 0, list_aggregate(ws[1 : len(ws) // 2], 'string_agg', ' ')), (len(ws), 1, list_aggregate(ws[len(ws) - len(ws) // 2 + 1 :], 'string_agg', ' ')),
   (len(ws) - 1, 0, list_aggregate(ws[1 : (len(ws) - 1) // 2], 'string_agg', ' ')), (len(ws) - 1, 1, list_aggregate(ws[len(ws) - (len(ws) - 1) // 2 + 1 :], 'string_agg', ' '))]) AS key FROM d),
 p AS (SELECT DISTINCT b.ord, a.ws AS aw, b.ws AS bw FROM k a JOIN k b ON a.key = b.key AND a.ord < b.ord AND abs(a.m - b.m) <= 1),

@@ -2,9 +2,10 @@
 
 Fingerprints are compared once for each distinct value. For every distinct
 fingerprint a table holds its Hamming distances to many reference fingerprints
-(pivots); two fingerprints within k bits differ by at most k in each coordinate,
-so pairs with a larger difference in any coordinate are discarded, and survivors
-are verified bit by bit.
+(pivots), computed once; two fingerprints within k bits differ by at most k in
+each coordinate, so pairs with a larger difference in any coordinate are
+discarded, and survivors are verified bit by bit. Pairs with a larger difference
+in the first coordinate aren't formed at all: a bucket is read in its order.
 
 A pivot table alone would have to meet every pair. Pairs are therefore only
 formed within buckets: of B bands of bits, two fingerprints within k bits agree
@@ -120,9 +121,17 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[other], nodes[root[other]]
 
 
+def pivot_columns(fp: Column, n: int = PIVOTS) -> list[Column]:
+    """The pivot distance table's columns p0, p1, ... of a fingerprint: eight distances each, a byte for a distance."""
+    reference = [int(r) - (1 << 64) if r >> 63 else int(r) for r in map(int, pivots(n))]
+    distance = lambda r, k: F.shiftleft(F.bit_count(fp.bitwiseXOR(F.lit(r))).cast("long"), 8 * k)
+    packed = [[distance(r, k) for k, r in enumerate(reference[at : at + 8])] for at in range(0, n, 8)]
+    return [sum(row[1:], row[0]).alias(f"p{at}") for at, row in enumerate(packed)]
+
+
 def _linked(fp: np.ndarray, coordinates: np.ndarray, i: np.ndarray, j: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Of the pairs i, j those within `bits`: discarded by pivot coordinates first, then verified."""
-    for k in range(coordinates.shape[1]):
+    for k in range(1, coordinates.shape[1]):  # the first one has told already which pairs to form
         near = np.abs(coordinates[i, k] - coordinates[j, k]) <= bits
         i, j = i[near], j[near]
         if not len(i):
@@ -131,15 +140,13 @@ def _linked(fp: np.ndarray, coordinates: np.ndarray, i: np.ndarray, j: np.ndarra
     return i[near], j[near]
 
 
-def _within(key: np.ndarray, fp: np.ndarray, bits: int, reference: np.ndarray):
-    """Links among rows with equal keys, given sorted by key; forests of about BLOCK pairs each."""
+def _within(key: np.ndarray, fp: np.ndarray, coordinates: np.ndarray, bits: int):
+    """Links among rows with equal keys, given sorted by key and first coordinate; forests of about BLOCK pairs each."""
     if not len(key):
         return
-    coordinates = np.bitwise_count(fp[:, None] ^ reference[None, :]).astype(np.int8)  # the pivot distance table
-    starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-    ends = np.concatenate((starts[1:], [len(key)]))
-    end_of = np.repeat(ends, ends - starts)
-    partners = end_of - np.arange(len(key)) - 1  # rows further down in the same bucket
+    starts = np.concatenate(([True], key[1:] != key[:-1]))
+    along = (np.cumsum(starts) << 8) + coordinates[:, 0]
+    partners = np.searchsorted(along, along + bits, "right") - np.arange(len(key)) - 1  # rows further down in the same bucket, and near in the first coordinate
     done = np.cumsum(partners)
     at = 0
     while at < len(key):
@@ -162,15 +169,17 @@ def links(fps: DataFrame, bits: int = MOST_BITS, bands: int | None = None, most_
     if bands is None:
         n = fps.count()
         bands = bits + (2 if n <= 1 << 24 else 3 if n <= 1 << 30 else 4)
-    keyed = fps.select("fp", F.explode(bucket_keys(F.col("fp"), bits, bands)).alias("key"))
+    distances = pivot_columns(F.col("fp"))
+    names = [f"p{k}" for k in range(len(distances))]
+    pivot_table = materialize(fps.select("fp", *distances), "pivot-table")
+    keyed = pivot_table.select("fp", *names, F.explode(bucket_keys(F.col("fp"), bits, bands)).alias("key"))
     crowded = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     parts = F.ceil(F.col("n") / most_in_bucket).cast("int")
     own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
     dealt = keyed.join(crowded, "key").withColumn("parts", parts).withColumn("own", own)
     others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: (p != F.col("own")) | (F.col("parts") == 1))
     tile = F.explode(F.transform(others, lambda p: F.xxhash64("key", F.least(p, F.col("own")), F.greatest(p, F.col("own")))))
-    tiled = dealt.select("fp", tile.alias("key"))
-    reference = pivots()
+    tiled = dealt.select("fp", tile.alias("key"), *names)
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -183,8 +192,9 @@ def links(fps: DataFrame, bits: int = MOST_BITS, bands: int | None = None, most_
             rows = pa.Table.from_batches(held)
             key, fp = rows["key"].to_numpy(), rows["fp"].to_numpy().view(np.uint64)
             cut = len(key) if last else int(np.searchsorted(key, key[-1], "left"))
+            coordinates = np.ascontiguousarray(np.stack([rows[n].to_numpy()[:cut] for n in names], axis=1)).view(np.int8)
             held = [] if last else rows.slice(cut).combine_chunks().to_batches()
-            for a, b in _within(key[:cut], fp[:cut], bits, reference):
+            for a, b in _within(key[:cut], fp[:cut], coordinates, bits):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         for batch in batches:
@@ -193,7 +203,8 @@ def links(fps: DataFrame, bits: int = MOST_BITS, bands: int | None = None, most_
                 yield from flush(False)
         yield from flush(True)
 
-    return tiled.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+    first = F.col("p0").bitwiseAND(F.lit(255))
+    return tiled.repartition("key").sortWithinPartitions("key", first).mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, bits: int = MOST_BITS) -> DataFrame:
@@ -341,5 +352,6 @@ def similar(docs: DataFrame, shingle_words: int = SIMILAR_WORDS, similarity: flo
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprint of every document as hex, and the smallest doc_id that links reach; see near_duplicates."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_duplicates(docs).select("doc_id", as_hex(F.col("fp")).alias("fingerprint"), "component_id")

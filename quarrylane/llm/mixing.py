@@ -20,68 +20,103 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .text import words
+from .text import materialize, words
+
+#: Sources whose targets one task finds, at most.
+MOST_IN_ORDER = 100_000
 
 
 def _source_key(source: Column) -> Column:
     return F.when(source.isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), source))
 
 
+def _weights(weights: Sequence[int], rank: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((rank - 1) % len(weights) + 1).cast("int"))
+
+
+def _targets_in_order(sizes: DataFrame, weights: Sequence[int], share: float, most: float) -> DataFrame:
+    """The level found in the order of cap / weight, by windows over all sources, in one task."""
+    everything = Window.partitionBy()
+    by_name = Window.orderBy(F.col("source").asc_nulls_last())
+    fill = Window.orderBy("ratio", "rank")
+    before, onward = fill.rowsBetween(Window.unboundedPreceding, -1), fill.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    ranked = sizes.select("source", "source_size").withColumn("rank", F.row_number().over(by_name))
+    ranked = ranked.withColumn("weight", _weights(weights, F.col("rank"))).withColumn("cap", F.lit(float(most)) * F.col("source_size")).withColumn("ratio", F.col("cap") / F.col("weight"))
+    ranked = ranked.withColumn("all", F.lit(float(share)) * F.sum("source_size").over(everything))
+    ranked = ranked.withColumn("level", (F.col("all") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(onward))
+    ranked = ranked.withColumn("level", F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "rank", "level"))).over(everything)["level"])
+    target = F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("level") * F.col("weight")))
+    return ranked.withColumn("target", target).select("source", "source_size", "target")
+
+
+def _targets_in_rounds(sizes: DataFrame, weights: Sequence[int], share: float, most: float) -> DataFrame:
+    """The same level by rounds of two sums each: a round caps the sources that the last level would fill, until none is new.
+
+    The rank of a source in code point order is its place in its range of names plus the sizes of the ranges before.
+    """
+    ranges = materialize(sizes.select("source", "source_size").repartitionByRange(F.col("source").asc_nulls_last()).withColumn("part", F.spark_partition_id()), "source-ranges")
+    before = F.sum("n").over(Window.orderBy("part")) - F.col("n")
+    starts = ranges.groupBy("part").agg(F.count("*").alias("n")).select("part", before.alias("start"))  # a row for each partition
+    place = F.row_number().over(Window.partitionBy("part").orderBy(F.col("source").asc_nulls_last()))
+    ranked = ranges.withColumn("place", place).join(F.broadcast(starts), "part")
+    weighed = materialize(ranked.select("source", "source_size", _weights(weights, F.col("place") + F.col("start")).alias("weight"), (F.lit(float(most)) * F.col("source_size")).alias("cap")), "weighed-sources")
+    goal = share * float(weighed.agg(F.sum("source_size")).first()[0] or 0)
+    level, full = -1.0, -1
+    while True:
+        capped = F.col("cap") <= F.col("weight") * F.lit(level)
+        n, caps, rest = weighed.agg(F.count_if(capped), F.sum(F.when(capped, F.col("cap"))), F.sum(F.when(~capped, F.col("weight")))).first()
+        if n == full or not rest:
+            break
+        full, level = n, (goal - (caps or 0.0)) / rest
+    target = F.col("cap") if not rest else F.least(F.col("cap"), F.col("weight") * F.lit(level))
+    return weighed.select("source", "source_size", target.alias("target"))
+
+
 def targets(sizes: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """sizes: (source, source_size), a row for each source -> the same with target.
 
     The weights repeat over the sources in code point order, null last. Targets share `share` times
     all words by weight; one that would pass `most` times its source's size stops there, and what is
-    left is dealt again by weight. That fixed point is min(cap, level * weight) for one level, found
-    in the order of cap / weight.
+    left is dealt again by weight. That fixed point is min(cap, level * weight) for one level. Up to
+    MOST_IN_ORDER sources, which are counted, it is found in one task; more (such as domains) take rounds
+    of distributed sums, with the same targets but for rounding.
     """
-    everything = Window.partitionBy()
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    fill = Window.orderBy(F.col("__ratio"), F.col("__rank"))
-    before, onward = fill.rowsBetween(Window.unboundedPreceding, -1), fill.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    ranked = sizes.withColumn("__rank", F.row_number().over(by_name))
-    ranked = ranked.withColumn("__weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("__rank") - 1) % len(weights) + 1))
-    ranked = ranked.withColumn("__cap", F.lit(float(most)) * F.col("source_size")).withColumn("__ratio", F.col("__cap") / F.col("__weight"))
-    ranked = ranked.withColumn("__all", F.lit(float(share)) * F.sum("source_size").over(everything))
-    level = (F.col("__all") - F.coalesce(F.sum("__cap").over(before), F.lit(0.0))) / F.sum("__weight").over(onward)
-    ranked = ranked.withColumn("__level", level)
-    ranked = ranked.withColumn("__level", F.min(F.when(F.col("__level") <= F.col("__ratio"), F.struct("__ratio", "__rank", "__level"))).over(everything)["__level"])
-    target = F.when(F.col("__level").isNull(), F.col("__cap")).otherwise(F.least(F.col("__cap"), F.col("__level") * F.col("__weight")))
-    return ranked.withColumn("target", target).select("source", "source_size", "target")
+    few = sizes.limit(MOST_IN_ORDER + 1).count() <= MOST_IN_ORDER
+    return (_targets_in_order if few else _targets_in_rounds)(sizes, weights, share, most)
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: str = "mix", prefix: str = "mix_") -> DataFrame:
     """Adds size, source_size, target and copies (each under `prefix`) to every row of docs (doc_id, text, source, ...).
 
-    Nulls: a null text has size 0, a null source is a source of its own, a null doc_id is ordered as ''.
-    Ties and repeated rows: every row is a document; rows alike in all of (source, size, doc_id) are
-    interchangeable. Sources without words get target 0 and no copies. An empty table gives an empty one.
-    Other columns are carried along; those named like an added one are replaced.
+    Nulls: a null text has size 0, a null source is a source of its own, a row without doc_id is placed
+    by a digest of its text. Ties and repeated rows: every row is a document; rows alike in source, size and
+    doc_id (without one: in text) are interchangeable. Sources without words get target 0 and no copies. An
+    empty table gives an empty one. Other columns are carried along, whatever their names; those named like
+    an added one are replaced.
     """
-    p = prefix
-    added = [p + c for c in ("size", "source_size", "target", "copies")]
+    added = [prefix + c for c in ("size", "source_size", "target", "copies")]
     own = [c for c in docs.columns if c not in added]
-    sized = docs.select(*own, F.size(words(F.col("text"))).cast("long").alias(p + "size"))
-    key = _source_key(F.col("source"))
-    bits = F.length(F.bin(F.col(p + "size")))
-    shift = F.greatest(bits - 5, F.lit(0))
-    sized = sized.withColumns({"__key": key, "__class": bits * 32 + F.call_function("shiftright", F.col(p + "size"), shift).cast("int"), "__digest": F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))})
-    sized = sized.withColumn("__bin", F.substring("__digest", 1, 2))
-
-    cells = sized.groupBy("__key", "__class", "__bin").agg(F.count("*").alias("__n"), F.sum(p + "size").alias("__words"))
-    along = Window.partitionBy("__key").orderBy("__class", "__bin")
-    cells = cells.withColumn("__start", F.sum("__n").over(along) - F.col("__n"))
-    sizes = cells.groupBy("__key").agg(F.sum("__words").alias("source_size")).withColumn("source", F.when(F.col("__key") != "0", F.expr("substring(__key, 2)")))
-    goal = targets(sizes.select("source", "source_size"), weights, share, most).withColumn("__key", _source_key(F.col("source")))
-    cells = cells.join(goal.drop("source"), "__key").select("__key", "__class", "__bin", "__start", F.col("source_size").alias(p + "source_size"), F.col("target").alias(p + "target"))
-
-    placed = sized.join(cells, ["__key", "__class", "__bin"])
-    in_cell = Window.partitionBy("__key", "__class", "__bin").orderBy(p + "size", "__digest", "doc_id")
-    rate = F.when(F.col(p + "source_size") > 0, F.col(p + "target") / F.col(p + "source_size")).otherwise(F.lit(0.0))
-    offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("__key"))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
-    placed = placed.withColumns({"__place": F.row_number().over(in_cell) + F.col("__start"), "__rate": rate, "__offset": offset})
-    copies = F.floor(F.col("__place") * F.col("__rate") + F.col("__offset")) - F.floor((F.col("__place") - 1) * F.col("__rate") + F.col("__offset"))
-    return placed.withColumn(p + "copies", copies.cast("long")).select(*own, *added)
+    counted = docs.select(F.struct(*own).alias("row"), F.size(words(F.col("text"))).cast("long").alias("size"))
+    bits = F.length(F.bin("size"))
+    class_ = bits * 32 + F.call_function("shiftright", F.col("size"), F.greatest(bits - 5, F.lit(0))).cast("int")
+    digest = F.md5(F.coalesce(F.col("row.doc_id").cast("string"), F.concat(F.lit("text "), F.md5(F.coalesce("row.text", F.lit(""))))))
+    sized = counted.select("row", "size", _source_key(F.col("row.source")).alias("key"), class_.alias("class"), digest.alias("digest"), F.substring(digest, 1, 2).alias("bin"))
+
+    cells = materialize(sized.groupBy("key", "class", "bin").agg(F.count("*").alias("n"), F.sum("size").alias("words")), "cells")
+    along = Window.partitionBy("key").orderBy("class", "bin")  # a source has some 300,000 cells at most, however many its rows
+    placed_cells = cells.withColumn("start", F.sum("n").over(along) - F.col("n"))
+    sizes = cells.groupBy("key").agg(F.sum("words").alias("source_size")).withColumn("source", F.when(F.col("key") != "0", F.expr("substring(key, 2)")))
+    goal = targets(sizes.select("source", "source_size"), weights, share, most).select(_source_key(F.col("source")).alias("key"), "source_size", "target")
+    goals = placed_cells.join(goal, "key").select("key", "class", "bin", "start", "source_size", "target")
+
+    placed = sized.join(goals, ["key", "class", "bin"])
+    in_cell = Window.partitionBy("key", "class", "bin").orderBy("size", "digest", "row.doc_id")
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("key"))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    placed = placed.withColumns({"place": F.row_number().over(in_cell) + F.col("start"), "rate": rate, "offset": offset})
+    copies = F.floor(F.col("place") * F.col("rate") + F.col("offset")) - F.floor((F.col("place") - 1) * F.col("rate") + F.col("offset"))
+    made = dict(zip(added, (F.col("size"), F.col("source_size"), F.col("target"), copies.cast("long"))))
+    return placed.select(*[F.col("row")[c].alias(c) for c in own], *[c.alias(name) for name, c in made.items()])
 
 
 def take(docs: DataFrame, **options) -> DataFrame:
@@ -91,14 +126,15 @@ def take(docs: DataFrame, **options) -> DataFrame:
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:
+    """The mix of all documents: size, source_size, target and words taken of every row."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
     mixed = mix(docs)
     return mixed.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_copies") * F.col("mix_size")).alias("taken"))
 
 
 OP7_SQL = r"""
-WITH s AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
-t AS (SELECT *, length(bin(size)) AS bits, md5(coalesce(doc_id::VARCHAR, '')) AS digest, CASE WHEN source IS NULL THEN '0' ELSE '1' || source END AS k FROM s),
+WITH s AS (SELECT doc_id, source, text, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+t AS (SELECT *, length(bin(size)) AS bits, md5(coalesce(doc_id::VARCHAR, 'text ' || md5(coalesce(text, '')))) AS digest, CASE WHEN source IS NULL THEN '0' ELSE '1' || source END AS k FROM s),
 placed AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY bits * 32 + (size >> greatest(bits - 5, 0)), substr(digest, 1, 2), size, digest, doc_id) AS place FROM t),
 g AS (SELECT k, sum(size)::BIGINT AS source_size FROM t GROUP BY k),
 r AS (SELECT *, row_number() OVER (ORDER BY (k = '0'), k) AS rnk FROM g),

@@ -16,7 +16,7 @@ from .text import LOWER, UPPER, table
 
 #: (action, host, path), as the contract states them.
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
-#: A rule set may use so many different label counts and path lengths; each multiplies what a url expands to.
+#: Up to so many different pairs of label count and path length in the rules, a url expands to those only.
 MOST_SHAPES = 4096
 
 
@@ -36,7 +36,9 @@ def _rest(url: Column) -> Column:
 
 
 def rule_table(spark: SparkSession, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
-    return spark.createDataFrame(rules, "action string, host string, path string")
+    """(action, host, path) from a list, as literals."""
+    rows = [F.struct(*[F.lit(x).alias(c) for c, x in zip(("action", "host", "path"), rule)]) for rule in rules]
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
@@ -45,37 +47,39 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     A rule fits its host and all subdomains if the path starts with the rule's. The longest rule wins
     (characters of host and path; then the longer host; then block before allow). Without one, rule is
     null and the verdict is `default`. A null url, or one without '://', has empty host and path.
-    Repeated rows are judged alike and all kept. Other columns stay; those named like an added one are
-    replaced. Empty pages or rules are no special case.
+    Repeated rows are judged alike and all kept. Other columns stay, whatever their names; those named
+    like an added one are replaced. Empty pages or rules are no special case.
     """
     own = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     ruled = rules.filter("host IS NOT NULL AND path IS NOT NULL").select(
-        "action", F.concat("host", "path").alias("rule"), F.length("host").alias("host_len"), F.length("path").alias("path_len"), F.size(F.split("host", "\\.")).alias("labels")
+        "action", F.col("host").alias("suffix"), F.concat("host", "path").alias("rule"), F.length("host").alias("host_len"), F.length("path").alias("path_len"), F.size(F.split("host", "\\.")).alias("labels")
     )
     shapes = ruled.select("labels", "path_len").distinct().limit(MOST_SHAPES + 1).collect()
-    if len(shapes) > MOST_SHAPES:
-        raise ValueError(f"the rules have more than {MOST_SHAPES} shapes of host and path")
+    known = len(shapes) <= MOST_SHAPES  # else a url's suffixes are looked up first, and expand to the path lengths of their own rules
     labels, lengths = sorted({r[0] for r in shapes}), sorted({r[1] for r in shapes})
-    split = pages.select(*own, host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    head = F.substring("path", 1, max(lengths, default=0)).alias("__head")
-    judged = split.select("host", head).distinct()
+    split = pages.select(F.struct(*own).alias("row"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    head = F.substring("path", 1, max(lengths, default=0)) if known else F.col("path")
+    judged = split.select("host", head.alias("head")).distinct()
 
+    literal = lambda numbers: F.array(*[F.lit(n) for n in numbers]).cast("array<int>")
     parts = F.split("host", "\\.")
-    suffixes = [F.when(F.size(parts) >= k, F.concat_ws(".", F.slice(parts, F.lit(-k), F.lit(k)))) for k in labels]
-    prefixes = [F.when(F.length("__head") >= n, F.substring("__head", 1, n)) for n in lengths]
-    expressions = F.array_compact(F.array(*[F.concat(s, p) for s in suffixes for p in prefixes]))
-    expressions = expressions if labels else F.array().cast("array<string>")
-    expanded = judged.select("host", "__head", F.explode(expressions).alias("__e")).withColumn("__digest", F.sha2("__e", 256))
-    expanded = expanded.withColumn("__short", F.substring("__digest", 1, 8)).drop("__e")
-    keyed = ruled.withColumn("__full", F.sha2("rule", 256)).withColumn("__short", F.substring("__full", 1, 8)).drop("path_len", "labels")
-    hits = expanded.join(keyed, "__short").filter("__digest = __full")
+    at_labels = F.filter(literal(labels), lambda k: k <= F.size(parts)) if known else F.sequence(F.lit(1), F.size(parts))
+    hosts = judged.select("host", "head", F.explode(F.transform(at_labels, lambda k: F.concat_ws(".", F.slice(parts, -k, k)))).alias("suffix"))
+    of_host = ruled.groupBy("suffix").agg(F.collect_set("path_len").alias("lengths"))
+    hosts = hosts.withColumn("lengths", literal(lengths)) if known else hosts.join(of_host, "suffix")
+    prefixes = F.transform(F.filter("lengths", lambda n: n <= F.length("head")), lambda n: F.substring(F.col("head"), F.lit(1), n))
+    expanded = hosts.select("host", "head", "suffix", F.explode(prefixes).alias("prefix"))
+    keyed_urls = expanded.select("host", "head", F.sha2(F.concat("suffix", "prefix"), 256).alias("digest")).withColumn("short", F.substring("digest", 1, 8))
+    keyed_rules = ruled.select("action", "rule", "host_len", F.sha2("rule", 256).alias("full")).withColumn("short", F.substring("full", 1, 8))
+    hits = keyed_urls.join(keyed_rules, "short").filter("digest = full")
     rank = F.struct(F.length("rule"), "host_len", (F.col("action") == "block").cast("int"))
-    best = hits.groupBy("host", "__head").agg(F.max_by(F.struct("rule", "action"), rank).alias("__best"))
-    named = split.withColumn("__head", head).join(best, ["host", "__head"], "left")
-    return named.select(*own, "host", "path", F.col("__best.rule").alias("rule"), F.coalesce("__best.action", F.lit(default)).alias("verdict"))
+    best = hits.groupBy("host", "head").agg(F.max_by(F.struct("rule", "action"), rank).alias("best"))
+    named = split.withColumn("head", head).join(best, ["host", "head"], "left")
+    return named.select(*[F.col("row")[c].alias(c) for c in own], "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"))
 
 
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page judged by RULES; allow where none fits."""
     return judge(table(spark, sf_dir, "pages").select("page_id", "url"), rule_table(spark)).select("page_id", "host", "path", "rule", "verdict")
 
 

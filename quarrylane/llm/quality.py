@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import let, table, words
+from .text import bounded_sample, let, table, words
 
 #: Numbers per text that conditions may test.
 FEATURES = ("mean_word_chars", "symbols_per_word", "bangs_per_word", "upper_share", "dup_line_share", "repeat_word_share")
@@ -53,19 +53,15 @@ def with_stats(docs: DataFrame) -> DataFrame:
     count = lambda pattern: F.regexp_count(text, F.lit(pattern)).cast("long")
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike("[^\\x20\\x09-\\x0D]"))
     counted = docs.select(
-        *own, let(words(F.col("text")), lambda w: F.struct(F.size(w).cast("long").alias("n"), _repeated(w).alias("repeated"))).alias("__words"),
-        let(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("repeated"))).alias("__lines"),
-        F.length(F.regexp_replace(text, "[\\x20\\x09-\\x0D]+", "")).cast("long").alias("word_chars"), count("[#*$%&|<>]").alias("n_symbols"), count("!").alias("__bangs"), count("[A-Z]").alias("__upper"),
-    )
-    five = counted.select(
-        *own, F.col("__words.n").alias("n_words"), "word_chars", "n_symbols", F.col("__lines.repeated").alias("n_dup_lines"), F.col("__words.repeated").alias("n_repeat_words"),
-        "__bangs", "__upper", F.col("__lines.n").alias("__n_lines"),
+        F.struct(*own).alias("row"), let(words(F.col("text")), lambda w: F.struct(F.size(w).cast("long").alias("n"), _repeated(w).alias("repeated"))).alias("words"),
+        let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("repeated"))).alias("lines"),
+        F.length(F.regexp_replace(text, "[\\x20\\x09-\\x0D]+", "")).cast("long").alias("chars"), count("[#*$%&|<>]").alias("symbols"), count("!").alias("bangs"), count("[A-Z]").alias("upper"),
     )
     per = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
-    return five.select(
-        *own, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        per("word_chars", "n_words").alias("mean_word_chars"), per("n_symbols", "n_words").alias("symbols_per_word"), per("__bangs", "n_words").alias("bangs_per_word"),
-        per("__upper", "word_chars").alias("upper_share"), per("n_dup_lines", "__n_lines").alias("dup_line_share"), per("n_repeat_words", "n_words").alias("repeat_word_share"),
+    return counted.select(
+        *[F.col("row")[c].alias(c) for c in own], F.col("words.n").alias("n_words"), F.col("chars").alias("word_chars"), F.col("symbols").alias("n_symbols"), F.col("lines.repeated").alias("n_dup_lines"), F.col("words.repeated").alias("n_repeat_words"),
+        per("chars", "words.n").alias("mean_word_chars"), per("symbols", "words.n").alias("symbols_per_word"), per("bangs", "words.n").alias("bangs_per_word"),
+        per("upper", "chars").alias("upper_share"), per("lines.repeated", "lines.n").alias("dup_line_share"), per("words.repeated", "words.n").alias("repeat_word_share"),
     )
 
 
@@ -162,13 +158,14 @@ def verdict(rules: list[Rule]) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """Learns from the sample_rows labelled documents with the smallest hashes of their doc_id; nulls take no part.
+    """Learns from at most sample_rows labelled documents, those with the smallest hashes of their doc_id; nulls take no part.
 
+    A doc_id counts once: with its smaller label, if it has several, and with the text of the smallest hash.
     Documents that fail the base conditions are none of the learned list's business and left out.
+    The sample is written first, so that statistics are computed for its texts only.
     """
-    chosen = labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample_rows)
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # sample_rows rows at most
-    rows = with_stats(sample).filter(~base_failed()).select("quality", *FEATURES).collect()
+    sample = bounded_sample(docs, labels.filter("quality IN (0, 1)").select("doc_id", "quality"), sample_rows, F.xxhash64("doc_id"))
+    rows = with_stats(sample).filter(~base_failed()).select("quality", *FEATURES).collect()  # numbers of sample_rows documents at most
     return learn([tuple(r)[1:] for r in rows], [r["quality"] == 0 for r in rows])
 
 
@@ -180,6 +177,7 @@ def judge(docs: DataFrame, rules: list[Rule]) -> DataFrame:
 
 
 def op5_quality_rules(spark, sf_dir: str) -> DataFrame:
+    """The statistics and verdict of every document, by the list learned from the labelled sample; null and empty texts fail the base conditions."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rules = fit(docs, table(spark, sf_dir, "labels"))
     return judge(docs, rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")

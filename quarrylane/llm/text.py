@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quarrylane.scratch import materialize, shared_dir
 
-__all__ = ["LOWER", "SPACES", "UPPER", "crc_mod", "let", "materialize", "shared_dir", "table", "words"]
+__all__ = ["LOWER", "SPACES", "UPPER", "bounded_sample", "crc_mod", "let", "materialize", "shared_dir", "table", "words"]
 
 #: The six characters that end a word: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = " \t\n\x0b\x0c\r"
@@ -35,3 +35,16 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 def crc_mod(key: Column, modulus: int) -> Column:
     """crc32 of a key written as text, modulo `modulus`; a null key gives null."""
     return F.crc32(key.cast("string")) % modulus
+
+
+def bounded_sample(docs: DataFrame, labels: DataFrame, rows: int, rank: Column) -> DataFrame:
+    """(doc_id, <label>, text), at most `rows` rows: the documents of the labels (doc_id, <label>) with the smallest `rank`, written to the shared folder.
+
+    A doc_id counts once, with its smallest label and its text of the smallest hash, so that repeated rows
+    of either table can't pass the bound. Null doc_ids and labels take no part.
+    """
+    label = next(c for c in labels.columns if c != "doc_id")
+    one = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.min(label).alias(label))
+    chosen = one.withColumn("rank", rank).orderBy("rank", "doc_id").limit(rows).drop("rank")
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # `rows` rows
+    return materialize(texts.groupBy("doc_id", label).agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")), "sample")

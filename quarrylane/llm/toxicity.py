@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from .pieces import Bounded
-from .text import crc_mod, materialize, table
+from .text import bounded_sample, crc_mod, materialize, table
 
 #: Labelled rows that everything is learned from, at most: two thirds for the trees, the rest for calibration, all for the lexicon.
 SAMPLE_ROWS = 12_000
@@ -233,11 +233,14 @@ def lexicons(texts: DataFrame, entries: int = LEXICON_ENTRIES, least: int = 3, s
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Learns from the sample_rows rows of labels (doc_id, toxic) with the smallest hashes of their doc_id; nulls take no part."""
+    """Learns from at most sample_rows labelled documents, those with the smallest hashes of their doc_id; nulls take no part.
+
+    A doc_id counts once: with its smaller label, if it has several, and with the text of the smallest hash.
+    """
     key = F.xxhash64(F.col("doc_id").cast("string"), F.lit("toxicity"))
-    chosen = labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").select("doc_id", "toxic", key.alias("h")).orderBy("h", "doc_id", "toxic").limit(sample_rows)
-    part = F.pmod(F.col("h"), F.lit(6)).cast("int")
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic", part.alias("part"), (part % 2).alias("half"))
+    part = F.pmod(key, F.lit(6)).cast("int")
+    found = bounded_sample(docs, labels.filter("toxic IN (0, 1)").select("doc_id", "toxic"), sample_rows, key)
+    sample = found.select("text", "toxic", part.alias("part"), (part % 2).alias("half"))
     whole, *halves = lexicons(sample)
     rows = [r for k in (0, 1) for r in with_features(sample.filter(F.col("half") == k), halves[1 - k], ["part", "toxic"]).collect()]  # numbers of sample_rows rows at most
     data = np.array(sorted((float(r["part"]), float(r["toxic"]), *r["features"]) for r in rows)).reshape(-1, 2 + len(FEATURES))

@@ -44,8 +44,11 @@ def _small(df: DataFrame, row_bytes: Column) -> DataFrame:
 
 
 def _lines(text: Column) -> Column:
-    """The lines of a text in order, each as its words joined by single spaces."""
-    spaced = F.regexp_replace(text, "[\\x20\\x09\\x0B-\\x0D]+", " ")
+    """The lines of a text in order, each as its words joined by single spaces; most texts have nothing to replace."""
+    odd = F.lit(False)
+    for x in ("  ", "\t", "\r", "\x0b", "\x0c"):
+        odd = odd | F.contains(text, F.lit(x))
+    spaced = F.when(odd, F.regexp_replace(text, "[\\x20\\x09\\x0B-\\x0D]+", " ")).otherwise(text)
     return F.transform(F.split(spaced, "\n"), lambda line: F.trim(line))
 
 
@@ -54,8 +57,12 @@ def _word_count(line: Column) -> Column:
     return F.when(line == "", 0).otherwise(F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1)
 
 
-def _halves(t: Column, n: Column) -> Column:
-    """Keys one of which two lines one edit apart, or equal, share; t has n words joined by single spaces.
+#: Columns of a line's half-line keys; unused ones are null.
+_KEYS = ("k0", "k1", "k2", "k3")
+
+
+def _with_halves(lines: DataFrame, min_words: int) -> DataFrame:
+    """Adds _KEYS to lines (t, ...): keys one of which two lines one edit apart, or equal, share.
 
     For two such lines of m and m or m + 1 words, either the first or the last m // 2 words agree. A line
     of n words can be the shorter or the longer one, so both m = n and m = n - 1 count. Lengths are taken
@@ -67,9 +74,14 @@ def _halves(t: Column, n: Column) -> Column:
         power = F.call_function("shiftleft", F.lit(1), F.length(F.bin(h)) - 1)
         return F.when(h < 2, h).when(h * 2 >= power * 3, (power * 3 / 2).cast("int")).otherwise(power).cast("int")
 
-    first = lambda k: F.call_function("substring_index", t, F.lit(" "), k)
-    keys = lambda k: F.array(F.xxhash64(F.lit("first"), k, first(k)), F.xxhash64(F.lit("last"), k, first(-k)))
-    return let(F.struct(scale(half(n)).alias("a"), scale(half(n - 1)).alias("b")), lambda k: F.when(k["a"] == k["b"], keys(k["a"])).otherwise(F.concat(keys(k["a"]), keys(k["b"]))))
+    def keys(k: str) -> tuple[Column, Column]:
+        first = lambda n: F.call_function("substring_index", "t", F.lit(" "), n)
+        return F.xxhash64(F.lit("first"), k, first(F.col(k))), F.xxhash64(F.lit("last"), k, first(-F.col(k)))
+
+    n, compared = F.col("n"), F.col("n") >= min_words
+    scaled = lines.withColumn("n", _word_count(F.col("t"))).withColumns({"a": scale(half(n)), "b": scale(half(n - 1))})
+    made = [F.when(compared, k) for k in keys("a")] + [F.when(compared & (F.col("a") != F.col("b")), k) for k in keys("b")]
+    return scaled.withColumns(dict(zip(_KEYS, made))).drop("n", "a", "b")
 
 
 def _document() -> Column:
@@ -78,15 +90,14 @@ def _document() -> Column:
 
 
 def first_places(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(x, y, at struct<d, pos>, keys array<long>): the earliest place of each distinct line that has a word, told by 128 bits of hashes, and its half-line keys.
+    """(x, y, at struct<d, pos>, _KEYS): the earliest place of each distinct line that has a word, told by 128 bits of hashes, and its half-line keys.
 
     Lines of fewer than min_words words have no keys.
     """
     split = docs.filter("text IS NOT NULL").select(_document().alias("d"), _lines(F.col("text")).alias("lines"))  # first, so that texts aren't carried along with each line
     each = split.select("d", F.posexplode("lines").alias("pos", "t")).filter("t <> ''")
-    keys = let(_word_count(F.col("t")), lambda n: F.when(n >= min_words, _halves(F.col("t"), n)))
-    known = each.select(F.struct("d", "pos").alias("at"), F.xxhash64("t").alias("x"), F.xxhash64(F.lit("line"), "t").alias("y"), keys.alias("keys"))
-    return known.groupBy("x", "y").agg(F.min("at").alias("at"), F.first("keys").alias("keys"))
+    known = _with_halves(each, min_words).select(F.struct("d", "pos").alias("at"), F.xxhash64("t").alias("x"), F.xxhash64(F.lit("line"), "t").alias("y"), *_KEYS)
+    return known.groupBy("x", "y").agg(F.min("at").alias("at"), *[F.min(k).alias(k) for k in _KEYS])
 
 
 def _neighbourhood(lines: DataFrame) -> DataFrame:
@@ -116,7 +127,7 @@ def _one_edit(a: Column, b: Column) -> Column:
 
 def later_lines(docs: DataFrame, places: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(at): earliest places of distinct lines that have an earlier line one edit apart, among docs (doc_id, text) with their first_places."""
-    keys = places.select(F.xxhash64("x", "y").alias("id"), "at", F.explode("keys").alias("key"))
+    keys = places.select(F.xxhash64("x", "y").alias("id"), "at", F.explode(F.array_compact(F.array(*_KEYS))).alias("key"))
     shared = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high").select("key")
     found = materialize(keys.select("at", "key").join(shared, "key", "left_semi").select("at.d", "at.pos").distinct(), "found")
     positions = materialize(found.groupBy("d").agg(F.collect_set("pos").alias("positions")), "documents-of-found")
@@ -157,7 +168,8 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     thin = docs.select("doc_id", "text")
     places = materialize(first_places(thin, min_words), "places")
     kept = places.select("at").join(later_lines(thin, places, min_words), "at", "left_anti").select("at.d", "at.pos").groupBy("d").agg(F.collect_set("pos").alias("kept"))
-    joined = docs.select(F.struct(*own).alias("row"), _document().alias("d")).join(kept, "d", "left")
+    # a row for each document, which are many and alike: its part of a partition is small beside the texts, which so needn't be sorted
+    joined = docs.select(F.struct(*own).alias("row"), _document().alias("d")).join(kept.hint("shuffle_hash"), "d", "left")
 
     def rebuilt(lines: Column) -> Column:
         of_words = F.filter(F.transform(lines, lambda line, i: F.when(line.rlike("[^\\x20\\x09-\\x0D]"), F.lit(-1)).otherwise(i)), lambda i: i >= 0)  # places without words

@@ -17,7 +17,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quarrylane.llm import components, entry, licenses, linededup, mixing, ngrams, pieces, quality, simhash, topk, toxicity, urlfilter
+from quarrylane.llm import components, entry, licenses, linededup, mixing, ngrams, pieces, quality, simhash, text, topk, toxicity, urlfilter
 
 from ..conftest import rows_of
 
@@ -70,10 +70,43 @@ def test_top_k(spark, monkeypatch, listed):
     assert topk.top_k(vectors.limit(0), queries).count() == 0 and topk.top_k(vectors, queries.limit(0)).count() == 0
 
 
+def brute_top_k(rows, k=5):
+    """rows: (vec_id, list of whole numbers); the results of each row whose id is divisible by 50, all rows being rows of their own."""
+    out = []
+    for n, (i, q) in enumerate(rows):
+        if i is not None and i % 50 == 0:
+            scores = [(-sum(map(int.__mul__, q, v)), j is None, j or 0, j) for m, (j, v) in enumerate(rows) if m != n and len(v) == len(q)]
+            out += [(i, rank, j, -s) for rank, (s, _, _, j) in enumerate(sorted(scores, key=lambda x: x[:3])[:k], 1)]
+    return Counter(out)
+
+
+def test_every_row_is_a_candidate(spark):
+    rng = random.Random(31)
+    v = [[rng.randrange(-9, 9) for _ in range(3)] for _ in range(30)]
+    rows = [(rng.choice([0, 50, 100, 7, None, *range(20)]), rng.choice(v)) for _ in range(150)] + [(7, [256, 0, 0]), (7, [2304, 0, 0]), (50, [1, 0]), (51, [1, 0]), (0, []), (1, []), (100, [])]
+    frame = spark.createDataFrame(rows, "vec_id long, v array<int>")
+    got = Counter(tuple(r) for r in topk.top_k(frame, frame.filter("vec_id % 50 = 0"), vector_block=40, query_block=10).collect())
+    assert got == brute_top_k(rows)
+
+
+def test_large_components(spark):
+    rng = random.Random(32)
+    rows = [(i, [rng.choice([1e10, -1e10, 3.0, -1e3, 0.5]) for _ in range(4)]) for i in range(120)]
+    whole = [(i, [math.floor(256 * x) for x in v]) for i, v in rows]
+    frame = topk.prepared(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert {r["vec_id"]: [int(x) for x in r["v"]] for r in frame.collect()} == dict(whole)
+    got = [tuple(r) for r in topk.top_k(frame, frame.filter("vec_id % 50 = 0"), vector_block=50).collect()]
+    near = lambda s: max(min(s, 2**63 - 1), -(2**63 - 1))
+    assert Counter(got) == Counter({(i, n, j, near(s)): c for (i, n, j, s), c in brute_top_k(whole).items()})
+    middle = [(i, [rng.randrange(-(2**30), 2**30) for _ in range(4)]) for i in range(120)]  # beyond doubles, within longs
+    frame = spark.createDataFrame(middle, "vec_id long, v array<long>")
+    assert Counter(tuple(r) for r in topk.top_k(frame, frame.filter("vec_id % 50 = 0"), vector_block=50).collect()) == brute_top_k(middle)
+
+
 def test_quantized(spark):
-    rows = [(0, [0.5, -0.001]), (1, None), (2, [1.0, None]), (3, [float("nan"), 1.0]), (4, [float("inf"), 1.0]), (5, []), (0, [0.25, 0.0])]
-    got = {r["vec_id"]: r["v"] for r in topk.prepared(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
-    assert got == {0: [64, 0], 5: []}
+    rows = [(0, [0.5, -0.001]), (1, None), (2, [1.0, None]), (3, [float("nan"), 1.0]), (4, [float("inf"), 1.0]), (5, []), (0, [0.25, -0.0]), (None, [1.0, 1e10]), (6, [1.0, 1e307])]
+    got = topk.prepared(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r["vec_id"] or -1, r["v"]) for r in got) == sorted([(-1, [256, 2.56e12]), (-1, [128, -1]), (-1, [64, 0]), (5, [])])
 
 
 # 2 SimHash
@@ -184,6 +217,103 @@ def test_license_scan(spark, none):
     assert licenses.scan(none).count() == 0
 
 
+MIT_TEXT = """MIT License
+
+Copyright (c) 2020 Jo Doe
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+BSD_TEXT = """Copyright (c) 2019, Jo Doe
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE
+FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER
+CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY,
+OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE
+OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.
+"""
+GPL_TEXT = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+"""
+APACHE_TEXT = """# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+# See the License for the specific language governing permissions and
+# limitations under the License.
+"""
+
+
+@pytest.mark.parametrize("most", [0, 5000])
+def test_licenses_as_they_are_distributed(spark, monkeypatch, most):
+    monkeypatch.setattr(licenses, "MOST_SENTENCES", most)
+    texts = {MIT_TEXT: ["MIT"], BSD_TEXT: ["BSD-3-Clause"], GPL_TEXT: ["GPL-3.0-or-later"], APACHE_TEXT: ["Apache-2.0"], "All  rights  reserved.": ["Proprietary"], "All rights\nreserved.": ["Proprietary"], "GNU GENERAL PUBLIC LICENSE\n  Version 3, 29 June 2007\n\nCopyright": ["GPL-3"]}
+    texts |= {BSD_TEXT.replace("1. ", "(a) ").replace("2. ", "(b) ").replace("3. ", "(c) "): ["BSD-3-Clause"], f"Notes\n{BSD_TEXT}": ["BSD-3-Clause"], MIT_TEXT.replace("\n", "\r\n"): ["MIT"], "\n\n".join(p.replace(" ", "\n") for p in MIT_TEXT.split("\n\n")): ["MIT"], "plain\nlines\nof text": []}
+    rows = spark.createDataFrame([(t, "mine") for t in texts] + [(None, "mine"), ("", "mine")], "text string, x string").select("text", *[F.col("x").alias(c) for c in ("row", "scan", "__scan", "digest", "names")])
+    got = licenses.scan(rows).collect()
+    assert {r["text"]: r["licenses"] for r in got} == {**texts, None: [], "": []} and len(got) == len(texts) + 2
+    assert all(r["unmatched"] == 0 for r in got if r["text"] in (BSD_TEXT, GPL_TEXT, APACHE_TEXT)) and all(r["scan"] == r["names"] == "mine" for r in got)
+
+
+def test_custom_licence_tables(spark):
+    rows = spark.createDataFrame([("This work is in the public domain. So there.",), ("so\nthere it is",)], "text string")
+    known = spark.createDataFrame([("this work is in the public domain", "pd"), ("so there", "so"), ("so there", "so")], "sentence string, id string")
+    want = [(["pd", "so"], ["PD"], 1), (["so"], [], 1)]
+    rules = [("PD", ("pd",))]
+    for table in (known, {"this work is in the public domain": "pd", "so there": "so"}):
+        got = {r["text"]: (r["sentence_ids"], r["licenses"], r["unmatched"]) for r in licenses.scan(rows, table, rules).collect()}
+        assert got["This work is in the public domain. So there."] == want[0]
+    long = licenses.scan(spark.createDataFrame([("so\nthere\nit is",)], "text string"), known, rules).first()
+    assert (long["sentence_ids"], long["unmatched"]) == (["so"], 1)
+
+
 def test_longer_rules_go_first(spark):
     known, rules = {"a a": "a", "license b": "b"}, [("AB", ("a?", "b")), ("A", ("a",))]
     rows = spark.createDataFrame([("license b. a a license",), ("x",)], "text string")
@@ -252,6 +382,21 @@ def test_quality_statistics(spark, none):
     assert quality.judge(none, []).count() == 0
 
 
+def test_quality_keeps_other_columns(spark):
+    names = ("row", "words", "__words", "lines", "chars", "bangs", "upper", "symbols")
+    rows = spark.createDataFrame([("a b a b", "mine")], "text string, x string").select("text", *[F.col("x").alias(c) for c in names])
+    got = quality.judge(rows, []).first()
+    assert all(got[c] == "mine" for c in names) and got["n_words"] == 4
+
+
+def test_samples_are_bounded(spark):
+    docs = spark.createDataFrame([(7, f"text {i}") for i in range(50)] + [(8, "eight"), (9, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(7, 1), (7, 0), (8, 1), (9, 1), (10, 1), (None, 0)], "doc_id long, quality int")
+    got = {r["doc_id"]: (r["quality"], r["text"]) for r in text.bounded_sample(docs, labels, 10, F.col("doc_id")).collect()}
+    assert got[7][0] == 0 and got[7][1].startswith("text") and got[8] == (1, "eight") and got[9] == (1, None) and len(got) == 3
+    assert {r["doc_id"] for r in text.bounded_sample(docs, labels, 1, -F.col("doc_id")).collect()} <= {10}
+
+
 def test_decision_list_separates(spark):
     rng = random.Random(7)
     rows = [tuple(rng.random() for _ in quality.FEATURES) for _ in range(600)]
@@ -289,6 +434,11 @@ def brute_dedup(docs, min_words=5):
 
     compared = [at for at, _ in lines if len(words[at]) >= min_words]
     gone = {at for n, at in enumerate(compared) if any(near(words[at], words[before]) for before in compared[:n])}
+    seen = set()
+    for at, _ in lines:  # a short line must be equal
+        if words[at] and tuple(words[at]) in seen:
+            gone.add(at)
+        seen.add(tuple(words[at]))
     out = {}
     for i, t in docs:
         out[i] = None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone)
@@ -326,6 +476,23 @@ def test_line_dedup_of_repeated_rows_and_null_ids(spark):
     assert got == Counter({(1, line): 2, (None, ""): 1, (2, ""): 1, (2, "something else entirely in this line"): 1, (None, None): 1})
 
 
+def test_short_lines_must_be_equal(spark):
+    rows = [(1, "Read more here\nRead more there"), (2, "Read  more here\n\n \nRead more"), (3, "日本語の一行\n}"), (4, "日本語の一行\n}\n}")]
+    names = ("d", "__d", "row", "kept", "__kept", "new", "lines")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", "text", *[F.lit("mine").alias(c) for c in names])
+    got = linededup.dedup(docs).collect()
+    assert {r["doc_id"]: (r["text"], r["n_lines"], r["n_removed"]) for r in got} == {1: (rows[0][1], 2, 0), 2: ("\n \nRead more", 4, 1), 3: (rows[2][1], 2, 0), 4: ("", 3, 3)}
+    assert all(r[c] == "mine" for r in got for c in names)
+
+
+@pytest.mark.parametrize("most", [0, 32 << 20])
+def test_line_dedup_without_broadcasts(spark, monkeypatch, most):
+    monkeypatch.setattr(linededup, "MOST_BROADCAST", most)
+    rows = [(i, f"user number {i % 7} has logged in today\nand then did thing {i} of all\nend") for i in range(60)]
+    got = {r["doc_id"]: r["text"] for r in linededup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_dedup(rows)
+
+
 def test_a_hot_template(spark):
     rows = [(i, f"user number {i} has logged in today") for i in range(500)]
     got = {r["doc_id"]: r["text"] for r in linededup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
@@ -335,7 +502,9 @@ def test_a_hot_template(spark):
 # 7 mixing
 
 
-def test_targets(spark):
+@pytest.mark.parametrize("in_order", [0, 100])
+def test_targets(spark, monkeypatch, in_order):
+    monkeypatch.setattr(mixing, "MOST_IN_ORDER", in_order)
     rng = random.Random(9)
     for n in (1, 2, 3, 7):
         sizes = {f"s{i}": rng.choice([0, 5, 100, 10**6]) for i in range(n)}
@@ -372,14 +541,30 @@ def test_mix(spark, odd, none):
     assert taken.columns == docs.columns and taken.count() == sum(r["mix_copies"] for r in got)
 
 
+def test_mix_of_clashing_columns_and_rows_without_ids(spark):
+    rows = [(None, f"{i} " + "w " * (i % 7), "s", "mine", i) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, row string, key int")
+    for c in ("digest", "place", "bin", "size", "target", "__key"):
+        docs = docs.withColumn(c, F.lit("mine"))
+    got = mixing.mix(docs).collect()
+    assert sorted(r["key"] for r in got) == [*range(400)] and all(r[c] == "mine" for r in got for c in ("row", "digest", "place", "bin", "size", "target", "__key"))
+    taken = sum(r["mix_copies"] * r["mix_size"] for r in got)
+    assert abs(taken - 1.5 * sum(r["mix_size"] for r in got)) < 20
+    bins = {r["b"] for r in docs.select(F.substring(F.md5(F.concat(F.lit("text "), F.md5("text"))), 1, 2).alias("b")).collect()}
+    assert len(bins) > 100  # rows without ids are spread
+
+
 # 8 url filters
 
 
-def test_url_filters(spark):
+@pytest.mark.parametrize("shapes", [0, 4096])
+def test_url_filters(spark, monkeypatch, shapes):
+    monkeypatch.setattr(urlfilter, "MOST_SHAPES", shapes)
     urls = [None, "", "no scheme", "http://A.Example.COM/en/x?y#z", "http://www.example.com/en/", "https://x.www.example.com/en/a", "http://net/es/", "http://a.net/fr/x", "http://a.net/de/", "http://com", "http://com/", "http://notcom/", "http://example.com?en/", "x://y://com/", "http://", "http://" + "a." * 3000 + "com/", "http://com/" + "p" * 10000]
     rows = spark.createDataFrame([(i if i != 4 else None, u, "clash") for i, u in enumerate(urls)] * 2, "page_id long, url string, verdict string")
+    rows = rows.withColumns({c: F.lit("mine") for c in ("row", "head", "__head", "best", "short", "digest")})
     got = urlfilter.judge(rows, urlfilter.rule_table(spark)).collect()
-    assert len(got) == 2 * len(urls)
+    assert len(got) == 2 * len(urls) and all(r[c] == "mine" for r in got for c in ("row", "head", "__head", "best", "short", "digest"))
     for r in got:
         rest = r["url"].split("://", 1)[1] if r["url"] and "://" in r["url"] else ""
         host = re.match(r"[^/?#]*", rest)[0]

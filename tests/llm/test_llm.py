@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
 import random
 import re
 from collections import Counter, defaultdict
@@ -487,7 +488,7 @@ def test_short_lines_must_be_equal(spark):
 
 @pytest.mark.parametrize("most", [0, 32 << 20])
 def test_line_dedup_without_broadcasts(spark, monkeypatch, most):
-    monkeypatch.setattr(linededup, "MOST_BROADCAST", most)
+    monkeypatch.setattr(text, "MOST_BROADCAST", most)
     rows = [(i, f"user number {i % 7} has logged in today\nand then did thing {i} of all\nend") for i in range(60)]
     got = {r["doc_id"]: r["text"] for r in linededup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute_dedup(rows)
@@ -629,49 +630,90 @@ def test_masked_words():
 
 
 def brute_lm(train):
-    count, pairs = Counter(), Counter()
+    """(counts of words, p(u, v, w)) by definition."""
+    count, triples = Counter(), Counter()
     for t in train:
         w = ngrams.tokens(t)
         count.update(w)
-        pairs.update(zip([b" s", *w], w))
-    follow = Counter(b for _, b in pairs)
-    of = lambda c: ngrams.discounts([sum(v == k for v in c.values()) for k in (1, 2, 3, 4)])
-    d, e, context = of(pairs), of(follow), defaultdict(lambda: [0, 0, 0, 0])
-    for (a, _), k in pairs.items():
-        context[a][0] += k
-        context[a][min(k, 3)] += 1
-    spread = sum(e[min(k, 3) - 1] for k in follow.values()) / len(pairs) if pairs else 1.0
-    one = lambda w: (follow[w] - (e[min(follow[w], 3) - 1] if follow[w] else 0)) / max(len(pairs), 1) + spread / (len(count) + 1)
-
-    def p(a, w):
-        x = context.get(a)
-        if not x:
-            return one(w)
-        k = pairs[a, w]
-        return (k - (d[min(k, 3) - 1] if k else 0)) / x[0] + sum(d[j] * x[j + 1] for j in range(3)) / x[0] * one(w)
+        triples.update(zip([b" s", b" s", *w], [b" s", *w], w))
+    pairs = Counter((v, w) for _, v, w in triples)
+    ends = Counter(w for _, w in pairs)
+    of = lambda c: ngrams.discounts([sum(x == k for x in c.values()) for k in (1, 2, 3, 4)])
+    three, two, one = of(triples), of(pairs), of(ends)
+
+    def following(grams):
+        out = defaultdict(lambda: [0, 0, 0, 0])
+        for (*context, _), k in grams.items():
+            out[tuple(context)][0] += k
+            out[tuple(context)][min(k, 3)] += 1
+        return out
+
+    after_two, after_one = following(triples), following(pairs)
+    spread = sum(one[min(k, 3) - 1] for k in ends.values()) / len(pairs) if pairs else 1.0
+    p1 = lambda w: (ends[w] - (one[min(ends[w], 3) - 1] if ends[w] else 0)) / max(len(pairs), 1) + spread / (len(count) + 1)
+
+    def over(x, k, d, lower):
+        return (k - (d[min(k, 3) - 1] if k else 0)) / x[0] + sum(d[j] * x[j + 1] for j in range(3)) / x[0] * lower if x else lower
+
+    def p(u, v, w):
+        return over(after_two.get((u, v)), triples[u, v, w], three, over(after_one.get((v,)), pairs[v, w], two, p1(w)))
 
     return count, p
 
 
+FREQUENT = sorted((ngrams._hash(w), n) for w, n in ((b"w1", 3), (b"often", 5), (b"pair", 2), (b" <start>", 4)))
+LAYOUTS = [ngrams.Layout(1), ngrams.Layout(5), ngrams.Layout(5, *map(tuple, zip(*FREQUENT)))]
+
+
 @pytest.mark.parametrize("chunk", [50, 10**6])
-def test_language_model(spark, odd, none, monkeypatch, chunk):
+@pytest.mark.parametrize("layout", LAYOUTS)
+def test_language_model(spark, odd, none, monkeypatch, chunk, layout):
     monkeypatch.setattr(ngrams, "CHUNK_TOKENS", chunk)
     rng = random.Random(12)
     texts = [" ".join(f"W{int(rng.paretovariate(0.7)) % 50}" for _ in range(rng.randrange(30))) for _ in range(80)] + ODD_TEXTS[:7] + ["often pair " * 400]
     train = spark.createDataFrame([(t,) for t in texts], "text string")
-    model = ngrams.train(train, shards=5)
+    model = ngrams.train(train, layout)
     count, p = brute_lm(texts)
     assert (model.tokens, model.words) == (sum(count.values()), len(count))
-    assert math.isclose(sum(p(b"w1", w) for w in count) + p(b"w1", b"unknown"), 1, rel_tol=1e-9)
-    other = documents(spark, [*ODD_TEXTS, "w1 w2 w3", "w1 unknown w1"])
+    for context in ((b"w1", b"w2"), (b"w1", b"unknown"), (b"unknown", b"w1"), (b" s", b" s"), (b"often", b"pair")):
+        assert math.isclose(sum(p(*context, w) for w in count) + p(*context, b"unknown"), 1, rel_tol=1e-9)
+    own = [*ODD_TEXTS, "w1 w2 w3", "w1 unknown w1", "pair often w1 w49", *texts[:20]]
+    other = documents(spark, own)
     for r in ngrams.score(other, model).collect():
-        w = ngrams.tokens(r_text := next(t for i, t in enumerate([*ODD_TEXTS, "w1 w2 w3", "w1 unknown w1"]) if (i if i != 3 else None) == r["doc_id"]))
+        w = ngrams.tokens(r_text := next(t for i, t in enumerate(own) if (i if i != 3 else None) == r["doc_id"]))
         assert (r["n_tokens"], r["n_known"]) == (len(w), sum(count[x] > 0 for x in w)), r_text
         assert math.isclose(r["base_score"], sum(math.log10((count[x] + 1) / (model.tokens + model.words + 1)) for x in w), rel_tol=1e-9)
-        assert math.isclose(r["score"], sum(math.log10(p(a, x)) for a, x in zip([b" s", *w], w)), rel_tol=1e-9)
+        assert math.isclose(r["score"], sum(math.log10(p(*x)) for x in zip([b" s", b" s", *w], [b" s", *w], w)), rel_tol=1e-9)
     assert ngrams.score(none, model).count() == 0
-    nothing = ngrams.train(train.limit(0), shards=3)
+
+
+def test_language_model_of_nothing(spark, odd, none):
+    nothing = ngrams.train(none.select("text"))
     assert nothing.tokens == 0 and all(math.isfinite(r["score"]) for r in ngrams.score(odd, nothing).collect())
+    one = ngrams.train(spark.createDataFrame([("a b",)], "text string"))
+    assert all(math.isfinite(r["score"]) for r in ngrams.score(odd, one).collect())
+
+
+def test_layout_deals_frequent_words(spark):
+    rng = random.Random(13)
+    texts = spark.createDataFrame([(" ".join(["The", f"n{rng.randrange(9999)}", "the"]) + " ",) for _ in range(3000)], "text string")
+    layout = ngrams.layout_of(texts, shard_bytes=3000)
+    assert layout.shards > 10 and {ngrams._hash(b"the"), ngrams._hash(b" <start>")} == {*layout.frequent} and layout.dealt[layout.frequent.index(ngrams._hash(b"the"))] > 10
+    where = layout.of_pairs(np.full(999, ngrams._hash(b"the"), dtype=np.uint64), np.arange(999, dtype=np.uint64))
+    assert len({*where.tolist()}) > 10 and ngrams.layout_of(texts.limit(0)).shards == 1
+
+
+@pytest.mark.parametrize("how", ["missing", "short"])
+def test_a_model_without_all_its_files(spark, how):
+    texts = spark.createDataFrame([(f"a b c{i} d",) for i in range(50)], "text string")
+    model = ngrams.train(texts, ngrams.Layout(3))
+    docs = spark.createDataFrame([(1, "a b c1 d")], "doc_id long, text string")
+    assert ngrams.score(docs, model).count() == 1
+    for name in os.listdir(model.folder):
+        if name.startswith("grams-"):
+            os.remove(f"{model.folder}/{name}") if how == "missing" else os.truncate(f"{model.folder}/{name}", 8)
+    with pytest.raises(Exception, match="missing or not whole"):
+        ngrams.score(docs, model).collect()
 
 
 def test_mounted_folders_only():

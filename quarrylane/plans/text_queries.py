@@ -145,22 +145,34 @@ def grouped_text(spark, d) -> DataFrame:
     return lines.groupBy("p_type").agg(F.array_join(F.transform(sorted_lines, lambda x: F.concat_ws(": ", x["p_brand"], x["p_name"])), "; ").alias("listing"))
 
 
-@query("f01_f02_indicators", "SELECT doc_id, regexp_matches(text, '\\b(?:[a-fA-F0-9]{64}|[a-fA-F0-9]{40}|[a-fA-F0-9]{32})\\b|\\b(?:(?:25[0-5]|2[0-4]\\d|1?\\d?\\d)\\.){3}(?:25[0-5]|2[0-4]\\d|1?\\d?\\d)\\b|(?i:\\bcve-\\d{4}-\\d{4,7}\\b)|(?i:\\b(?:hxxps?://\\S+|\\S+\\[\\.\\]\\S+))') AS hit, len(list_distinct(regexp_extract_all(text, '\\b(?:[a-fA-F0-9]{64}|[a-fA-F0-9]{40}|[a-fA-F0-9]{32})\\b') || regexp_extract_all(text, '\\b(?:(?:25[0-5]|2[0-4]\\d|1?\\d?\\d)\\.){3}(?:25[0-5]|2[0-4]\\d|1?\\d?\\d)\\b') || regexp_extract_all(text, '(?i)\\bcve-\\d{4}-\\d{4,7}\\b') || regexp_extract_all(text, '(?i)\\b(?:hxxps?://\\S+|\\S+\\[\\.\\]\\S+)')))::INT AS hits FROM documents")
+def _any_indicator(x: str) -> str:
+    return "(" + " OR ".join(f"regexp_matches({x}, '{p}')" for p in screen.INDICATORS) + ")"
+
+
+_ALL_INDICATORS = " || ".join(f"regexp_extract_all(text, '{p}')" for p in screen.INDICATORS)
+
+
+@query("f01_f02_indicators", f"SELECT doc_id, {_any_indicator('text')} AS hit, array_to_string(list_filter({_ALL_INDICATORS}, lambda x, i: list_position({_ALL_INDICATORS}, x) = i), ' ') AS hits FROM (SELECT doc_id, text || CASE doc_id % 6 WHEN 0 THEN ' CVE-2021-12345678 xcve-2021-4444' WHEN 1 THEN ' evil [.]com com[at]x' WHEN 2 THEN ' 010.020.030.040 [dot]com' WHEN 3 THEN ' hxxp:// 10.0.0' ELSE '' END AS text FROM documents)")
 def indicators(spark, d) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", screen.has_indicator(F.col("text")).alias("hit"), F.size(screen.indicator_hits(F.col("text"))).alias("hits"))
+    """Documents of which some get indicators, and what is nearly one, at their end."""
+    kind = F.col("doc_id") % 6
+    end = F.when(kind == 0, " CVE-2021-12345678 xcve-2021-4444").when(kind == 1, " evil [.]com com[at]x").when(kind == 2, " 010.020.030.040 [dot]com").when(kind == 3, " hxxp:// 10.0.0").otherwise("")
+    text = F.concat("text", end)
+    return table(spark, d, "documents").select("doc_id", screen.has_indicator(text).alias("hit"), F.array_join(screen.indicator_hits(text), " ").alias("hits"))
 
 
 def _hits(terms: list[str]) -> str:
-    return "list_sort(list_filter([" + ", ".join(f"CASE WHEN contains(lower(text), '{t}') THEN '{t}' END" for t in terms) + "], lambda x: x IS NOT NULL))"
+    return "list_filter([" + ", ".join(f"CASE WHEN contains(lower(text), '{t}') THEN '{t}' END" for t in terms) + "], lambda x: x IS NOT NULL)"
 
 
-@query("f03_f05_vocabulary", f"SELECT doc_id, array_to_string({_hits(_TERMS)}, ',') AS terms, len({_hits(_TERMS)}) >= 2 AS enough, array_to_string({_hits(_TOOLS)}, ',') AS tools FROM documents")
+@query("f03_f05_vocabulary", f"SELECT doc_id, array_to_string({_hits(_TERMS)}, ',') AS terms, len({_hits(_TERMS)}) >= 2 AS enough, array_to_string({_hits(_TOOLS)}, ',') AS tools, array_to_string({_hits(_TERMS)} || {_hits([t for t in _TOOLS if t not in _TERMS])}, ',') AS hits FROM documents")
 def vocabulary(spark, d) -> DataFrame:
-    terms, tools = screen.term_hits(F.col("text"), _TERMS), screen.term_hits(F.col("text"), _TOOLS)
-    return table(spark, d, "documents").select("doc_id", F.array_join(terms, ",").alias("terms"), (F.size(terms) >= 2).alias("enough"), F.array_join(tools, ",").alias("tools"))
+    x = F.col("text")
+    terms, tools = screen.term_hits(x, _TERMS), screen.term_hits(x, _TOOLS)
+    return table(spark, d, "documents").select("doc_id", F.array_join(terms, ",").alias("terms"), (F.size(terms) >= 2).alias("enough"), F.array_join(tools, ",").alias("tools"), F.array_join(screen.vocabulary_hits(x, _TERMS, _TOOLS), ",").alias("hits"))
 
 
-_GATE = f"SELECT doc_id, CASE WHEN n < 200 THEN 'short' WHEN NOT (i OR v OR t) THEN 'no_heuristic' ELSE 'level1_ok' END AS reason FROM (SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS n, len({_hits(_TERMS)}) >= 2 AS v, len({_hits(_TOOLS)}) > 0 AS t, regexp_matches(text, '\\b(?:[a-fA-F0-9]{{64}}|[a-fA-F0-9]{{40}}|[a-fA-F0-9]{{32}})\\b|\\b(?:(?:25[0-5]|2[0-4]\\d|1?\\d?\\d)\\.){{3}}(?:25[0-5]|2[0-4]\\d|1?\\d?\\d)\\b|(?i:\\bcve-\\d{{4}}-\\d{{4,7}}\\b)|(?i:\\b(?:hxxps?://\\S+|\\S+\\[\\.\\]\\S+))') AS i FROM documents)"
+_GATE = f"SELECT doc_id, CASE WHEN n < 200 THEN 'short' WHEN NOT (i OR v OR t) THEN 'no_heuristic' ELSE 'level1_ok' END AS reason FROM (SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS n, len({_hits(_TERMS)}) >= 2 AS v, len({_hits(_TOOLS)}) > 0 AS t, {_any_indicator('text')} AS i FROM documents)"
 
 
 @query("f06_gate_one", _GATE)
@@ -236,7 +248,10 @@ def near_pairs(spark, d) -> DataFrame:
     return screen.near_pairs(firsts, "doc_id")
 
 
-@query("v03_keep_first")
+_DOCS_IN_ORDER = _PRINTS + ", n AS MATERIALIZED (SELECT p.doc_id, ('0b' || bits)::UBIGINT AS fp, source || '/' || (p.doc_id % 200) AS url FROM p JOIN documents d ON d.doc_id = p.doc_id), o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY doc_id) AS r FROM n)"
+
+
+@query("v03_keep_first", _DOCS_IN_ORDER.replace("WITH ", "WITH RECURSIVE ", 1) + ", read(r, kept) AS (SELECT 0::BIGINT, []::STRUCT(doc_id BIGINT, fp UBIGINT)[] UNION ALL SELECT o.r, CASE WHEN len(list_filter(kept, lambda k: bit_count(xor(k.fp, o.fp)) <= 3)) = 0 THEN list_append(kept, {'doc_id': o.doc_id, 'fp': o.fp}) ELSE kept END FROM read JOIN o ON o.r = read.r + 1) SELECT unnest(kept).doc_id AS doc_id FROM read WHERE r = (SELECT max(r) FROM read)")
 def keep_first(spark, d) -> DataFrame:
     from quarrylane.scratch import materialize
 
@@ -261,14 +276,11 @@ def merged_candidates(spark, d) -> DataFrame:
     return screen.merge_candidates(forced, found, "query_id", 5)
 
 
-@query("v03_ingest_counters")
+@query("v03_ingest_counters", _DOCS_IN_ORDER.replace("WITH ", "WITH RECURSIVE ", 1) + ", read(r, kept, status) AS (SELECT 0::BIGINT, []::STRUCT(url VARCHAR, fp UBIGINT)[], NULL::VARCHAR UNION ALL SELECT r, CASE WHEN status = 'inserted' THEN list_append(kept, {'url': url, 'fp': fp}) ELSE kept END, status FROM (SELECT o.*, kept, CASE WHEN len(list_filter(kept, lambda k: bit_count(xor(k.fp, o.fp)) <= 3)) > 0 THEN 'dup_sim' WHEN len(list_filter(kept, lambda k: k.url = o.url)) > 0 THEN 'dup_url' ELSE 'inserted' END AS status FROM read JOIN o ON o.r = read.r + 1)) SELECT status, count(*) AS n FROM read WHERE r > 0 GROUP BY status")
 def ingest_counters(spark, d) -> DataFrame:
-    """Documents in order: near a kept one (dup_sim), else of a url already kept (dup_url), else inserted; the check for nearness comes first."""
+    """Documents in order: near an inserted one (dup_sim), else of a url already inserted (dup_url), else inserted; the check for nearness comes first."""
     from quarrylane.scratch import materialize
 
-    docs = materialize(table(spark, d, "documents").select("doc_id", F.concat("source", F.lit("/"), (F.col("doc_id") % 200).cast("string")).alias("url"), screen.simhash64(F.col("text")).alias("fp")), "ingest")
-    firsts = materialize(docs.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "firsts")
-    kept = screen.keep_first(firsts, screen.near_pairs(firsts, "doc_id"), "doc_id").withColumn("new", F.lit(True))
-    marked = docs.join(kept, "doc_id", "left").withColumn("first_of_url", F.min(F.when(F.col("new"), F.col("doc_id"))).over(Window.partitionBy("url")))
-    status = F.when(F.col("new").isNull(), "dup_sim").when(F.col("doc_id") == F.col("first_of_url"), "inserted").otherwise("dup_url")
-    return marked.groupBy(status.alias("status")).agg(F.count("*").alias("n"))
+    docs = materialize(table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.concat("source", F.lit("/"), (F.col("doc_id") % 200).cast("string")).alias("url"), screen.simhash64(F.col("text")).alias("fp")), "prints")
+    pairs = screen.near_pairs(docs.select("fp").distinct(), "fp")
+    return screen.ingest_status(docs, pairs).groupBy("status").agg(F.count("*").alias("n"))

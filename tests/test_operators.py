@@ -41,9 +41,16 @@ def test_behaviour_queries(spark):
 
 def test_indicators(spark):
     texts = ["CVE-2024-1234 and cve-2024-1234", "version 10.2.3", "at 192.168.0.1 and 192.168.0.1", "a" * 32 + " " + "b" * 40, "a" * 33, "hxxp://bad[.]site", None]
+    texts += ["CVE-2021-12345678", "xCVE-2021-4444", "evil [.]com", "com[at]x", "[dot]com", "010.020.030.040", "see hxxp:// there", "8.8.8.8 ... CVE-2024-1234 8.8.8.8", "clean text"]
     hits = values(spark, screen.indicator_hits, texts)
     assert hits[:5] == [["CVE-2024-1234", "cve-2024-1234"], [], ["192.168.0.1"], ["a" * 32, "b" * 40], []]
-    assert hits[5] == ["hxxp://bad[.]site"]
+    assert hits[5] == ["hxxp://"]
+    assert hits[7:] == [["CVE-2021-12345678"], ["CVE-2021-4444"], ["[.]com"], ["com[at]"], ["[dot]com"], ["010.020.030.040"], ["hxxp://"], ["CVE-2024-1234", "8.8.8.8"], []]
+    assert values(spark, screen.has_indicator, texts) == [None if h is None else bool(h) for h in hits]
+
+
+def test_vocabulary_hits_keep_the_order_of_the_lists(spark):
+    assert values(spark, lambda x: screen.vocabulary_hits(x, ["play", "apache", "bee"], ["zed", "apache", "ant"]), ["display of ANTS, apache, zed"]) == [["play", "apache", "zed", "ant"]]
 
 
 def test_gate(spark):
@@ -238,9 +245,37 @@ def test_trend_category(spark, direction):
     assert row["c"] == ("EMERGING" if direction == "increasing" else "OBSOLESCENT")
 
 
-def test_keep_first_says_when_keys_stay_open(spark):
-    prints = spark.createDataFrame([(i,) for i in range(6)], "id long")
-    chain = spark.createDataFrame([(i, i + 1) for i in range(5)], "a long, b long")
-    assert {r["id"] for r in screen.keep_first(prints, chain, "id", most_rounds=5).collect()} == {0, 2, 4}
-    with pytest.raises(RuntimeError):
-        screen.keep_first(prints, chain, "id", most_rounds=2)
+@pytest.mark.parametrize("most", [3, 200_000])
+def test_keep_first_decides_long_chains(spark, most):
+    n = 300 if most > 3 else 16
+    prints = spark.createDataFrame([(i,) for i in range(n)], "id long")
+    chain = spark.createDataFrame([(i, i + 1) for i in range(n - 1)], "a long, b long")
+    assert {r["id"] for r in screen.keep_first(prints, chain, "id", most).collect()} == {*range(0, n, 2)}
+
+
+@pytest.mark.parametrize("most", [0, 200_000])
+def test_ingest_in_order(spark, most):
+    rng = random.Random(6)
+    rows = [(i, rng.choice([None, *"abcdefgh"]), rng.randrange(30)) for i in range(120)]
+    pairs = {(a, b) for a in range(30) for b in range(a + 1, 30) if rng.random() < 0.03}
+    near, inserted, want = {(a, b) for p in pairs for a, b in (p, p[::-1])}, [], {}
+    for i, url, fp in rows:
+        if any(fp == g or (fp, g) in near for _, g in inserted):
+            want[i] = "dup_sim"
+        elif url is not None and any(url == u for u, _ in inserted):
+            want[i] = "dup_url"
+        else:
+            want[i] = "inserted"
+            inserted.append((url, fp))
+    got = screen.ingest_status(spark.createDataFrame(rows, "id long, url string, fp long"), spark.createDataFrame(sorted(pairs), "a long, b long"), most)
+    assert {r["id"]: r["status"] for r in got.collect()} == want
+    empty = screen.ingest_status(spark.createDataFrame([], "id long, url string, fp long"), spark.createDataFrame([], "a long, b long"))
+    assert empty.count() == 0
+
+
+def test_near_pairs_by_tiles(spark):
+    rng = random.Random(8)
+    prints = sorted({rng.getrandbits(64) & 0xFF for _ in range(150)})
+    rows = spark.createDataFrame(list(enumerate(prints)), "k int, fp long")
+    want = {(i, j) for i in range(len(prints)) for j in range(i + 1, len(prints)) if (prints[i] ^ prints[j]).bit_count() <= 3}
+    assert {(r["a"], r["b"]) for r in screen.near_pairs(rows, "k", most_in_tile=10).collect()} == want

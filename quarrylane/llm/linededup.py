@@ -29,18 +29,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .text import let, materialize, table
+from .text import broadcast_if_small, let, materialize, table
 
 #: Lines of fewer words are compared for equality only; an edit bound of one word would join most of them.
 MIN_WORDS = 5
 _LAST = 9223372036854775807
-#: Bytes in memory of a side that may be broadcast, at most; measured before, and larger sides are joined by a shuffle.
-MOST_BROADCAST = 32 << 20
-
-
-def _small(df: DataFrame, row_bytes: Column) -> DataFrame:
-    """A materialized DataFrame, marked for broadcast if its rows have been measured to be small."""
-    return F.broadcast(df) if (df.agg(F.sum(row_bytes)).first()[0] or 0) <= MOST_BROADCAST else df
 
 
 def _lines(text: Column) -> Column:
@@ -131,14 +124,14 @@ def later_lines(docs: DataFrame, places: DataFrame, min_words: int = MIN_WORDS)
     shared = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high").select("key")
     found = materialize(keys.select("at", "key").join(shared, "key", "left_semi").select("at.d", "at.pos").distinct(), "found")
     positions = materialize(found.groupBy("d").agg(F.collect_set("pos").alias("positions")), "documents-of-found")
-    here = _small(positions, 48 + 4 * F.size("positions"))
+    here = broadcast_if_small(positions, 48 + 4 * F.size("positions"))
     source = docs.select(_document().alias("d"), "text").join(here, "d")
     chosen = let(_lines(F.col("text")), lambda lines: F.transform("positions", lambda p: F.struct(p.alias("pos"), F.get(lines, p).alias("line"))))
     picked = source.select("d", F.inline(chosen)).filter(_word_count(F.col("line")) >= min_words).select("d", "pos", F.split("line", " ").alias("w"))
     lines = materialize(picked.dropDuplicates(["d", "pos"]), "lines")
 
     every = materialize(_neighbourhood(lines), "neighbourhood")
-    several = _small(materialize(every.groupBy("v", "m").agg(F.count("*").alias("k")).filter("k > 1").select("v", "m"), "variants"), F.lit(32))
+    several = broadcast_if_small(materialize(every.groupBy("v", "m").agg(F.count("*").alias("k")).filter("k > 1").select("v", "m"), "variants"), F.lit(32))
     near = materialize(every.join(several, ["v", "m"]), "near")
     variants = near.filter("gone IS NOT NULL")
     same_place = variants.groupBy("v", "m", "gone").agg(F.min("at").alias("first"))

@@ -9,13 +9,22 @@ from pyspark.sql import functions as F
 
 from quarrylane.scratch import materialize, shared_dir
 
-__all__ = ["LOWER", "SPACES", "UPPER", "bounded_sample", "crc_mod", "let", "materialize", "shared_dir", "table", "words"]
+__all__ = ["LOWER", "SPACES", "MOST_BROADCAST", "UPPER", "bounded_sample", "broadcast_if_small", "crc_mod", "let", "materialize", "shared_dir", "table", "words"]
 
 #: The six characters that end a word: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
+#: Bytes in memory of a side that may be broadcast, at most; measured before, and larger sides are joined by a shuffle.
+MOST_BROADCAST = 32 << 20
+
+
+def broadcast_if_small(df: DataFrame, row_bytes: Column, most: int | None = None) -> DataFrame:
+    """A materialized DataFrame, marked for broadcast if its rows have been measured to be small."""
+    most = MOST_BROADCAST if most is None else most
+    return F.broadcast(df) if (df.agg(F.sum(row_bytes)).first()[0] or 0) <= most else df
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

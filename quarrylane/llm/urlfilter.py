@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .text import LOWER, UPPER, table
+from .text import LOWER, UPPER, broadcast_if_small, materialize, table
 
 #: (action, host, path), as the contract states them.
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -73,8 +73,10 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     keyed_rules = ruled.select("action", "rule", "host_len", F.sha2("rule", 256).alias("full")).withColumn("short", F.substring("full", 1, 8))
     hits = keyed_urls.join(keyed_rules, "short").filter("digest = full")
     rank = F.struct(F.length("rule"), "host_len", (F.col("action") == "block").cast("int"))
-    best = hits.groupBy("host", "head").agg(F.max_by(F.struct("rule", "action"), rank).alias("best"))
-    named = split.withColumn("head", head).join(best, ["host", "head"], "left")
+    best = materialize(hits.groupBy("host", "head").agg(F.max_by(F.struct("rule", "action"), rank).alias("best")), "judged")
+    # a row for each host and path that a rule fits; small, it goes to the urls, so that a popular host stays spread
+    found = broadcast_if_small(best, 128 + F.octet_length("host") + F.octet_length("head") + F.octet_length("best.rule"))
+    named = split.withColumn("head", head).join(found, ["host", "head"], "left")
     return named.select(*[F.col("row")[c].alias(c) for c in own], "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"))
 
 

@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+import warnings
+from datetime import datetime, timezone
+from urllib.parse import urljoin
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 #: Word split on Unicode white space.
 _SPACES = r"(?U)\s+"
@@ -46,16 +53,45 @@ _FORMATS = [
 ]
 
 
+def _read_date(x: str) -> str | None:
+    """A date in any form that dateutil reads, as ISO-8601 UTC with seconds."""
+    from dateutil import parser
+
+    try:
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")  # zones that it doesn't know count as none
+            found: datetime = parser.parse(x)
+        found = found.replace(tzinfo=timezone.utc) if found.tzinfo is None else found.astimezone(timezone.utc)
+        return f"{found.year:04d}" + found.strftime("-%m-%dT%H:%M:%SZ")
+    except (ValueError, OverflowError, TypeError):
+        return None
+
+
+@F.pandas_udf(StringType())
+def _other_date(x: pd.Series) -> pd.Series:
+    known: dict[str, str | None] = {}
+    for v in x:
+        if v is not None and v not in known:
+            known[v] = _read_date(v)
+    return x.map(lambda v: known.get(v) if v is not None else None)
+
+
 def normalise_date(x: Column) -> Column:
-    """A date in one of the known formats as ISO-8601 UTC with seconds; dates without a zone are UTC; others give null. The session's zone must be UTC."""
-    t = F.regexp_replace(F.trim(x), r"([+-]\d{2})(\d{2})$", "$1$2")
+    """A date in any common form as ISO-8601 UTC with seconds; dates without a zone are UTC, months go before days; blanks and others give null.
+
+    The session's zone must be UTC. Common forms are read by the engine; only what it can't read goes through
+    an Arrow UDF, where dateutil fills what a form lacks from today.
+    """
+    raw = F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    t = F.regexp_replace(raw, r"([+-]\d{2})(\d{2})$", "$1$2")
     tried = []
     for pattern, form in _FORMATS:
         # a weekday is checked by its shape only, as parsers of the newer kind don't take one
         body, read = (F.regexp_replace(t, "^[A-Z][a-z]{2}, ", ""), form.replace("EEE, ", "")) if form and form.startswith("EEE") else (t, form)
         parsed = F.try_to_timestamp(body, F.lit(read)) if read else F.try_to_timestamp(body)
         tried.append(F.when(t.rlike(pattern), parsed))
-    return F.date_format(F.coalesce(*tried), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    fast = F.date_format(F.coalesce(*tried), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return F.coalesce(fast, _other_date(F.when(fast.isNull() & (raw != ""), raw)))
 
 
 def canonical_url(url: Column) -> Column:
@@ -75,9 +111,40 @@ def path_segments(url: Column) -> Column:
     return F.size(F.filter(F.split(url_path(url), "/"), lambda s: s != ""))
 
 
-def links(html: Column) -> Column:
-    """Distinct targets of links, sorted."""
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(html, F.lit("<a [^>]*href=\"([^\"]*)\""), F.lit(1))))
+_HREF = "(?is)<a\\s[^>]*?\\bhref\\s*=\\s*(\"[^\"]*\"|'[^']*'|[^\\s\"'>]+)"
+
+
+def hrefs(html: Column) -> Column:
+    """Targets of links as they are written, in order, quoted either way or not at all."""
+    return F.transform(F.regexp_extract_all(html, F.lit(_HREF), F.lit(1)), lambda h: F.trim(F.regexp_replace(h, "^[\"']|[\"']$", "")))
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _joined(url: pd.Series, found: pd.Series) -> pd.Series:
+    def one(base, targets):
+        out = []
+        for h in targets if targets is not None else ():
+            try:
+                out.append(urljoin(base or "", h))
+            except ValueError:
+                out.append(h)
+        return out
+
+    return pd.Series([one(b, t) for b, t in zip(url, found)])
+
+
+def links(html: Column, url: Column | None = None) -> Column:
+    """Distinct targets of links that aren't empty, sorted; against the page's url if it is given.
+
+    Targets that need no joining, absolute ones, don't go through Python.
+    """
+    found = F.filter(hrefs(html), lambda h: h != "")
+    if url is None:
+        return F.array_sort(F.array_distinct(found))
+    absolute = lambda h: h.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:")
+    relative = F.filter(found, lambda h: ~absolute(h))
+    joined = _joined(url, F.when(F.size(relative) > 0, relative))
+    return F.array_sort(F.array_distinct(F.concat(F.filter(found, absolute), F.coalesce(joined, F.array().cast("array<string>")))))
 
 
 def headline(html: Column) -> Column:
@@ -96,13 +163,26 @@ def published_date(html: Column, url: Column) -> Column:
     return F.coalesce(*days).cast("string")
 
 
-def main_text(html: Column) -> Column:
+def _text_of(html: Column) -> Column:
+    bare = F.regexp_replace(F.regexp_replace(html, "(?s)<!--.*?-->", " "), "<[^>]+>", " ")
+    return F.trim(F.regexp_replace(bare, "[ \\t\\n\\r\\f\\x0B]+", " "))
+
+
+def page_text(html: Column) -> Column:
     """Text outside scripts, styles, navigation, headers, footers and asides, white space collapsed."""
     kept = html
     for tag in ("script", "style", "nav", "header", "footer", "aside"):
         kept = F.regexp_replace(kept, f"(?is)<{tag}\\b[^>]*>.*?</{tag}>", " ")
-    bare = F.regexp_replace(F.regexp_replace(kept, "(?s)<!--.*?-->", " "), "<[^>]+>", " ")
-    return F.trim(F.regexp_replace(bare, "[ \\t\\n\\r\\f\\x0B]+", " "))
+    return _text_of(kept)
+
+
+def main_text(html: Column, least: int = 200) -> Column:
+    """The text of a page's article or main part, if it has more than `least` characters; else that of the paragraphs after the headline; else all of page_text."""
+    part = lambda tag: F.regexp_extract(html, f"(?is)<{tag}\\b[^>]*>(.*)</{tag}>", 1)
+    after = F.regexp_extract(html, "(?is)<h1\\b[^>]*>(.*)$", 1)
+    paragraphs = _text_of(F.array_join(F.regexp_extract_all(after, F.lit("(?is)<p\\b[^>]*>(.*?)</p>"), F.lit(1)), " "))
+    tried = [let(page_text(part(tag)), lambda t: F.when(F.length(t) > least, t)) for tag in ("article", "main")]
+    return F.coalesce(*tried, F.nullif(paragraphs, F.lit("")), page_text(html))
 
 
 def queries_of(x: Column, title_mark: str = "Title:") -> Column:
@@ -137,11 +217,14 @@ def item_link(item: Column, base: str) -> Column:
 
 
 def redact(x: Column) -> Column:
-    return F.regexp_replace(x, "(key|token|password)=[^&\\s]+", "$1=***")
+    """Masks what follows 'key='."""
+    return F.regexp_replace(x, "key=[\\w-]+", "key=***")
 
 
 def log_kind(line: Column) -> Column:
-    return F.when(line.contains("Scraped"), "item").when(line.contains("ERROR"), "error").when(line.contains("WARNING"), "warning").when(line.rlike("Crawled \\d+ pages"), "rate").otherwise("other")
+    """item, error, warning or rate, by the first mark that a line has in this order; else other."""
+    has = lambda *marks: functools.reduce(lambda a, b: a | b, [line.contains(m) for m in marks])
+    return F.when(has("Scraped", "scraped"), "item").when(has("ERROR"), "error").when(has("WARNING"), "warning").when(has("pages/min", "items/min", "Crawled"), "rate").otherwise("other")
 
 
 def percent(x: Column, signed: bool = False) -> Column:

@@ -26,10 +26,15 @@ def body_digest(spark, d) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
 
 
-@query("t02_normalise_date", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT00:00:00Z') AS one, strftime(o_orderdate, '%Y-%m-%dT00:00:00Z') AS two, strftime(o_orderdate - INTERVAL 2 HOUR, '%Y-%m-%dT%H:%M:%SZ') AS three, strftime(o_orderdate, '%Y-%m-%dT00:00:00Z') AS four, NULL::VARCHAR AS five FROM orders")
+_DAY = "strftime(o_orderdate, '%Y-%m-%dT00:00:00Z')"
+_TEN = "strftime(o_orderdate, '%Y-%m-%dT10:05:00Z')"
+
+
+@query("t02_normalise_date", f"SELECT o_orderkey, {_DAY} AS one, {_DAY} AS two, strftime(o_orderdate - INTERVAL 2 HOUR, '%Y-%m-%dT%H:%M:%SZ') AS three, {_DAY} AS four, NULL::VARCHAR AS five, {_DAY} AS six, {_DAY} AS seven, {_DAY} AS eight, {_TEN} AS nine, {_TEN} AS ten FROM orders")
 def normalise_date(spark, d) -> DataFrame:
     day = F.to_date("o_orderdate")
     forms = {"one": F.date_format(day, "yyyy-MM-dd"), "two": F.date_format(day, "MMMM d, yyyy"), "three": F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit("T00:00:00+02:00")), "four": F.date_format(day, "EEE, d MMM yyyy 00:00:00 +0000"), "five": F.lit("no date")}
+    forms |= {"six": F.date_format(day, "MM/dd/yyyy"), "seven": F.date_format(day, "d MMM yyyy"), "eight": F.date_format(day, "yyyy/MM/dd"), "nine": F.date_format(day, "yyyy-MM-dd 10:05"), "ten": F.date_format(day, "MMM d yyyy '10:05AM'")}
     return table(spark, d, "orders").select("o_orderkey", *[T.normalise_date(v).alias(k) for k, v in forms.items()])
 
 
@@ -44,9 +49,14 @@ def url_predicates(spark, d) -> DataFrame:
     return table(spark, d, "pages").select("page_id", T.url_host(url).alias("host"), T.url_path(url).startswith("/en/").alias("english"), T.path_segments(url).alias("segments"))
 
 
-@query("t08_links", "SELECT page_id, array_to_string(list_sort(list_distinct(regexp_extract_all(html, '<a [^>]*href=\"([^\"]*)\"', 1))), ' ') AS links FROM pages")
+_JOINED = "CASE WHEN regexp_matches(h, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN h WHEN starts_with(h, '/') THEN regexp_extract(url, '^[a-z]+://[^/?#]+') || h ELSE regexp_replace(regexp_replace(url, '[?#].*$', ''), '[^/]*$', '') || h END"
+
+
+@query("t08_links", "WITH h AS (SELECT page_id, url, list_transform(regexp_extract_all(html || '<a class=x href=''/one/two''>t</a><A HREF=three.html>t</A><a href=\"\">t</a>', '(?is)<a\\s[^>]*?\\bhref\\s*=\\s*(\"[^\"]*\"|''[^'']*''|[^\\s\"''>]+)', 1), lambda h: trim(regexp_replace(h, '^[\"'']|[\"'']$', '', 'g'))) AS h FROM pages) SELECT page_id, array_to_string(list_sort(list_distinct(list_transform(list_filter(h, lambda h: h <> ''), lambda h: " + _JOINED + "))), ' ') AS links FROM h")
 def links(spark, d) -> DataFrame:
-    return table(spark, d, "pages").select("page_id", F.array_join(T.links(F.col("html")), " ").alias("links"))
+    """Links of pages that also get a relative, an unquoted and an empty one."""
+    html = F.concat("html", F.lit("<a class=x href='/one/two'>t</a><A HREF=three.html>t</A><a href=\"\">t</a>"))
+    return table(spark, d, "pages").select("page_id", F.array_join(T.links(html, F.col("url")), " ").alias("links"))
 
 
 @query("t10_headline", "SELECT page_id, coalesce(" + ", ".join(f"nullif(trim(regexp_replace(regexp_replace(regexp_extract(html, '{p}', 1), '<[^>]+>', ' ', 'g'), '\\s{{3,}}', ' ', 'g')), '')" for p in ("(?s)<h1[^>]*>(.*?)</h1>", '<meta property="og:title" content="([^"]*)"', "(?s)<title>(.*?)</title>")) + ") AS headline FROM pages")
@@ -64,9 +74,27 @@ def published_date(spark, d) -> DataFrame:
     return table(spark, d, "pages").select("page_id", T.published_date(html, url).alias("published"))
 
 
-@query("t11_main_text", "SELECT page_id, length(t) AS n, md5(t) AS digest FROM (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(" + "regexp_replace(" * 6 + "html" + "".join(f", '(?is)<{t}\\b[^>]*>.*?</{t}>', ' ', 'g')" for t in ("script", "style", "nav", "header", "footer", "aside")) + ", '(?s)<!--.*?-->', ' ', 'g'), '<[^>]+>', ' ', 'g'), '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g')) AS t FROM pages)")
+def _sql_text(x: str) -> str:
+    return f"trim(regexp_replace(regexp_replace(regexp_replace({x}, '(?s)<!--.*?-->', ' ', 'g'), '<[^>]+>', ' ', 'g'), '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g'))"
+
+
+def _sql_page(x: str) -> str:
+    for t in ("script", "style", "nav", "header", "footer", "aside"):
+        x = f"regexp_replace({x}, '(?is)<{t}\\b[^>]*>.*?</{t}>', ' ', 'g')"
+    return _sql_text(x)
+
+
+_PARTS = ", ".join(_sql_page(f"regexp_extract(html, '(?is)<{t}\\b[^>]*>(.*)</{t}>', 1)") + f" AS {t}_part" for t in ("article", "main"))
+_AFTER = _sql_text("array_to_string(regexp_extract_all(regexp_extract(html, '(?is)<h1\\b[^>]*>(.*)$', 1), '(?is)<p\\b[^>]*>(.*?)</p>', 1), ' ')")
+
+
+@query("t11_main_text", f"SELECT page_id, length(t) AS n, md5(t) AS digest FROM (SELECT page_id, CASE WHEN length(article_part) > 200 THEN article_part WHEN length(main_part) > 200 THEN main_part WHEN after <> '' THEN after ELSE whole END AS t FROM (SELECT page_id, {_PARTS}, {_AFTER} AS after, {_sql_page('html')} AS whole FROM (SELECT page_id, CASE page_id % 3 WHEN 0 THEN html WHEN 1 THEN regexp_replace(html, '</?(article|main)\\b[^>]*>', '', 'g') ELSE regexp_replace(html, '</?(article|main|h1)\\b[^>]*>', '', 'g') END AS html FROM pages)))")
 def main_text(spark, d) -> DataFrame:
-    return table(spark, d, "pages").select("page_id", T.main_text(F.col("html")).alias("t")).select("page_id", F.length("t").cast("long").alias("n"), F.md5("t").alias("digest"))
+    """Pages of which a third lacks its article part, and a third its headline too."""
+    bare = lambda tags: F.regexp_replace("html", f"</?({tags})\\b[^>]*>", "")
+    kind = F.col("page_id") % 3
+    html = F.when(kind == 0, F.col("html")).when(kind == 1, bare("article|main")).otherwise(bare("article|main|h1"))
+    return table(spark, d, "pages").select("page_id", T.main_text(html).alias("t")).select("page_id", F.length("t").cast("long").alias("n"), F.md5("t").alias("digest"))
 
 
 @query("t12_keyword_and_cutoff", "SELECT o_orderkey FROM orders WHERE contains(lower(o_orderpriority), 'high') AND o_orderdate >= TIMESTAMP '1999-01-29'")
@@ -92,7 +120,11 @@ def chunks(spark, d) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.posexplode(T.chunks(F.col("text"))).alias("chunk", "c")).select("doc_id", "chunk", F.md5("c").alias("digest"))
 
 
-@query("t16_behaviour_queries")
+_SENTENCES = "list_filter(regexp_split_to_array(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: length(s) > 30 AND NOT starts_with(s, 'Title:'))"
+_BULLETS = "list_transform(list_filter(list_transform(string_split(text, chr(10)), lambda l: trim(l)), lambda l: starts_with(l, '- ') AND length(l) > 20), lambda b: substr(b, 3))"
+
+
+@query("t16_behaviour_queries", f"WITH q AS (SELECT conv_id, turn, {_SENTENCES} || {_BULLETS} AS q FROM conversations), k AS (SELECT conv_id, turn, list_filter(q, lambda x, i: list_position(list_transform(q, lambda y: lower(left(y, 60))), lower(left(x, 60))) = i) AS q FROM q) SELECT conv_id, turn, (generate_subscripts(q, 1) - 1)::INT AS place, unnest(q) AS query FROM k")
 def behaviour_queries(spark, d) -> DataFrame:
     return table(spark, d, "conversations").select("conv_id", "turn", F.posexplode(T.queries_of(F.col("text"))).alias("place", "query"))
 
@@ -127,14 +159,17 @@ def description(spark, d) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", T.first_sentences(T.strip_markdown_links(marked)).alias("summary"))
 
 
-@query("t24_redact", "SELECT page_id, regexp_replace(url || '&key=a1b2&x=' || page_id, '(key|token|password)=[^&\\s]+', '\\1=***', 'g') AS line FROM pages")
+@query("t24_redact", "SELECT page_id, regexp_replace(url || '?token=t&key=a1-b_2%&apikey=z&x=' || page_id, 'key=[\\w-]+', 'key=***', 'g') AS line FROM pages")
 def redact(spark, d) -> DataFrame:
-    return table(spark, d, "pages").select("page_id", T.redact(F.concat("url", F.lit("&key=a1b2&x="), F.col("page_id").cast("string"))).alias("line"))
+    return table(spark, d, "pages").select("page_id", T.redact(F.concat("url", F.lit("?token=t&key=a1-b_2%&apikey=z&x="), F.col("page_id").cast("string"))).alias("line"))
+
+
+_LINES = ["x ERROR WARNING", "Scraped from ERROR", "items scraped", "WARNING: slow", "Crawled (200) <GET x>", "at 3 pages/min", "9 items/min", "idle"]
 
 
-@query("t25_log_kinds", "SELECT event_id, CASE event_type WHEN 'error' THEN 'error' WHEN 'view' THEN 'item' WHEN 'click' THEN 'warning' WHEN 'signup' THEN 'rate' ELSE 'other' END AS kind FROM events")
+@query("t25_log_kinds", "SELECT event_id, (['error', 'item', 'item', 'warning', 'rate', 'rate', 'rate', 'other'])[event_id % 8 + 1] AS kind FROM events")
 def log_kinds(spark, d) -> DataFrame:
-    line = F.when(F.col("event_type") == "error", "x ERROR WARNING").when(F.col("event_type") == "view", "Scraped from ERROR").when(F.col("event_type") == "click", "WARNING: slow").when(F.col("event_type") == "signup", "Crawled 12 pages (at 3/min)").otherwise("idle")
+    line = F.element_at(F.array(*map(F.lit, _LINES)), (F.col("event_id") % 8 + 1).cast("int"))
     return table(spark, d, "events").select("event_id", T.log_kind(line).alias("kind"))
 
 

@@ -29,6 +29,22 @@ def test_normalise_date(spark):
     assert got == [None, None, None, "2026-02-23T00:00:00Z", "2026-02-23T10:00:00Z", "2026-02-23T10:00:00Z", "2026-02-23T08:00:00Z", "2026-02-23T09:00:00Z", "2026-02-03T00:00:00Z", "2026-02-03T00:00:00Z", None, None]
 
 
+def test_normalise_date_in_other_forms(spark):
+    got = values(spark, T.normalise_date, ["03/05/2024", "5 Mar 2024", "2024/03/05", "2024-03-05 10:00", "March 5th, 2024 3pm", "20240305", "2024-03-05T10:00:00.5-05:00", "25/12/2024", "xyzzy not a date", "99999999999999", "2026-02-23T10:00:00+0200"])
+    day = "2024-03-05T"
+    assert got == [day + "00:00:00Z"] * 3 + [day + "10:00:00Z", day + "15:00:00Z", day + "00:00:00Z", day + "15:00:00Z", "2024-12-25T00:00:00Z", None, None, "2026-02-23T08:00:00Z"]
+
+
+def test_links_and_main_text(spark):
+    html = "<A class=x HREF='b.html'>x</A><a href=/c?d=1>y</a><a href=\"https://o.org/z\">z</a><a href=''>n</a><a name=q>n</a><abbr href='no'>"
+    rows = spark.createDataFrame([(html, "https://e.com/a/p.html"), ("none", None)], "h string, u string")
+    got = [r[0] for r in rows.select(T.links(F.col("h"), F.col("u"))).collect()]
+    assert got == [["https://e.com/a/b.html", "https://e.com/c?d=1", "https://o.org/z"], []]
+    long = "word " * 60
+    pages = [f"<nav>n</nav><article><h1>t</h1><p>{long}</p><aside>a</aside></article><p>after</p>", "<article>short</article><h1>t</h1><div><p>one <b>two</b></p></div><p>three</p>", "<nav>n</nav><div>all  of it</div>", None]
+    assert values(spark, T.main_text, pages) == ["t " + long.strip(), "one two three", "all of it", None]
+
+
 def test_chunks(spark):
     assert values(spark, lambda x: T.chunks(x, 2), ["a b c d", "a b c", "", None]) == [["a b", "c d"], ["a b", "c"], [""], [""]]
 

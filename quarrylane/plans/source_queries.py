@@ -19,19 +19,18 @@ def _folder(spark, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-@query("s01_s02_s03_csv_scan", "SELECT CASE WHEN doc_id % 2 = 0 THEN coalesce(CASE source WHEN 'src3' THEN 'third' ELSE source END, '') ELSE source END AS source, lang || doc_id AS url, doc_id::VARCHAR AS title FROM documents")
+@query("s01_s02_s03_csv_scan", "SELECT CASE WHEN doc_id % 2 = 0 AND source = 'src3' THEN 'third' ELSE source END AS source, lang || doc_id AS url, doc_id::VARCHAR AS title, md5(trim(regexp_replace(text, '^\\s+|\\s+$', '', 'g'))) AS digest FROM documents")
 def csv_scan(spark, d) -> DataFrame:
-    """Documents written as CSV files of two layouts, and one of a third that is skipped, then read by their headers."""
+    """Whole documents written as CSV files of two layouts, and one of a third that is skipped, into one folder; each file is read by its own header."""
     docs = table(spark, d, "documents").withColumn("url", F.concat("lang", F.col("doc_id").cast("string")))
-    a, b, c = (_folder(spark, f"layout-{k}") for k in "abc")
-    body = F.substring("text", 1, 200).alias("body")
-    even = docs.filter("doc_id % 2 = 0").select("source", F.lit("2024-01-01").alias("published_utc"), F.col("doc_id").cast("string").alias("headline"), "url", body)
-    odd = docs.filter("doc_id % 2 = 1").select("source", "url", F.col("doc_id").cast("string").alias("Title"), F.lit("2024-01-01").alias("DATE"), body)
-    for rows, path in ((even, a), (odd, b), (docs.select("doc_id"), c)):
-        rows.write.option("header", True).option("escape", '"').csv(path)
-    found = files.read_articles(spark, [a, b, c])
+    path = _folder(spark, "layouts")
+    even = docs.filter("doc_id % 2 = 0").select("source", F.lit("2024-01-01").alias("published_utc"), F.col("doc_id").cast("string").alias("headline"), "url", F.col("text").alias("body"))
+    odd = docs.filter("doc_id % 2 = 1").select("source", "url", F.col("doc_id").cast("string").alias("Title"), F.lit("2024-01-01").alias("DATE"), F.col("text").alias("body"))
+    for rows in (even, odd, docs.select("doc_id")):
+        rows.write.mode("append").option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    found = files.read_articles(spark, [path])
     renamed = F.when((F.col("source") == "src3") & (F.col("title").cast("long") % 2 == 0), "third").otherwise(F.col("source"))
-    return found.select(renamed.alias("source"), "url", "title")
+    return found.select(renamed.alias("source"), "url", "title", F.md5("body").alias("digest"))
 
 
 @query("s04_table_scan", "SELECT doc_id, source, n_chars FROM documents WHERE n_chars > 1000")
@@ -88,13 +87,15 @@ def vector_table(spark, d) -> DataFrame:
     return table(spark, d, "embeddings").select("vec_id", F.round(F.sqrt(squares), 5).alias("norm"))
 
 
-@query("s16_listing")
+@query("s16_listing", "SELECT lang, count(*) AS rows, true AS sized FROM documents GROUP BY lang")
 def listing(spark, d) -> DataFrame:
+    """Files written by language, listed with their sizes and counted."""
     path = _folder(spark, "listed")
     table(spark, d, "documents").select("doc_id", "lang").write.partitionBy("lang").json(path)
-    found = files.listing(spark, path)
-    rows = spark.read.json(path).groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count("*").alias("rows"))
-    return found.join(rows, "file").select("file", T.human_size(F.col("bytes")).alias("size"), "rows")
+    found = files.listing(spark, path).withColumn("size", T.human_size(F.col("bytes")))
+    rows = spark.read.json(path).groupBy("lang", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_size").alias("n")).agg(F.count("*").alias("rows"))
+    listed = rows.join(found, (rows["file"] == found["file"]) & (rows["n"] == found["bytes"]))
+    return listed.groupBy("lang").agg(F.sum("rows").alias("rows"), F.bool_and(F.col("size").rlike("^[0-9.]+ [KM]?B$")).alias("sized"))
 
 
 @query("s17_repaired_history", "SELECT source AS spider, sum(CASE WHEN source < 'src2' THEN 7 ELSE n END)::BIGINT AS total, count(*) AS runs FROM (SELECT source, lang, count(*) AS n FROM documents GROUP BY 1, 2) GROUP BY 1")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -22,32 +24,59 @@ def layout_of(header: list[str]) -> str | None:
     return next((k for k, (marks, _) in LAYOUTS.items() if marks <= names), None)
 
 
-def read_articles(spark: SparkSession, paths: list[str], aliases: dict[str, str] | None = None) -> DataFrame:
-    """(source, url, title, published, body, file) of CSV files or folders of either layout.
+def _stripped(c: Column) -> Column:
+    return F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)^\s+|\s+$", "")
+
+
+def headers(spark: SparkSession, paths: list[str]) -> dict[str, list[str]]:
+    """The header of each file of some files, folders or globs, by its path; empty files have none. One job; a row for each file reaches the driver."""
+    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at"), "value")
+    first = lines.groupBy("path").agg(F.min_by("value", "at").alias("line")).collect()
+    return {r["path"]: next(csv.reader([r["line"].rstrip("\r")]), []) for r in first}
+
+
+def read_articles(spark: SparkSession, paths: list[str], aliases: dict[str, str] | None = None, ignored: tuple[str, ...] = (), marker: str = "_ransomware") -> DataFrame:
+    """(source, url, title, published, body, file) of CSV files of either layout, given as files, folders or globs.
 
-    Headers are read first, one line of each path; unknown layouts and empty files are skipped, repeated
-    header rows dropped. An empty source becomes the file's stem up to its first underscore; aliases rename
-    sources. Bad UTF-8 is replaced.
+    Each file is read by its own header, whatever the order and case of its columns; files of unknown
+    layouts, empty files and those with an ignored name are skipped, repeated header rows dropped. Values
+    are stripped, missing ones ''. A source may have an alias; an empty one is the file's stem up to the
+    marker. Bad UTF-8 is replaced. Files with the same header are one scan.
     """
-    by_layout: dict[tuple[str, tuple[str, ...]], list[str]] = {}
-    for p in paths:
-        first = spark.read.text(p).limit(1).collect()
-        header = [h.strip().strip('"') for h in first[0][0].split(",")] if first else []
-        if (kind := layout_of(header)) is not None:
-            by_layout.setdefault((kind, tuple(h.lower() for h in header)), []).append(p)
+    by_header: dict[tuple[str, tuple[str, ...]], list[str]] = {}
+    for path, header in sorted(headers(spark, paths).items()):
+        names = tuple(h.strip().lower() for h in header)
+        if (kind := layout_of(header)) is not None and path.rsplit("/", 1)[-1] not in ignored:
+            by_header.setdefault((kind, names), []).append(path)
     out = spark.createDataFrame([], StructType([StructField(c, StringType()) for c in (*_OUT, "file")]))
-    for (kind, header), found in by_layout.items():
-        schema = StructType([StructField(h, StringType()) for h in header])
+    for (kind, header), found in by_header.items():
+        # a column that stands twice counts where it stands last
+        unique = [f"{h}_{n}" if h in header[n + 1 :] else h for n, h in enumerate(header)]
+        schema = StructType([StructField(h, StringType()) for h in unique])
         rows = spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').option("enforceSchema", True).csv(found)
         names = LAYOUTS[kind][1]
-        pick = [F.col(names[c]).alias(c) if names[c] in header else F.lit("").alias(c) for c in _OUT]
-        kept = rows.select(*pick, F.col("_metadata.file_name").alias("file")).filter(~F.coalesce(F.lower("source") == "source", F.lit(False)))
-        out = out.unionByName(kept)
-    stem = F.regexp_extract("file", "^([^_.]+)", 1)
-    source = F.coalesce(F.nullif(F.trim("source"), F.lit("")), stem)
-    if aliases:
-        source = F.coalesce(F.create_map(*[F.lit(x) for kv in aliases.items() for x in kv])[source], source)
-    return out.withColumn("source", source)
+        pick = [_stripped(F.col(f"`{names[c]}`")).alias(c) if names[c] in unique else F.lit("").alias(c) for c in _OUT]
+        out = out.unionByName(rows.select(*pick, F.col("_metadata.file_name").alias("file")).filter(F.lower("source") != "source"))
+    stem = F.substring_index(F.regexp_replace(F.url_decode("file"), "\\.[^.]*$", ""), marker, 1)
+    given = F.coalesce(F.create_map(*[F.lit(x) for kv in aliases.items() for x in kv])[F.col("source")], F.col("source")) if aliases else F.col("source")
+    return out.withColumn("source", F.when(F.col("source") == "", stem).otherwise(given))
+
+
+def read_bundles(spark: SparkSession, releases: dict[str, str], missing: str = "skip") -> DataFrame:
+    """(version, bundle) of release files by version. Releases that aren't there are skipped, or an error if missing is 'raise'; what was read is kept in the shared folder."""
+    frames = []
+    for version, path in releases.items():
+        there = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there):
+            frames.append(spark.read.text(path, wholetext=True).select(F.lit(version).alias("version"), F.col("value").alias("bundle")))
+        elif missing == "raise":
+            raise FileNotFoundError(path)
+    if not frames:
+        return spark.createDataFrame([], "version string, bundle string")
+    found = frames[0]
+    for f in frames[1:]:
+        found = found.union(f)
+    return materialize(found, "bundles")
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: str, required: list[str]) -> DataFrame:

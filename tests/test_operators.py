@@ -239,12 +239,24 @@ def test_lower_median(spark):
 
 
 def test_layouts(spark, tmp_path):
-    (tmp_path / "alpha_run.csv").write_bytes(b"source,published_utc,headline,url,body\n,2024,h,u,\"two\nlines\"\nsource,published_utc,headline,url,body\nx,2024,\xff,u2,b\n")
+    (tmp_path / "bc_site_ransomware_20260223.csv").write_bytes(b"source,published_utc,headline,url,body\n,2024,h,u,\"two\nlines\"\nsource,published_utc,headline,url,body\nx,2024,\xff,u2,b\nmap,2024, h ,u4\n")
     (tmp_path / "beta.csv").write_text("Title,DATE,url,body,source\nt,2024,u3,b,s\n")
     (tmp_path / "gamma.csv").write_text("date,other\n1,2\n")
+    (tmp_path / "left_out.csv").write_text("Title,DATE,url,body,source\nt,2024,u5,b,s\n")
     (tmp_path / "empty.csv").write_text("")
-    got = {r["url"]: (r["source"], r["title"]) for r in files.read_articles(spark, sorted(map(str, tmp_path.glob("*.csv")))).collect()}
-    assert got == {"u": ("alpha", "h"), "u2": ("x", "�"), "u3": ("s", "t")}
+    want = {"u": ("bc_site", "h", "two\nlines"), "u2": ("x", "\ufffd", "b"), "u3": ("s", "t", "b"), "u4": ("alias", "h", "")}
+    for paths in ([str(tmp_path)], [f"{tmp_path}/*.csv"], sorted(map(str, tmp_path.glob("*.csv")))):  # a folder of mixed layouts too
+        got = files.read_articles(spark, paths, {"map": "alias"}, ignored=("left_out.csv",)).collect()
+        assert {r["url"]: (r["source"], r["title"], r["body"]) for r in got} == want and len(got) == 4
+
+
+def test_missing_releases(spark, tmp_path):
+    (tmp_path / "one.json").write_text('{"objects": []}')
+    releases = {"1": str(tmp_path / "one.json"), "2": str(tmp_path / "two.json")}
+    assert [r["version"] for r in files.read_bundles(spark, releases).collect()] == ["1"]
+    assert files.read_bundles(spark, {"2": releases["2"]}).count() == 0
+    with pytest.raises(FileNotFoundError):
+        files.read_bundles(spark, releases, missing="raise")
 
 
 def test_series_s(spark):

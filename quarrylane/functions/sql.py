@@ -22,7 +22,7 @@ def register(spark: SparkSession) -> list[str]:
     """Registers formulas as SQL functions, which Catalyst inlines, and tests as Arrow UDFs; returns their names."""
     for name, (parameters, kind, body) in _FORMULAS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS {kind} RETURN {body}")
-    udfs = {"simhash64": screen._simhash, "mann_kendall": stats._mann_kendall, "fisher_exact": stats._fisher, "binomial_tail": stats._binomial_tail, "mcnemar_exact": stats._mcnemar, "normal_cdf": stats._phi}
+    udfs = {"simhash64": screen._simhash, "mann_kendall": stats._mann_kendall, "fisher_exact": stats._fisher, "binomial_tail": stats._binomial_tail, "mcnemar_exact": stats._mcnemar, "normal_cdf": stats._normal_cdf}
     for name, f in udfs.items():
         spark.udf.register(name, f)
     return [*_FORMULAS, *udfs]

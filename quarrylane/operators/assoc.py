@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylane.functions import stats
+from quarrylane.scratch import materialize
 
 
 def transactions(rows: DataFrame, document: str = "document_id", item: str = "item") -> DataFrame:
@@ -40,14 +41,23 @@ def pair_table(baskets: DataFrame) -> DataFrame:
 
 
 def benjamini_hochberg(rows: DataFrame, p: str, tie: str | list[str], alpha: float = 0.05, out: str = "bh_significant") -> DataFrame:
-    """Adds whether a row's p is rejected by the step-up rule over all rows; `tie` orders equal p.
+    """Adds whether a row's p is rejected by the step-up rule over all rows; `tie` orders equal p. Rows without p take no part and aren't rejected.
 
-    Ranks need all rows in order, so p-values are the only thing that one task sees; they are tests, not data.
+    Rows are dealt out by ranges of p, and a row's rank is its place in its range plus the sizes of the ranges
+    before, so no task sees all of them. The largest rank that passes is one number.
     """
     ties = [tie] if isinstance(tie, str) else tie
-    ranked = rows.withColumns({"__r": F.row_number().over(Window.orderBy(p, *ties)), "__m": F.count("*").over(Window.partitionBy())})
-    cut = F.max(F.when(F.col(p) <= alpha * F.col("__r") / F.col("__m"), F.col("__r"))).over(Window.partitionBy())
-    return ranked.withColumn(out, F.coalesce(F.col("__r") <= cut, F.lit(False))).drop("__r", "__m")
+    order = [F.col(f"row.{c}") for c in (p, *ties)]
+    nested = rows.select(F.struct(*rows.columns).alias("row"))
+    ranges = materialize(nested.repartitionByRange(F.col(f"row.{p}").asc_nulls_last(), *order[1:]).withColumn("part", F.spark_partition_id()), "ranges")
+    sizes = ranges.filter(F.col(f"row.{p}").isNotNull()).groupBy("part").agg(F.count("*").alias("n"))
+    starts = sizes.withColumn("start", F.sum("n").over(Window.orderBy("part")) - F.col("n"))  # a row for each range
+    place = F.row_number().over(Window.partitionBy("part").orderBy(order[0].asc_nulls_last(), *order[1:]))
+    ranked = ranges.withColumn("place", place).join(F.broadcast(starts.select("part", "start")), "part", "left").withColumn("rank", F.col("place") + F.col("start"))
+    m = sizes.agg(F.sum("n")).first()[0] or 0
+    cut = ranked.agg(F.max(F.when(F.col(f"row.{p}") <= alpha * F.col("rank") / F.lit(m), F.col("rank")))).first()[0]
+    rejected = F.coalesce(F.col(f"row.{p}").isNotNull() & (F.col("rank") <= F.lit(cut or 0)), F.lit(False))
+    return ranked.select(*[F.col(f"row.{c}").alias(c) for c in rows.columns if c != out], rejected.alias(out))
 
 
 def rules(table: DataFrame, support: float = 0.01, confidence: float = 0.40, lift: float = 1.2) -> DataFrame:

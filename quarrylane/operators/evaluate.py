@@ -101,10 +101,13 @@ def alpha(pairs: DataFrame, keys: list[str], one: str, other: str, values: list[
 
 
 def sensitivity(gold: DataFrame, scope: str, truth: Column, judged: Column) -> DataFrame:
-    """Confusions when missing labels are left out (complete), all right (best) or all wrong (worst)."""
+    """Confusions when missing labels are left out (complete), all right (best) or all wrong (worst), by scope and of all ('combined'), in one pass."""
     parts = {"complete": judged, "best": F.coalesce(judged, truth), "worst": F.coalesce(judged, 1 - truth)}
-    frames = [by_scope(gold, scope, truth, j).withColumn("scenario", F.lit(name)) for name, j in parts.items()]
-    return with_metrics(frames[0].unionByName(frames[1]).unionByName(frames[2]))
+    cases = F.inline(F.array(*[F.struct(F.lit(name).alias("scenario"), j.alias("j")) for name, j in parts.items()]))
+    labelled = gold.select(F.col(scope).alias("scope"), truth.alias("t"), judged.alias("judged"), cases)
+    sets = [[F.col("scenario"), F.col("scope")], [F.col("scenario")]]
+    cells = labelled.groupingSets(sets, "scenario", "scope").agg(*counts(F.col("t"), F.col("j")), F.grouping("scope").alias("g"))
+    return with_metrics(cells.select(F.when(F.col("g") == 1, "combined").otherwise(F.col("scope")).alias("scope"), "tp", "fp", "fn", "tn", "n", "scenario"))
 
 
 def error_correction(gold: DataFrame, code: str, first: Column, second: Column, truth: Column) -> DataFrame:

@@ -19,7 +19,7 @@ def weighted_degree(edges: DataFrame) -> DataFrame:
 
 
 def pagerank(edges: DataFrame, damping: float = 0.85, most_rounds: int = 100, tolerance: float = 1e-6, cut_every: int = 5) -> DataFrame:
-    """(node, rank): weighted PageRank from even ranks; stops when ranks change by less than tolerance in sum.
+    """(node, rank): weighted PageRank from even ranks; stops when ranks change by less than tolerance in sum, and fails if they still do after most_rounds.
 
     Mass of nodes without outgoing weight isn't dealt out. A round is one join and one sum; every few
     rounds the ranks are written to the shared folder.
@@ -40,8 +40,8 @@ def pagerank(edges: DataFrame, damping: float = 0.85, most_rounds: int = 100, to
         new = materialize(new, "ranks")
         ranks = new.select("node", "rank")
         if new.agg(F.sum(F.abs(F.col("rank") - F.col("before")))).first()[0] < tolerance:
-            break
-    return ranks
+            return ranks
+    raise RuntimeError(f"PageRank still changes after {most_rounds} rounds")
 
 
 def betweenness(edges: DataFrame, parts: int | None = None) -> DataFrame:

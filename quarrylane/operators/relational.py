@@ -13,9 +13,9 @@ def best_per_key(rows: DataFrame, key: str | list[str], *order: Column) -> DataF
 
 
 def latest_per_key(rows: DataFrame, key: str, by: str) -> DataFrame:
-    """One whole row for each key, with the largest `by`."""
+    """One whole row for each key, with the largest `by`; of equal ones that with the largest hash of all columns, so that reruns agree."""
     whole = F.struct(*rows.columns)
-    return rows.groupBy(F.col(key).alias("__k")).agg(F.max_by(whole, F.col(by)).alias("r")).select("r.*")
+    return rows.groupBy(F.col(key).alias("__k")).agg(F.max_by(whole, F.struct(F.col(by), F.xxhash64(*rows.columns))).alias("r")).select("r.*")
 
 
 def insert_ignore(existing: DataFrame, new: DataFrame, key: list[str], *order: Column) -> DataFrame:

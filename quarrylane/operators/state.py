@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TERMINAL = ("completed", "filtered", "failed", "aborted")
@@ -31,11 +31,12 @@ def commit(queue: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def job_status(events: DataFrame, job: str = "job_id", order: str = "event_id", kind: str = "event_type", payload: str = "state") -> DataFrame:
     """(job, status, events, late): the first end event decides; a state that is none counts as completed; later events are late."""
-    ended = F.min(F.when(F.col(kind) == "end", F.struct(F.col(order).alias("o"), F.col(payload).alias("s"))))
-    per = events.groupBy(F.col(job).alias("job")).agg(ended.alias("e"), F.count("*").alias("events"), F.count_if(F.col(kind) == "start").alias("starts"))
-    late = events.join(per.select("job", F.col("e.o").alias("o")), F.col(job) == F.col("job")).filter(F.col(order) > F.col("o")).groupBy("job").agg(F.count("*").alias("late"))
-    status = F.when(F.col("e.o").isNotNull(), F.when(F.col("e.s").isin(*TERMINAL), F.col("e.s")).otherwise("completed")).when(F.col("starts") > 0, "running").otherwise("queued")
-    return per.join(late, "job", "left").select("job", status.alias("status"), "events", F.coalesce("late", F.lit(0)).alias("late"))
+    ended = F.min(F.when(F.col("kind") == "end", F.struct("order", "payload")))
+    log = events.select(F.col(job).alias("job"), F.col(order).alias("order"), F.col(kind).alias("kind"), F.col(payload).alias("payload"))
+    marked = log.withColumn("first_end", ended.over(Window.partitionBy("job")))  # the sums below share its shuffle
+    per = marked.groupBy("job").agg(F.min("first_end").alias("e"), F.count("*").alias("events"), F.count_if(F.col("kind") == "start").alias("starts"), F.count_if(F.col("order") > F.col("first_end.order")).alias("late"))
+    status = F.when(F.col("e").isNotNull(), F.when(F.col("e.payload").isin(*TERMINAL), F.col("e.payload")).otherwise("completed")).when(F.col("starts") > 0, "running").otherwise("queued")
+    return per.select("job", status.alias("status"), "events", "late")
 
 
 def liveness(beats: DataFrame, host: str, ts: str, now: Column, window: str = "15 seconds") -> DataFrame:
@@ -45,5 +46,5 @@ def liveness(beats: DataFrame, host: str, ts: str, now: Column, window: str = "1
 
 
 def first_labels(labels: DataFrame, key: str, label: str, order: str) -> DataFrame:
-    """Write-once labels: the first that is given counts."""
-    return labels.filter(F.col(label).isNotNull()).groupBy(key).agg(F.min_by(label, order).alias(label))
+    """Write-once labels: the first that is given counts; of several at once the smallest."""
+    return labels.filter(F.col(label).isNotNull()).groupBy(key).agg(F.min(F.struct(F.col(order).alias("o"), F.col(label).alias("l"))).alias("first")).select(key, F.col("first.l").alias(label))

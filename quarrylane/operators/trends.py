@@ -7,6 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrylane.functions.stats import kendall_s
+
+__all__ = ["contribution", "copresence", "dense_series", "emergence", "kendall_s", "normalised_emergence", "quarter_of", "share_by_year", "source_entropy", "top_by_group", "trend_category", "volume_by_quarter", "volume_by_year", "year_over_year"]
+
 
 def year_over_year(counts: DataFrame, period: str = "year", n: str = "n") -> DataFrame:
     """Adds the change against the previous period, absolute and in per cent; null for the first."""
@@ -102,11 +106,6 @@ def dense_series(rows: DataFrame, item: str, year: str, years: Sequence[int]) ->
     return rows.groupBy(F.col(item).alias("item")).agg(F.array(*counts).alias("series"))
 
 
-def kendall_s(series: Column) -> Column:
-    """Mann-Kendall's S: rising pairs less falling ones."""
-    return F.aggregate(F.transform(series, lambda x, i: F.aggregate(F.slice(series, i + 2, F.size(series)), F.lit(0), lambda acc, y: acc + F.signum((y - x).cast("double")).cast("int"))), F.lit(0), lambda acc, v: acc + v)
-
-
 def trend_category(total: Column, mean: Column, direction: Column, significant: Column) -> Column:
     """High, Medium or Infrequent by mean, crossed with a significant direction."""
     level = F.when(mean >= 10, "High").when(mean >= 3, "Medium").otherwise("Infrequent")

@@ -124,13 +124,12 @@ _CUTS = ", cuts AS (SELECT unnest(['full', 'stratified', 'control']) AS cut), lv
 
 @query("e19_alpha_headline", _G + _CUTS + " SELECT cut, judge, level, n, round(1 - (2 * n - 1) * o / (SELECT sum(e * d2) FROM dl WHERE dl.cut = ob.cut AND dl.level = ob.level AND dl.judge = ob.judge), 9) AS alpha FROM ob")
 def alpha_headline(spark, d) -> DataFrame:
-    gold, found = view(spark, d, GOLD), None
-    for cut, rows in (("full", gold), ("stratified", gold.filter("stratum = 'stratified'")), ("control", gold.filter("stratum = 'control'"))):
-        for judge in ("v1", "v2"):
-            for level, values in (("binary", ["reject", "accept"]), ("ordinal", ["reject", "uncertain", "accept"])):
-                one = evaluate.alpha(rows, [], "human", judge, values, level == "ordinal").select(F.lit(cut).alias("cut"), F.lit(judge).alias("judge"), F.lit(level).alias("level"), "n", "alpha")
-                found = one if found is None else found.unionByName(one)
-    return found
+    """All cuts and judges of a level in one pass."""
+    cuts, judges = F.explode(F.array(F.lit("full"), "stratum")).alias("cut"), F.inline(F.array(*[F.struct(F.lit(j).alias("judge"), F.col(j).alias("judged")) for j in ("v1", "v2")]))
+    rows = view(spark, d, GOLD).select("human", "stratum", "v1", "v2", cuts).select("human", "cut", judges)
+    levels = {"binary": ["reject", "accept"], "ordinal": ["reject", "uncertain", "accept"]}
+    one, two = (evaluate.alpha(rows, ["cut", "judge"], "human", "judged", values, level == "ordinal").select("cut", "judge", F.lit(level).alias("level"), "n", "alpha") for level, values in levels.items())
+    return one.unionByName(two)
 
 
 _SENS = " UNION ALL ".join(f"SELECT '{name}' AS scenario, stratum, t, {j} AS j FROM b" for name, j in (("complete", "j"), ("best", "coalesce(j, t)"), ("worst", "coalesce(j, 1 - t)")))
@@ -178,9 +177,14 @@ def tost(spark, d) -> DataFrame:
     return sums.select(*[F.round(v, 6 if k[0] == "z" else 9).alias(k) for k, v in found.items()], F.round(evaluate.least_delta(found["difference"], found["standard_error"]), 6).alias("delta_min"))
 
 
-@query("e10_tost_p_values")
+# the normal distribution by its series 1/2 + density(z) * sum of z^(2k+1) / (1 * 3 * ... * (2k+1)); beyond 8 it is 0 or 1 to nine digits
+_PHI = "CASE WHEN {z} > 8 THEN 1.0::DOUBLE WHEN {z} < -8 THEN 0.0::DOUBLE ELSE 0.5 + sign({z}) * exp(-{z} * {z} / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 200), lambda k: CASE WHEN {z} = 0 THEN 0.0 ELSE exp((2 * k + 1) * ln(abs({z})) + 0.5 * ln(pi()) - (k + 1) * ln(2.0::DOUBLE) - lgamma(k + 1.5)) END)) END"
+_P = {"p_low": f"1 - {_PHI.format(z='z_low')}", "p_high": _PHI.format(z="z_high")}
+
+
+@query("e10_tost_p_values", _G + f", x AS ({_TOST}), e AS (SELECT p_one, p_other, p_one - p_other AS difference, sqrt(p_one * (1 - p_one) / n + p_other * (1 - p_other) / m) AS se FROM x), t AS (SELECT round(p_one, 9) AS p_one, round(p_other, 9) AS p_other, round(difference, 9) AS difference, round(se, 9) AS standard_error, round((difference + 0.05) / se, 6) AS z_low, round((difference - 0.05) / se, 6) AS z_high, round(abs(difference) + se * 1.6448536269514715, 6) AS delta_min FROM e) SELECT *, round({_P['p_low']}, 7) AS p_low, round({_P['p_high']}, 7) AS p_high, greatest({_P['p_low']}, {_P['p_high']}) < 0.05 AS equivalence_proven FROM t")
 def tost_p_values(spark, d) -> DataFrame:
-    return tost(spark, d).withColumns({"p_low": 1 - stats.normal_cdf(F.col("z_low")), "p_high": stats.normal_cdf(F.col("z_high"))}).withColumn("equivalence_proven", F.greatest("p_low", "p_high") < 0.05)
+    return tost(spark, d).withColumns({"p_low": F.round(stats.normal_cdf(-F.col("z_low")), 7), "p_high": F.round(stats.normal_cdf(F.col("z_high")), 7)}).withColumn("equivalence_proven", F.greatest("p_low", "p_high") < 0.05)
 
 
 _LAB = "WITH x AS (SELECT count(*) FILTER (WHERE quality = 1 AND toxic = 0) AS b, count(*) FILTER (WHERE quality = 0 AND toxic = 1) + 40 AS c FROM labels), y AS (SELECT b, c, unnest(range(0, least(b, c) + 1)) AS i FROM x) "

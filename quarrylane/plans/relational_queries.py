@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarrylane.operators import relational, releases
 
-from .fixtures import ACCEPTED, ANNOTATIONS, DOCUMENTS, GOLD, ctes, table, view
+from .fixtures import ACCEPTED, ANNOTATIONS, DOCUMENTS, GOLD, ctes, duck, table, view
 from .registry import query
 
 _N, _D, _ND, _A = (ctes(**v).rstrip() for v in ({"n": ANNOTATIONS}, {"d": DOCUMENTS}, {"n": ANNOTATIONS, "d": DOCUMENTS}, {"a": ACCEPTED}))
@@ -180,6 +180,28 @@ def sets(spark, d) -> DataFrame:
     return first.union(rest[0]).union(rest[1]).groupBy("kind").agg(F.count("*").alias("n"))
 
 
+@query("u05_common_items", _N + " SELECT document_id, array_to_string(list_sort(list_distinct(list_filter(list(item), lambda x: x IN ('Brand#1', 'Brand#11', 'Brand#12', 'Brand#23', 'Brand#5')))), ',') AS items FROM n GROUP BY document_id")
+def common_items(spark, d) -> DataFrame:
+    """The items of each document that a list has too."""
+    wanted = F.array(*map(F.lit, ("Brand#1", "Brand#11", "Brand#12", "Brand#23", "Brand#5")))
+    items = view(spark, d, ANNOTATIONS).groupBy("document_id").agg(F.collect_set("item").alias("items"))
+    return items.select("document_id", F.array_join(F.array_sort(F.array_intersect("items", wanted)), ",").alias("items"))
+
+
+@query("u07_joint_vocabulary", "SELECT term FROM (SELECT lower(p_brand) AS term FROM part UNION SELECT lower(p_type) FROM part UNION SELECT lower(n_name) FROM nation)")
+def joint_vocabulary(spark, d) -> DataFrame:
+    """Terms of three vocabularies, each once."""
+    parts, nations = table(spark, d, "part"), table(spark, d, "nation")
+    terms = parts.select(F.lower("p_brand").alias("term")).union(parts.select(F.lower("p_type"))).union(nations.select(F.lower("n_name")))
+    return terms.distinct()
+
+
+@query("u08_distinct_values", "WITH d AS (" + duck(DOCUMENTS) + ") SELECT DISTINCT year, source FROM d")
+def distinct_values(spark, d) -> DataFrame:
+    """The years and sources that occur together."""
+    return view(spark, d, DOCUMENTS).select("year", "source").distinct()
+
+
 @query("s11_insert_ignore", "SELECT source, min(doc_id) AS doc_id FROM documents GROUP BY source")
 def insert_ignore(spark, d) -> DataFrame:
     docs = table(spark, d, "documents").select("source", "doc_id")
@@ -187,11 +209,12 @@ def insert_ignore(spark, d) -> DataFrame:
     return relational.insert_ignore(first, docs, ["source"], F.col("doc_id"))
 
 
-@query("s12_upsert", "SELECT source, max(doc_id) AS doc_id FROM documents GROUP BY source")
+@query("s12_upsert", "SELECT source, CASE WHEN source >= 'src3' THEN max(doc_id) ELSE min(doc_id) END AS doc_id FROM documents GROUP BY source")
 def upsert(spark, d) -> DataFrame:
+    """Old rows of some sources, new ones of others; some sources have both."""
     docs = table(spark, d, "documents").select("source", "doc_id")
-    old = relational.best_per_key(docs, "source", F.col("doc_id"))
-    return relational.upsert(old, docs, ["source"], F.col("doc_id").desc())
+    old = relational.best_per_key(docs.filter("source < 'src6'"), "source", F.col("doc_id"))
+    return relational.upsert(old, docs.filter("source >= 'src3'"), ["source"], F.col("doc_id").desc())
 
 
 @query("s13_cascade_delete", "SELECT conv_id, turn, role FROM conversations WHERE conv_id NOT IN (SELECT conv_id FROM conversations WHERE turn >= 4)")

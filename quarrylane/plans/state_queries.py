@@ -169,19 +169,20 @@ def stream_deduplicated(spark, d) -> DataFrame:
     return rollups.run_once(rollups.deduplicated(rollups.events_stream(spark, d, twice=True)).groupBy("event_type").agg(F.count("*").alias("n")), "complete")
 
 
-@query("k10_stream_hourly", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")
+@query("k10_stream_hourly", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2 HAVING time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 2 HOUR <= (SELECT max(ts) FROM events)")
 def stream_hourly(spark, d) -> DataFrame:
-    """A tumbling rollup over the event stream, beyond the batch views."""
-    return rollups.run_once(rollups.hourly(rollups.events_stream(spark, d)), "complete").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 6).alias("total"))
+    """A tumbling rollup over the event stream, beyond the batch views: windows that the watermark, an hour behind the last event, has passed."""
+    return rollups.run_once(rollups.hourly(rollups.events_stream(spark, d)), "append").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 6).alias("total"))
 
 
-@query("k04_stream_job_status")
+@query("k04_stream_job_status", "SELECT user_id, CASE WHEN bool_or(event_type = 'purchase') THEN 'completed' WHEN bool_or(event_type = 'signup') THEN 'running' ELSE 'queued' END AS status, count(*) AS events FROM events GROUP BY user_id")
 def stream_job_status(spark, d) -> DataFrame:
-    """Job states kept by a stateful operator; the first end event is final."""
-    return rollups.run_once(rollups.job_states(rollups.events_stream(spark, d)), "update")
+    """Job states kept by a stateful operator, the last of each user; an end event is final."""
+    states = rollups.run_once(rollups.job_states(rollups.events_stream(spark, d)), "update")
+    return states.groupBy("user_id").agg(F.max(F.struct("events", "status")).alias("last")).select("user_id", "last.status", "last.events")
 
 
-@query("k10_stream_sessions", "WITH m AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS opens FROM events), s AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM m) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k")
+@query("k10_stream_sessions", "WITH m AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS opens FROM events), s AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM m) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k HAVING max(ts) + INTERVAL 90 MINUTE <= (SELECT max(ts) FROM events)")
 def stream_sessions(spark, d) -> DataFrame:
-    """Runs of a user's events, beyond the batch views."""
-    return rollups.run_once(rollups.sessions(rollups.events_stream(spark, d)), "complete").select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
+    """Runs of a user's events, beyond the batch views: those that the watermark has passed."""
+    return rollups.run_once(rollups.sessions(rollups.events_stream(spark, d)), "append").select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")

@@ -124,13 +124,17 @@ def exact_p_of_five(spark, d) -> DataFrame:
     return series.withColumn("mk", stats.mann_kendall(F.col("series"))).select("item", F.round("mk.tau", 6).alias("tau"), F.round("mk.p_value", 6).alias("p_value"), "mk.direction")
 
 
-@query("e14_trend_matrix")
+_ORDERS = "orders AS MATERIALIZED (SELECT [a, b, c, d, e] AS o FROM range(1, 6) t(a), range(1, 6) u(b), range(1, 6) v(c), range(1, 6) w(d), range(1, 6) x(e) WHERE len(list_distinct([a, b, c, d, e])) = 5)"
+_S_OF = "list_sum(list_transform(range(1, 5), lambda i: list_sum(list_transform(range(i + 1, 6), lambda j: sign({x}[j] - {x}[i])))))"
+
+
+@query("e14_trend_matrix", _A.rstrip() + f", {_ORDERS}, s AS MATERIALIZED (SELECT item, [{_SERIES5}] AS x FROM a GROUP BY item), k AS (SELECT item, x, list_sum(x) AS total, {_S_OF.format(x='x')} AS s FROM s WHERE list_sum(x) >= 4), y AS (SELECT k.item, list_transform(o, lambda i: x[i]) AS y FROM k, orders), p AS (SELECT k.item, avg((abs({_S_OF.format(x='y')}) >= abs(k.s))::INT) AS p FROM y JOIN k USING (item) GROUP BY k.item), m AS (SELECT *, total / 5.0 AS mean, CASE WHEN s > 0 THEN 'increasing' WHEN s < 0 THEN 'decreasing' ELSE 'stable' END AS direction FROM k JOIN p USING (item)) SELECT item, total::BIGINT AS total, mean AS mean_per_year, round(s / 10.0, 9) AS tau, round(p, 9) AS p_value, direction, p < 0.10 AS significant, CASE WHEN p < 0.10 AND direction = 'increasing' AND mean < 3 THEN 'EMERGING' WHEN p < 0.10 AND direction = 'increasing' THEN 'RISING' WHEN p < 0.10 AND direction = 'decreasing' THEN 'OBSOLESCENT' WHEN mean >= 10 THEN 'CORE' ELSE 'STABLE' END AS category, x AS series FROM m")
 def trend_matrix(spark, d) -> DataFrame:
     series = trends.dense_series(view(spark, d, ACCEPTED), "item", "year", _YEARS[:5])
     total = F.aggregate("series", F.lit(0).cast("long"), lambda a, x: a + x)
     rows = series.withColumns({"total": total, "mk": stats.mann_kendall(F.col("series"))}).filter("total >= 4").withColumn("mean_per_year", F.col("total") / F.size("series"))
     significant = F.col("mk.p_value") < 0.10
-    return rows.select("item", "total", "mean_per_year", "mk.tau", "mk.p_value", "mk.direction", significant.alias("significant"), trends.trend_category(F.col("total"), F.col("mean_per_year"), F.col("mk.direction"), significant).alias("category"), "series")
+    return rows.select("item", "total", "mean_per_year", F.round("mk.tau", 9).alias("tau"), F.round("mk.p_value", 9).alias("p_value"), "mk.direction", significant.alias("significant"), trends.trend_category(F.col("total"), F.col("mean_per_year"), F.col("mk.direction"), significant).alias("category"), "series")
 
 
 @query("u03_u04_robust_items", _AD.rstrip() + _NORMALISED.replace("SELECT item, round(early", ", norm AS (SELECT item, round(early", 1).replace("FROM e WHERE", "FROM e WHERE", 1).rstrip() + f"), raw AS ({_EMERGENCE}) SELECT coalesce(r.item, n.item) AS item, CASE WHEN r.item IS NOT NULL AND n.item IS NOT NULL THEN 'both' WHEN n.item IS NULL THEN 'raw only' ELSE 'normalised only' END AS found FROM (SELECT item FROM raw WHERE trend <> 'steady') r FULL JOIN (SELECT item FROM norm WHERE trend <> 'steady') n ON r.item = n.item")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import random
 
 import pytest
@@ -123,6 +124,35 @@ def test_mann_kendall(spark):
     assert got[2]["p_value"] == 1 and got[3]["direction"] == "stable" and got[4]["p_value"] < 0.05 and got[5]["tau"] is None
 
 
+def test_mann_kendall_by_all_orders(spark):
+    from itertools import permutations
+
+    of = lambda x: sum((b > a) - (b < a) for i, a in enumerate(x) for b in x[i + 1 :])
+    rng = random.Random(7)
+    x = [[rng.randrange(rng.choice([1, 2, 3, 9])) for _ in range(5)] for _ in range(60)] + [[rng.randrange(4) for _ in range(9)] for _ in range(20)]
+    rows = spark.createDataFrame(list(enumerate(x)), "i int, x array<long>").select("i", stats.mann_kendall(F.col("x")).alias("m")).collect()
+    for r in rows:
+        v, s = x[r["i"]], of(x[r["i"]])
+        n = len(v)
+        if n == 5:
+            p = sum(abs(of(o)) >= abs(s) for o in permutations(v)) / 120
+        else:
+            variance = (n * (n - 1) * (2 * n + 5) - sum(c * (c - 1) * (2 * c + 5) for c in (v.count(k) for k in {*v}))) / 18
+            p = min(1.0, math.erfc(max(abs(s) - 1, 0) / math.sqrt(variance) / math.sqrt(2)))
+        assert math.isclose(r["m"]["p_value"], p, rel_tol=1e-9) and math.isclose(r["m"]["tau"], s / (n * (n - 1) / 2))
+
+
+def test_normal_cdf(spark):
+    z = [0.0, 0.3, -0.3, 1.96, -2.9999, 3.0, 5.5, -8.0, -20.0, 40.0, None]
+    for x, got in zip(z, values(spark, stats.normal_cdf, z, "double")):
+        assert got is None if x is None else math.isclose(got, math.erfc(-x / math.sqrt(2)) / 2, rel_tol=1e-10)
+
+
+def test_fisher_of_large_tables():
+    assert stats.fisher_of(10**6, 10**6, 10**6, 10**6) == 1.0 and stats.fisher_of(10**6, 0, 0, 10**6) == 0.0
+    assert 0 < stats.fisher_of(501_500, 498_500, 498_500, 501_500) < 1e-3 < stats.fisher_of(500_100, 499_900, 499_900, 500_100)
+
+
 def test_fisher_against_enumeration():
     def exact(a, b, c, d):
         row, col, n = a + b, a + c, a + b + c + d
@@ -194,6 +224,63 @@ def test_graph(spark):
     assert all(abs(ranks[n] - want[n]) < 1e-5 for n in near)
 
 
+def test_pagerank_says_when_it_does_not_settle(spark):
+    both = spark.createDataFrame([("a", "b", 1.0), ("b", "a", 1.0), ("b", "c", 1.0), ("c", "b", 1.0)], "src string, dst string, weight double")
+    with pytest.raises(RuntimeError):
+        graph.pagerank(both, most_rounds=2, tolerance=1e-12)
+
+
+def test_ties_are_settled(spark):
+    rows = [("a", 1, "x"), ("a", 2, "y"), ("a", 2, "z"), ("b", 1, None)]
+    frame = spark.createDataFrame(rows, "k string, o int, v string")
+    assert len({tuple(map(tuple, sorted(relational.latest_per_key(f, "k", "o").collect()))) for f in (frame, frame.orderBy(F.desc("v")), frame.repartition(3))}) == 1
+    assert [tuple(r) for r in state.first_labels(frame.withColumn("o", F.lit(1)), "k", "v", "o").collect()] == [("a", "x")]
+
+
+def test_bh_over_many_ranges(spark):
+    rng = random.Random(9)
+    p = [round(rng.random() ** 4, 3) for _ in range(500)] + [None, None]
+    rows = spark.createDataFrame([(i, v, "mine") for i, v in enumerate(p)], "i int, p double, part string").repartition(7)
+    got = {r["i"]: r["bh_significant"] for r in assoc.benjamini_hochberg(rows, "p", "i").collect()}
+    order = sorted((i for i in range(500)), key=lambda i: (p[i], i))
+    cut = max((r for r, i in enumerate(order, 1) if p[i] <= 0.05 * r / 500), default=0)
+    assert got == {**{i: r <= cut for r, i in enumerate(order, 1)}, 500: False, 501: False}
+
+
+def test_late_events_are_dropped_and_state_is_freed(spark, tmp_path):
+    from quarrylane.streaming import rollups
+
+    schema = "event_id long, ts timestamp, user_id long, event_type string, value double"
+    batches = [[(1, "2024-01-01 00:10:00"), (2, "2024-01-01 05:00:00")], [(4, "2024-01-01 09:00:00")], [(3, "2024-01-01 00:20:00"), (5, "2024-01-01 12:00:00")]]
+    for n, batch in enumerate(batches):
+        rows = spark.createDataFrame([(i, t, 1, "view", 1.0) for i, t in batch], "event_id long, t string, user_id long, event_type string, value double")
+        rows.select("event_id", F.col("t").cast("timestamp").alias("ts"), "user_id", "event_type", "value").coalesce(1).write.parquet(str(tmp_path / f"in/b{n}"))
+    for n in range(3):
+        for f in (tmp_path / f"in/b{n}").glob("*.parquet"):
+            os.utime(f, (1000 + n, 1000 + n))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    query = rollups.hourly(stream).writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = {str(r["start"]): r["n"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {"2024-01-01 00:00:00": 1, "2024-01-01 05:00:00": 1, "2024-01-01 09:00:00": 1}  # event 3 came late; the last window is open
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == 1
+
+
+def test_no_folder_on_a_cluster(spark):
+    from quarrylane import scratch
+
+    class Context:
+        master = "spark://somewhere:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: default)})
+
+    with pytest.raises(RuntimeError):
+        scratch.shared_dir(Session)
+
+
 def test_empty_graph(spark):
     none = spark.createDataFrame([], "src string, dst string, weight double")
     assert graph.pagerank(none).count() == 0 and graph.betweenness(none).count() == 0

@@ -130,6 +130,7 @@ def _grow(bins: np.ndarray, gradient: np.ndarray, hessian: np.ndarray, edges: li
     node = np.zeros(len(bins), dtype=np.int64)
     feature, threshold = np.zeros(2**depth - 1, dtype=np.int64), np.full(2**depth - 1, np.inf)
     for level in range(depth):
+        below = np.zeros_like(node)
         for k in range(2**level):
             rows = np.flatnonzero(node == k)
             best = (1e-6, 0, np.inf)
@@ -147,7 +148,8 @@ def _grow(bins: np.ndarray, gradient: np.ndarray, hessian: np.ndarray, edges: li
                         best = (float(gain[c]), f, float(cuts[c]))
             at = 2**level - 1 + k
             feature[at], threshold[at] = best[1], best[2]
-            node[rows] = 2 * k + (bins[rows, best[1]] > (np.searchsorted(edges[best[1]], best[2]) if np.isfinite(best[2]) else len(bins) + 256))
+            below[rows] = 2 * k + (bins[rows, best[1]] > np.searchsorted(edges[best[1]], best[2]) if np.isfinite(best[2]) else 0)
+        node = below
     value = np.array([-gradient[node == k].sum() / (hessian[node == k].sum() + 1) for k in range(2**depth)])
     return feature, threshold, value
 

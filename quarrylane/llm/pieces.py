@@ -31,8 +31,9 @@ from .text import table
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
-#: Parts whose encodings a worker remembers at most; then it starts afresh.
+#: Parts whose encodings a worker remembers at most; then it starts afresh. Longer ones aren't remembered, so that the table is bounded in bytes too.
 MOST_PARTS = 300_000
+LONGEST_PART = 256
 MOST_PAIRS = 700_000
 
 
@@ -63,16 +64,18 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
 
 
 class Bounded(dict):
-    """A memo of `make` that is emptied when it has `most` entries."""
+    """A memo of `make` that is emptied when it has `most` entries; strings of more than `longest` characters aren't kept."""
 
-    def __init__(self, make, most: int):
+    def __init__(self, make, most: int, longest: int = LONGEST_PART):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.longest = make, most, longest
 
     def __missing__(self, key):
-        if len(self) >= self.most:
-            self.clear()
-        value = self[key] = self.make(key)
+        value = self.make(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.most:
+                self.clear()
+            self[key] = value
         return value
 
 
@@ -302,5 +305,6 @@ def model_bytes(path: str | None = None) -> bytes:
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded by the public model and decoded again, as digests; null counts as empty."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return digests(docs, model_bytes()).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")

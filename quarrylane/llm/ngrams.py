@@ -44,10 +44,11 @@ from pyspark.sql import functions as F
 
 from .text import crc_mod, shared_dir, table, words
 
-#: Tokens that a task counts, or scores, at once.
-CHUNK_TOKENS = 4_000_000
+#: Tokens that a task counts, and scores, at once.
+CHUNK_TOKENS = 2_000_000
+SCORED_TOKENS = 1_000_000
 #: Bytes of text whose trigrams a shard holds, on average.
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
 #: Shards that one task merges, one after another; a chunk sends it one vocabulary for all of them.
 GROUPED = 4
 #: Counts are bytes; those of this many or more stand in a table of their own.
@@ -86,7 +87,7 @@ class _Chunk:
     def add(self, text: str | None) -> None:
         found = tokens(text)
         number = self.numbers.__getitem__
-        self.parts.append(np.fromiter(map(number, found), dtype=np.int64, count=len(found)))
+        self.parts.append(np.fromiter(map(number, found), dtype=np.int32, count=len(found)))
         self.lengths.append(len(found))
         self.size += len(found)
 
@@ -95,9 +96,9 @@ class _Chunk:
         hashes = np.fromiter(map(_hash, self.numbers), dtype=np.uint64, count=len(self.numbers))
         w = np.concatenate(self.parts)
         first = np.cumsum([0, *self.lengths[:-1]])
-        v = np.concatenate(([0], w[:-1]))
+        v = np.concatenate((w[:1] * 0, w[:-1]))
         v[first] = 0
-        u = np.concatenate(([0], v[:-1]))
+        u = np.concatenate((w[:1] * 0, v[:-1]))
         u[first] = 0
         return hashes, w, v, u
 
@@ -276,30 +277,38 @@ def _small(numbers: np.ndarray) -> bytes:
     return kind.encode() + len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
 
 
-def _large(data: bytes) -> np.ndarray:
-    if not data:
+def _large(data: bytes | pa.Buffer) -> np.ndarray:
+    data = memoryview(data or b"")
+    if not len(data):
         return np.zeros(0, dtype=np.int64)
-    plain = pa.decompress(data[9:], decompressed_size=int.from_bytes(data[1:9], "little"), codec="zstd", asbytes=True)
-    return np.frombuffer(plain, f"<u{data[:1].decode()}").astype(np.int64)
+    plain = pa.decompress(data[9:], decompressed_size=int.from_bytes(data[1:9], "little"), codec="zstd")
+    return np.frombuffer(plain, f"<u{bytes(data[:1]).decode()}").astype(np.int64)
 
 
 def _count(batches, layout: Layout):
     def flush(chunk: _Chunk):
         hashes, w, v, u = chunk.arrays()
         if len(hashes) < 1 << 21:  # three numbers fit into a long
-            grams = (v << 42) | (u << 21) | w
+            grams = v.astype(np.int64)
+            for x in (u, w):
+                grams <<= 21
+                grams |= x
             grams.sort()
             first = _starts(grams)
-            v, u, w = grams[first] >> 42, (grams[first] >> 21) & (2**21 - 1), grams[first] & (2**21 - 1)
+            grams = grams[first]
+            v, u, w = (((grams >> shift) & (2**21 - 1)).astype(np.int32) for shift in (42, 21, 0))
+            del grams
         else:
             order = np.lexsort((w, u, v))
             u, v, w = u[order], v[order], w[order]
             first = _starts(u, v, w)
             u, v, w = u[first], v[first], w[first]
-        count = np.diff(np.concatenate((first, [chunk.size])))
-        of = layout.of_pairs(hashes[v], hashes[w])
-        order = np.argsort(of, kind="stable")
-        edges = np.searchsorted(of[order], np.arange(layout.shards + 1))
+        count = np.diff(np.concatenate((first, [chunk.size]))).astype(np.int32)
+        del first
+        of = layout.of_pairs(hashes[v], hashes[w]).astype(np.int32)
+        order = np.argsort(of, kind="stable").astype(np.int32)
+        edges = np.concatenate(([0], np.cumsum(np.bincount(of, minlength=layout.shards))))
+        del of
         runs = lambda starts, n: np.diff(np.concatenate((starts, [n])))
         rows = []
         for task in range(0, layout.shards, GROUPED):
@@ -310,7 +319,7 @@ def _count(batches, layout: Layout):
             every = order[edges[task] : edges[shards[-1] + 1]]
             for numbers in (u[every], v[every], w[every]):
                 used[numbers] = True
-            local = np.cumsum(used) - 1  # numbers in a vocabulary of their own
+            local = np.cumsum(used, dtype=np.int32) - 1  # numbers in a vocabulary of their own
             packed = []
             for k in shards:
                 here = order[edges[k] : edges[k + 1]]
@@ -339,8 +348,11 @@ _ON_NAMES = [f.split()[0] for f in _ON.split(", ")]
 
 
 def _merge(parts: pa.Table, folder: str, layout: Layout) -> pa.Table:
-    """The task of some shards, one after another."""
-    rows = list(zip(parts["vocabulary"].to_pylist(), parts["shards"].to_pylist(), parts["grams"].to_pylist()))
+    """The task of some shards, one after another; what chunks sent stays as it came, compressed."""
+    rows = []
+    for batch in parts.to_batches():
+        vocabulary, shards, grams = batch.column("vocabulary"), batch.column("shards"), batch.column("grams")
+        rows += [(vocabulary[k].as_buffer(), shards[k].as_py(), grams[k].values) for k in range(batch.num_rows)]
     return pa.concat_tables([_merge_shard(k, rows, folder, layout) for k in sorted({k for _, shards, _ in rows for k in shards})])
 
 
@@ -351,16 +363,19 @@ def _merge_shard(shard: int, rows: list, folder: str, layout: Layout) -> pa.Tabl
         if shard not in shards:
             continue
         known, at = np.frombuffer(vocabulary, "<u8"), _PACKED * shards.index(shard)
-        v, v_runs, u, u_runs, w, count = map(_large, packed[at : at + _PACKED])
+        v, v_runs, u, u_runs, w, count = (_large(packed[k].as_buffer()) for k in range(at, at + _PACKED))
         for out, x in zip(columns, (np.repeat(known[u], u_runs), np.repeat(np.repeat(known[v], v_runs), u_runs), known[w], count)):
             out.append(x)
     u, v, w, count = (np.concatenate(c) for c in columns)
+    columns.clear()
     context = _mixed(u, v)
+    del u
     gram = _mixed(context, w)
     order = np.argsort(gram)
     first = _starts(gram[order])
     count = np.add.reduceat(count[order], first)
-    gram, context, u, v, w = (x[order[first]] for x in (gram, context, u, v, w))
+    order = order[first]
+    gram, context, v, w = (x[order] for x in (gram, context, v, w))
     triple = _counts("triple", gram, count)
     thrice = _of_counts(count)
 
@@ -501,22 +516,22 @@ def train(texts: DataFrame, layout: Layout | None = None) -> Model:
 
 
 class Lookup:
-    """Maps a model's shards into memory as they are needed."""
+    """Maps a model's shards into memory while they are read; what stays mapped is one shard, however large the model."""
 
     def __init__(self, model: Model):
-        self.model, self.maps = model, {}
+        self.model = model
         with open(f"{model.folder}/files.json") as f:
             self.files = json.load(f)
 
     def _shard(self, kind: str, k: int) -> dict[str, np.ndarray]:
         """A shard's arrays; none for a shard that nothing went to."""
         name = f"{kind}-{k}"
-        if name not in self.maps:
-            path = f"{self.model.folder}/{name}"
-            if name in self.files and (not os.path.exists(path) or os.path.getsize(path) != self.files[name]):
-                raise FileNotFoundError(f"{path} is missing or not whole")
-            self.maps[name] = _mapped(path) if name in self.files else {}
-        return self.maps[name]
+        if name not in self.files:
+            return {}
+        path = f"{self.model.folder}/{name}"
+        if not os.path.exists(path) or os.path.getsize(path) != self.files[name]:
+            raise FileNotFoundError(f"{path} is missing or not whole")
+        return _mapped(path)
 
     def _each(self, kind: str, shards: np.ndarray):
         """(arrays, which) for each shard that is asked for and holds something."""
@@ -571,7 +586,7 @@ class Lookup:
         """For each text: tokens, known tokens, base score, score."""
         m = self.model
         hashes, w, v, u = chunk.arrays()
-        n = len(hashes)
+        n = np.int64(len(hashes))
         off = lambda d: np.array([0.0, *d])
         left_over = lambda s, d: np.where(s[:, 0] > 0, s[:, 1:] @ np.array(d) / np.maximum(s[:, 0], 1), 1.0)
 
@@ -631,7 +646,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 for i, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     ids.append(i)
                     chunk.add(text)
-                    if chunk.size >= CHUNK_TOKENS:
+                    if chunk.size >= SCORED_TOKENS:
                         yield flush(ids, chunk)
                         ids, chunk = [], _Chunk()
         if ids:

@@ -669,6 +669,7 @@ LAYOUTS = [ngrams.Layout(1), ngrams.Layout(5), ngrams.Layout(5, *map(tuple, zip(
 @pytest.mark.parametrize("layout", LAYOUTS)
 def test_language_model(spark, odd, none, monkeypatch, chunk, layout):
     monkeypatch.setattr(ngrams, "CHUNK_TOKENS", chunk)
+    monkeypatch.setattr(ngrams, "SCORED_TOKENS", chunk)
     rng = random.Random(12)
     texts = [" ".join(f"W{int(rng.paretovariate(0.7)) % 50}" for _ in range(rng.randrange(30))) for _ in range(80)] + ODD_TEXTS[:7] + ["often pair " * 400]
     train = spark.createDataFrame([(t,) for t in texts], "text string")

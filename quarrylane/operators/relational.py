@@ -42,7 +42,10 @@ def with_fallback(rows: DataFrame, lookup: DataFrame, item: Column, parent: Colu
 
 
 def allocate(pools: DataFrame, total: int, key: str, n: str = "n") -> DataFrame:
-    """Adds `take`: total dealt over pools in proportion, half-even rounding, largest pools first, capped by pool and by what is left."""
+    """Adds `take`: total dealt over pools in proportion, half-even rounding, largest pools first, capped by pool and by what is left.
+
+    Pools are groups that have been counted, such as sources and labels; one task puts them in order.
+    """
     order = Window.orderBy(F.desc(n), key)
     want = F.least(F.bround(F.lit(float(total)) * F.col(n) / F.sum(n).over(Window.partitionBy())).cast("long"), F.col(n))
     before = F.coalesce(F.sum("__want").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

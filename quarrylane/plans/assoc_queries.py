@@ -99,9 +99,14 @@ def pagerank(spark, d) -> DataFrame:
     return graph.pagerank(_edges(spark, d), most_rounds=200, tolerance=1e-11).withColumn("rank", F.round("rank", 8))
 
 
-@query("g09_betweenness")
+_PATHS = """, ed AS MATERIALIZED (SELECT DISTINCT src, dst FROM e), nodes AS MATERIALIZED (SELECT DISTINCT src AS v FROM ed), reach(s, v, d) AS (SELECT v, v, 0 FROM nodes UNION SELECT s, dst, d + 1 FROM reach JOIN ed ON v = src WHERE d < (SELECT count(*) FROM nodes)),
+far AS MATERIALIZED (SELECT s, v, min(d) AS d FROM reach GROUP BY s, v), paths(s, v, d, c) AS (SELECT v, v, 0, 1.0::DOUBLE FROM nodes UNION ALL SELECT paths.s, ed.dst, paths.d + 1, sum(c) FROM paths JOIN ed ON paths.v = ed.src JOIN far ON far.s = paths.s AND far.v = ed.dst AND far.d = paths.d + 1 GROUP BY paths.s, ed.dst, paths.d),
+through AS (SELECT x.v, sum(x.c * y.c / z.c) AS b FROM paths x JOIN paths y ON x.v = y.s JOIN paths z ON z.s = x.s AND z.v = y.v WHERE x.s <> x.v AND y.v <> x.v AND x.s <> y.v AND x.d + y.d = z.d GROUP BY x.v)"""
+
+
+@query("g09_betweenness", _GRAPH.replace("WITH ", "WITH RECURSIVE ", 1) + _PATHS + " SELECT nodes.v AS node, round(coalesce(b, 0.0) / (SELECT CASE WHEN count(*) > 2 THEN (count(*) - 1) * (count(*) - 2) ELSE 1 END FROM nodes), 9) AS betweenness FROM nodes LEFT JOIN through ON nodes.v = through.v")
 def betweenness(spark, d) -> DataFrame:
-    return graph.betweenness(_edges(spark, d))
+    return graph.betweenness(_edges(spark, d)).withColumn("betweenness", F.round("betweenness", 9))
 
 
 @query("g10_centrality")

@@ -39,8 +39,7 @@ def has_indicator(x: Column) -> Column:
 
 def term_hits(x: Column, terms: list[str]) -> Column:
     """Terms of a short list that are substrings of the text in lower case, in the order of the list, each once."""
-    low = F.lower(x)
-    return F.array_compact(F.array(*[F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in dict.fromkeys(terms)]))
+    return T.let(F.lower(x), lambda low: F.array_compact(F.array(*[F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in dict.fromkeys(terms)])))
 
 
 def vocabulary_hits(x: Column, terms: list[str], tools: list[str]) -> Column:

@@ -116,6 +116,22 @@ def _range(hashes: np.ndarray, shards: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
+def task_keys(n: int) -> np.ndarray:
+    """An int for each of n tasks, which Spark's hash partitioning (Murmur3, seed 42) deals to a partition of its own of n."""
+    turned = lambda x, r: (x << np.uint32(r)) | (x >> np.uint32(32 - r))
+    tried = 16 * n
+    while True:
+        k = turned(np.arange(tried, dtype=np.uint32) * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)
+        h = (turned(np.uint32(42) ^ k, 13) * np.uint32(5) + np.uint32(0xE6546B64)) ^ np.uint32(4)
+        h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+        h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+        h = (h ^ (h >> np.uint32(16))).view(np.int32).astype(np.int64)
+        parts, first = np.unique(h % n, return_index=True)
+        if len(parts) == n:
+            return first.astype(np.int32)
+        tried *= 2
+
+
 @dataclass(frozen=True)
 class Layout:
     """How many shards there are, and over how many of them the trigrams of each frequent middle word are dealt (sorted hashes)."""
@@ -286,6 +302,8 @@ def _large(data: bytes | pa.Buffer) -> np.ndarray:
 
 
 def _count(batches, layout: Layout):
+    keys = task_keys(-(-layout.shards // GROUPED))
+
     def flush(chunk: _Chunk):
         hashes, w, v, u = chunk.arrays()
         if len(hashes) < 1 << 21:  # three numbers fit into a long
@@ -326,7 +344,7 @@ def _count(batches, layout: Layout):
                 of_u, of_v = _starts(v[here], u[here]), _starts(v[here])
                 columns = (local[v[here[of_v]]], runs(np.searchsorted(of_u, of_v), len(of_u)), local[u[here[of_u]]], runs(of_u, len(here)), local[w[here]], count[here])
                 packed += map(_small, columns)
-            rows.append((task // GROUPED, hashes[used].tobytes(), shards, packed))
+            rows.append((int(keys[task // GROUPED]), hashes[used].tobytes(), shards, packed))
         kinds = (pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.binary()))
         return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], kind) for n, kind in enumerate(kinds)], names=["task", "vocabulary", "shards", "grams"])
 
@@ -498,9 +516,10 @@ def train(texts: DataFrame, layout: Layout | None = None) -> Model:
     folder = f"{mounted(shared_dir(spark))}/trigrams-{uuid.uuid4().hex}"
     layout = layout or layout_of(texts)
     os.makedirs(folder)
-    parts = texts.select("text").mapInArrow(lambda batches: _count(batches, layout), _PARTS)
+    tasks = -(-layout.shards // GROUPED)  # so many partitions, and keys that give each one of them, so that a task's part doesn't grow with the corpus
+    parts = texts.select("text").mapInArrow(lambda batches: _count(batches, layout), _PARTS).repartition(tasks, "task")
     on = parts.groupBy("task").applyInArrow(lambda t: _merge(t, folder, layout), _ON)
-    totals = on.groupBy("shard").applyInArrow(lambda t: _merge_words(t, folder), _TOTALS).collect()  # a row for each shard
+    totals = on.repartition(tasks, "shard").groupBy("shard").applyInArrow(lambda t: _merge_words(t, folder), _TOTALS).collect()  # a row for each shard
     tokens_, words_, pairs, *of_words = (sum(r[k] for r in totals) for k in range(7))
     grams, distinct, _, *of_counts = (sum(r["sums"][k] for r in totals) for k in range(11))
     files = {name: os.path.getsize(f"{folder}/{name}") for name in os.listdir(folder) if name.count(".") == 0}

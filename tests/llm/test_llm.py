@@ -695,6 +695,13 @@ def test_language_model_of_nothing(spark, odd, none):
     assert all(math.isfinite(r["score"]) for r in ngrams.score(odd, one).collect())
 
 
+@pytest.mark.parametrize("n", [1, 2, 27, 500])
+def test_each_task_has_a_partition(spark, n):
+    keys = ngrams.task_keys(n).tolist()
+    rows = spark.createDataFrame([(k,) for k in keys], "task int").select(F.pmod(F.hash("task"), F.lit(n)).alias("p")).collect()
+    assert [r["p"] for r in rows] == [*range(n)]
+
+
 def test_layout_deals_frequent_words(spark):
     rng = random.Random(13)
     texts = spark.createDataFrame([(" ".join(["The", f"n{rng.randrange(9999)}", "the"]) + " ",) for _ in range(3000)], "text string")

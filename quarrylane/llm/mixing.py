@@ -20,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .text import materialize, words
+from .text import carried, materialize, words
 
 #: Sources whose targets one task finds, at most.
 MOST_IN_ORDER = 100_000
@@ -96,11 +96,12 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5,
     """
     added = [prefix + c for c in ("size", "source_size", "target", "copies")]
     own = [c for c in docs.columns if c not in added]
-    counted = docs.select(F.struct(*own).alias("row"), F.size(words(F.col("text"))).cast("long").alias("size"))
+    away, column, back = carried(own)
+    counted = docs.select(*away, F.size(words(F.col("text"))).cast("long").alias("size"))
     bits = F.length(F.bin("size"))
     class_ = bits * 32 + F.call_function("shiftright", F.col("size"), F.greatest(bits - 5, F.lit(0))).cast("int")
-    digest = F.md5(F.coalesce(F.col("row.doc_id").cast("string"), F.concat(F.lit("text "), F.md5(F.coalesce("row.text", F.lit(""))))))
-    sized = counted.select("row", "size", _source_key(F.col("row.source")).alias("key"), class_.alias("class"), digest.alias("digest"), F.substring(digest, 1, 2).alias("bin"))
+    digest = F.md5(F.coalesce(column["doc_id"].cast("string"), F.concat(F.lit("text "), F.md5(F.coalesce(column["text"], F.lit(""))))))
+    sized = counted.select(*column.values(), "size", _source_key(column["source"]).alias("key"), class_.alias("class"), digest.alias("digest"), F.substring(digest, 1, 2).alias("bin"))
 
     cells = materialize(sized.groupBy("key", "class", "bin").agg(F.count("*").alias("n"), F.sum("size").alias("words")), "cells")
     along = Window.partitionBy("key").orderBy("class", "bin")  # a source has some 300,000 cells at most, however many its rows
@@ -110,13 +111,13 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5,
     goals = placed_cells.join(goal, "key").select("key", "class", "bin", "start", "source_size", "target")
 
     placed = sized.join(goals, ["key", "class", "bin"])
-    in_cell = Window.partitionBy("key", "class", "bin").orderBy("size", "digest", "row.doc_id")
+    in_cell = Window.partitionBy("key", "class", "bin").orderBy(F.col("size"), F.col("digest"), column["doc_id"])
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("key"))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
     placed = placed.withColumns({"place": F.row_number().over(in_cell) + F.col("start"), "rate": rate, "offset": offset})
     copies = F.floor(F.col("place") * F.col("rate") + F.col("offset")) - F.floor((F.col("place") - 1) * F.col("rate") + F.col("offset"))
     made = dict(zip(added, (F.col("size"), F.col("source_size"), F.col("target"), copies.cast("long"))))
-    return placed.select(*[F.col("row")[c].alias(c) for c in own], *[c.alias(name) for name, c in made.items()])
+    return placed.select(*back, *[c.alias(name) for name, c in made.items()])
 
 
 def take(docs: DataFrame, **options) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quarrylane.scratch import materialize, shared_dir
 
-__all__ = ["LOWER", "SPACES", "MOST_BROADCAST", "UPPER", "bounded_sample", "broadcast_if_small", "crc_mod", "let", "materialize", "shared_dir", "table", "words"]
+__all__ = ["LOWER", "SPACES", "MOST_BROADCAST", "UPPER", "bounded_sample", "broadcast_if_small", "carried", "crc_mod", "let", "materialize", "shared_dir", "table", "words"]
 
 #: The six characters that end a word: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = " \t\n\x0b\x0c\r"
@@ -26,6 +26,16 @@ def broadcast_if_small(df: DataFrame, row_bytes: Column, most: int | None = None
     return F.broadcast(df) if (df.agg(F.sum(row_bytes)).first()[0] or 0) <= most else df
 
 
+def carried(names: list[str]) -> tuple[list[Column], dict[str, Column], list[Column]]:
+    """(columns under numbers, by name, back under their names): a caller's columns under names that none of an operator's own can clash with.
+
+    They stay columns of their own, so that those nobody asks for are still left out of scans and shuffles.
+    """
+    own = [f"column {k}" for k in range(len(names))]
+    away = [F.col(f"`{c}`").alias(k) for c, k in zip(names, own)]
+    return away, {c: F.col(f"`{k}`") for c, k in zip(names, own)}, [F.col(f"`{k}`").alias(c) for c, k in zip(names, own)]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

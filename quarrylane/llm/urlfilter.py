@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .text import LOWER, UPPER, broadcast_if_small, materialize, table
+from .text import LOWER, UPPER, broadcast_if_small, carried, materialize, table
 
 #: (action, host, path), as the contract states them.
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -57,7 +57,8 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     shapes = ruled.select("labels", "path_len").distinct().limit(MOST_SHAPES + 1).collect()
     known = len(shapes) <= MOST_SHAPES  # else a url's suffixes are looked up first, and expand to the path lengths of their own rules
     labels, lengths = sorted({r[0] for r in shapes}), sorted({r[1] for r in shapes})
-    split = pages.select(F.struct(*own).alias("row"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    away, _, back = carried(own)
+    split = pages.select(*away, host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     head = F.substring("path", 1, max(lengths, default=0)) if known else F.col("path")
     judged = split.select("host", head.alias("head")).distinct()
 
@@ -77,7 +78,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     # a row for each host and path that a rule fits; small, it goes to the urls, so that a popular host stays spread
     found = broadcast_if_small(best, 128 + F.octet_length("host") + F.octet_length("head") + F.octet_length("best.rule"))
     named = split.withColumn("head", head).join(found, ["host", "head"], "left")
-    return named.select(*[F.col("row")[c].alias(c) for c in own], "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"))
+    return named.select(*back, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"))
 
 
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents of Jaccard similarity 0.8 or more over five-word shingles one row stays: the smallest doc_id, null last, then the smallest hash of the text and of the whole row."""
+    """Of each group of documents of Jaccard similarity 0.8 or more over five-word shingles one row stays: the smallest doc_id, null last, then the smallest hash of the text and of the whole row.
+
+    Groups are found by SimHash with a pivot distance table, and counted exactly after that; see simhash.similar.
+    """
     rows = docs.select(F.struct("*").alias("row"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), F.xxhash64(*docs.columns).alias("whole"))
     named = rows.select(F.col("row.doc_id").alias("doc_id"), F.col("h").alias("text_hash"), "whole").join(simhash.similar(docs), F.col("text_hash") == F.col("h"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h", "whole")).alias("first")

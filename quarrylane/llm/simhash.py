@@ -15,10 +15,11 @@ which any two of its fingerprints meet, over many tasks. What leaves a task is a
 spanning forest of its links, never its pairs.
 
 A few bits reach copies that are nearly exact only: at Jaccard similarity 0.8
-fingerprints differ in 10 of 64 bits on average, and no bands of bits have that
-radius at a bearable number of keys. `similar` therefore takes candidates from
-bands of minima of shingle hashes, discards those far apart in fingerprint, and
-counts the shared shingles of the rest.
+fingerprints differ in 10 of 64 bits on average, and no choice of bands of 64 bits
+has that radius at a bearable number of keys. `similar` goes the same way with a
+wider SimHash, whose first word is the fingerprint: texts that agree on one of
+its bands meet in a bucket, pairs too far apart in the pivot distance table go,
+the bits verify the others, and the shared shingles of what is left are counted.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .text import materialize, table
+from .text import broadcast_if_small, materialize, table
 
 MOST_BITS = 4
 SHINGLE_WORDS = 4
@@ -42,14 +43,19 @@ MOST_IN_BUCKET = 8192
 #: Shingles hashed, and pairs looked at, at once.
 BLOCK = 1 << 16
 
-# similar(): a pair of similarity 0.8 shares a band with probability 1 - (1 - 0.8^5)^20 = 0.9996.
+# similar(): a bit differs with probability 0.16 at similarity 0.8, 0.19 for texts of five shingles.
 SIMILAR_WORDS = 5
 SIMILARITY = 0.8
-MINIMA_BANDS, MINIMA_ROWS = 20, 5
-#: Bits beyond which candidates are discarded; similarity 0.8 has 9.7 on average, with a deviation of 2.9.
+#: (texts at most, bits of a band, bands): the bands fill whole words, and a pair of similarity 0.8 shares one with a probability over 0.9996, 0.996 for texts of five shingles.
+BANDS = ((1 << 24, 12, 64), (1 << 27, 14, 96), (1 << 63, 16, 144))
+SIMILAR_PIVOTS = 8
+#: Bits of the fingerprint beyond which candidates are discarded; similarity 0.8 has 9.7 on average, with a deviation of 2.9.
 CANDIDATE_BITS = 24
-#: Shingles in a tile of a bucket.
+#: The same over as many words as verify; similarity 0.8 has 41 bits at most on average, with a deviation of 5.9.
+VERIFY_WORDS, VERIFY_BITS = 4, 72
+#: Shingles in a tile of a group; components of candidates up to that are dealt as tiles of a 64th, larger ones by their buckets.
 MOST_IN_TILE = 1 << 21
+TILES_OF_COMPONENT = 64
 
 
 def pivots(n: int = PIVOTS) -> np.ndarray:
@@ -239,36 +245,113 @@ def shingles(text: str | None, shingle_words: int = SIMILAR_WORDS) -> np.ndarray
     return np.unique(h)
 
 
-def _minima(h: np.ndarray) -> np.ndarray:
-    """A hash of each band of minima of the shingles under MINIMA_BANDS * MINIMA_ROWS orders."""
-    n = MINIMA_BANDS * MINIMA_ROWS
-    at = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)
-    times, plus = (at ^ (at >> np.uint64(31))) | np.uint64(1), at * np.uint64(0x94D049BB133111EB)
-    least = np.full(n, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for k in range(0, len(h), 4096):
-        x = h[None, k : k + 4096] * times[:, None] + plus[:, None]
+def _wide(h: np.ndarray, words: int) -> np.ndarray:
+    """The SimHash of distinct shingle hashes in that many words; the first is of the hashes themselves, the others of the hashes mixed anew."""
+    times = (np.arange(words, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
+    counts = np.zeros(64 * words, dtype=np.int64)
+    for at in range(0, len(h), 255):  # so many are counted in bytes
+        x = h[at : at + 255, None] * times
         x ^= x >> np.uint64(32)
-        least = np.minimum(least, (x * np.uint64(0xBF58476D1CE4E5B9)).min(axis=1))
-    rows = least.reshape(MINIMA_BANDS, MINIMA_ROWS)
-    return np.array([xxhash.xxh64_intdigest(r.tobytes(), b) for b, r in enumerate(rows)], dtype=np.uint64)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(29)
+        x[:, 0] = h[at : at + 255]
+        bits = np.unpackbits(x.astype("<u8", copy=False).view(np.uint8), axis=1, bitorder="little")
+        counts += bits.sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * counts > len(h), bitorder="little").view("<u8")
 
 
-def _bits_of(h: np.ndarray) -> int:
-    """The SimHash of distinct shingle hashes."""
-    counts = np.zeros(64, dtype=np.int64)
-    for at in range(0, len(h), BLOCK):
-        counts += np.unpackbits(h[at : at + BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(h), bitorder="little").view("<u8")[0])
+def _band_keys(words: Column, bits: int, bands: int) -> Column:
+    """array<long>: for each band its number and its bits."""
+    keys = []
+    for band in range(bands):
+        at, off = divmod(band * bits, 64)
+        value = F.shiftrightunsigned(words[at], off)
+        if off + bits > 64:
+            value = value.bitwiseOR(F.shiftleft(words[at + 1], 64 - off))
+        keys.append(value.bitwiseAND(F.lit((1 << bits) - 1)) + F.lit(band << bits))
+    return F.array(*keys)
+
+
+def _candidates(words: np.ndarray, coordinates: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of a bucket, given by first coordinate, that neither the pivots nor the bits tell to be far apart."""
+    found_i, found_j = [], []
+    first, ones = words[:, 0], np.uint64(0x0101010101010101)
+    step = max(1, BLOCK // len(words))
+    for at in range(0, len(words), step):
+        stop = min(at + step, len(words))
+        to = int(np.searchsorted(coordinates[:, 0], int(coordinates[stop - 1, 0]) + CANDIDATE_BITS, "right"))
+        near = (np.abs(coordinates[at:stop, None] - coordinates[None, at:to]) <= CANDIDATE_BITS).view(np.uint64)[..., 0] == ones
+        near &= np.bitwise_count(first[at:stop, None] ^ first[None, at:to]) <= CANDIDATE_BITS
+        i, j = np.nonzero(near)
+        i, j = i[i < j] + at, j[i < j] + at
+        verified = np.bitwise_count(words[i] ^ words[j]).sum(axis=1, dtype=np.int64) <= VERIFY_BITS
+        found_i.append(i[verified])
+        found_j.append(j[verified])
+    return np.concatenate(found_i), np.concatenate(found_j)
+
+
+def _near_groups(pivot_table: DataFrame, bits: int, bands: int, most_in_bucket: int) -> DataFrame:
+    """(key, root, node): of each bucket of pivot_table (node, words, p0) the groups that candidate pairs connect, each under one of its nodes."""
+    verifying = [f"w{k}" for k in range(VERIFY_WORDS)]
+    of_words = [F.col("words")[k].alias(w) for k, w in enumerate(verifying)]
+    key = F.explode(_band_keys(F.col("words"), bits, bands)).alias("key")
+    crowded = materialize(pivot_table.select(key).groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > most_in_bucket), "crowded")
+    keyed = pivot_table.select(key, "node", *of_words, "p0")
+    if not crowded.isEmpty():
+        parts = F.ceil(F.col("n") / most_in_bucket).cast("int")
+        own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+        dealt = keyed.join(broadcast_if_small(crowded, F.lit(16)), "key", "left").withColumn("parts", parts).withColumn("own", own)
+        others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: p != F.col("own"))
+        tiles = F.transform(others, lambda p: F.xxhash64("key", F.least(p, F.col("own")), F.greatest(p, F.col("own"))))
+        keyed = dealt.select(F.explode(F.when(F.col("parts").isNull(), F.array("key")).otherwise(tiles)).alias("key"), "node", *verifying, "p0")
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+
+        def flush(last: bool):
+            """Groups of all buckets that are complete."""
+            nonlocal held
+            if not held:
+                return
+            rows = pa.Table.from_batches(held)
+            key, node = rows["key"].to_numpy(), rows["node"].to_numpy()
+            cut = len(key) if last else int(np.searchsorted(key, key[-1], "left"))
+            held = [] if last else rows.slice(cut).combine_chunks().to_batches()
+            words = np.stack([rows[w].to_numpy()[:cut] for w in verifying], axis=1).view(np.uint64)
+            coordinates = np.ascontiguousarray(rows["p0"].to_numpy()[:cut]).view(np.int8).reshape(-1, 8)
+            edges = np.concatenate((np.flatnonzero(np.concatenate(([True], key[1:cut] != key[: cut - 1]))), [cut])) if cut else np.zeros(1, dtype=np.int64)
+            a, b = [], []
+            for at, stop in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                if stop - at > 1:
+                    i, j = _candidates(words[at:stop], coordinates[at:stop])
+                    if len(i):
+                        a.append(i + at)
+                        b.append(j + at)
+            if a:
+                row, root = _forest(np.concatenate(a), np.concatenate(b))
+                roots = np.unique(root)
+                row, root = np.concatenate((row, roots)), np.concatenate((root, roots))
+                yield pa.RecordBatch.from_arrays([pa.array(key[row]), pa.array(node[root]), pa.array(node[row])], names=["key", "root", "node"])
+
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= BLOCK:
+                yield from flush(False)
+        yield from flush(True)
+
+    first = F.col("p0").bitwiseAND(F.lit(255))
+    return keyed.repartition("key").sortWithinPartitions("key", first).mapInArrow(run, "key long, root long, node long")
 
 
-def _similar_within(nodes: np.ndarray, fp: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect all rows of a bucket whose sets have this Jaccard similarity; pairs connected already aren't looked at."""
+def _similar_within(nodes: np.ndarray, words: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect all rows of a tile whose sets have this Jaccard similarity; pairs far apart in bits and pairs connected already aren't looked at."""
     sizes = np.array([len(s) for s in sets])
     root = np.arange(len(nodes))
     a, b = [], []
     for i in range(1, len(nodes)):
         small, large = np.minimum(sizes[:i], sizes[i]), np.maximum(sizes[:i], sizes[i])
-        open_ = np.flatnonzero((nodes[:i] != nodes[i]) & (small >= similarity * large) & (np.bitwise_count(fp[:i] ^ fp[i]) <= CANDIDATE_BITS))
+        apart = np.bitwise_count(words[:i] ^ words[i]).sum(axis=1, dtype=np.int64)
+        open_ = np.flatnonzero((nodes[:i] != nodes[i]) & (small >= similarity * large) & (apart <= VERIFY_BITS))
         while len(open_):
             j = open_[0]
             both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
@@ -280,41 +363,55 @@ def _similar_within(nodes: np.ndarray, fp: np.ndarray, sets: list[np.ndarray], s
     return np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
 
 
-def similar(docs: DataFrame, shingle_words: int = SIMILAR_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+def similar(docs: DataFrame, shingle_words: int = SIMILAR_WORDS, similarity: float = SIMILARITY, most_in_bucket: int = MOST_IN_BUCKET, most_in_tile: int = MOST_IN_TILE) -> DataFrame:
     """(h, component), one row for each distinct text of docs (text): h is xxhash64 of the text, null as ''.
 
     Texts have one component if they are reached by links between texts whose sets of shingles have at
-    least this Jaccard similarity; texts of equal shingle sets have it, wordless ones too. Links are found
-    with the probability of a shared band of minima, counted exactly, and never wrong.
+    least this Jaccard similarity (bands and bits are set for 0.8 or more); texts of equal shingle sets
+    have it, wordless ones too. Links are found with the probability of a shared band of the wide SimHash
+    (see BANDS), counted exactly, and never wrong.
     """
+    n_texts = docs.count()
+    bits, bands = next((bits, bands) for most, bits, bands in BANDS if n_texts <= most)
+    n_words = bits * bands // 64
     texts = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), "text")
     as_long = lambda values: pa.array(np.array(values, dtype=np.uint64).view(np.int64))
     each = lambda column: (t for at in range(0, len(column), 256) for t in column.slice(at, 256).to_pylist())
 
     def sketch(batches):
         for batch in batches:
-            nodes, fps, sizes, bands = [], [], [], []
+            nodes, sizes, words = [], [], []
             for t in each(batch.column(1)):
                 s = shingles(t, shingle_words)
                 nodes.append(xxhash.xxh64_intdigest(s.tobytes(), SEED))
                 sizes.append(len(s))
-                fps.append(_bits_of(s) if len(s) else 0)
-                bands.append(_minima(s) if len(s) else np.zeros(0, dtype=np.uint64))
-            ends = np.cumsum([0, *map(len, bands)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), as_long(np.concatenate(bands) if bands else []))
-            yield pa.RecordBatch.from_arrays([batch.column(0), as_long(nodes), as_long(fps), pa.array(sizes, pa.int64()), lists], names=["h", "node", "fp", "n", "bands"])
-
-    prints = materialize(texts.mapInArrow(sketch, "h long, node long, fp long, n long, bands array<long>"), "sketches")
-    distinct = prints.groupBy("node").agg(F.min(F.struct("h", "n", "fp", "bands")).alias("p")).select("node", "p.*")
-    keyed = distinct.select("node", "h", "n", "fp", F.explode("bands").alias("key"))
-    members = [F.count("*").alias("k"), F.sum("n").alias("total"), F.min("node").alias("low"), F.max("node").alias("high"), F.bit_xor(F.xxhash64("node")).alias("x")]
+                words.append(_wide(s, n_words))
+            ends = np.arange(len(words) + 1, dtype=np.int32) * n_words
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), as_long(np.concatenate(words) if words else []))
+            yield pa.RecordBatch.from_arrays([batch.column(0), as_long(nodes), pa.array(sizes, pa.int64()), lists], names=["h", "node", "n", "words"])
+
+    prints = materialize(texts.mapInArrow(sketch, "h long, node long, n long, words array<long>"), "sketches")
+    distinct = prints.filter("n > 0").groupBy("node").agg(F.min(F.struct("h", "n", "words")).alias("p")).select("node", "p.*")
+    pivot_table = materialize(distinct.select("*", *pivot_columns(F.col("words")[0], SIMILAR_PIVOTS)), "pivot-table")
+    near = materialize(_near_groups(pivot_table, bits, bands, most_in_bucket), "near")
+
+    # A component of candidates has its sets once, or once a tile; a large one has them in each of its buckets, so that not all of it meets all of it.
+    candidates = materialize(components(near.select(F.col("node").alias("a"), F.col("root").alias("b"))), "candidates")
+    sized = candidates.join(pivot_table.select("node", "h", "n", F.slice("words", 1, VERIFY_WORDS).alias("words")), "node")
+    totals = sized.groupBy("component").agg(F.sum("n").alias("whole"))
+    large = F.col("whole") > most_in_tile
+    joined = sized.join(totals, "component")
+    by_group = joined.filter(large).join(near, "node").withColumn("key", F.xxhash64("key", "root"))
+    columns = ["key", "node", "h", "n", "words", F.when(large, most_in_tile).otherwise(F.ceil(F.lit(most_in_tile) / TILES_OF_COMPONENT)).cast("long").alias("most")]
+    keyed = materialize(joined.filter(~large).withColumn("key", F.col("component")).select(columns).union(by_group.select(columns)), "groups")
+    members = [F.count("*").alias("k"), F.sum("n").alias("total"), F.min("node").alias("low"), F.max("node").alias("high"), F.bit_xor(F.xxhash64("node")).alias("x"), F.min("most").alias("most")]
     buckets = keyed.groupBy("key").agg(*members).filter("k > 1")
-    once = materialize(buckets.groupBy("k", "total", "low", "high", "x").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("total") / MOST_IN_TILE).cast("int").alias("parts")), "buckets")
+    once = materialize(buckets.groupBy("k", "total", "low", "high", "x", "most").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("total") / F.col("most")).cast("int").alias("parts")), "buckets")
     own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     dealt = keyed.join(once, "key").withColumn("own", own)
     others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: (p != F.col("own")) | (F.col("parts") == 1))
     tile = F.explode(F.transform(others, lambda p: F.xxhash64("key", F.least(p, F.col("own")), F.greatest(p, F.col("own")))))
-    tiled = materialize(dealt.select("node", "h", "fp", tile.alias("key")), "tiles")
+    tiled = materialize(dealt.select("node", "h", "words", tile.alias("key")), "tiles")
 
     def spell(batches):
         for batch in batches:
@@ -327,25 +424,25 @@ def similar(docs: DataFrame, shingle_words: int = SIMILAR_WORDS, similarity: flo
     sets = materialize(chosen.mapInArrow(spell, "h long, shingles binary").dropDuplicates(["h"]), "shingles")
 
     def run(batches):
-        held_key, nodes, fps, held = None, [], [], []
+        held_key, nodes, words, held = None, [], [], []
 
         def links_of():
-            a, b = _similar_within(np.array(nodes, dtype=np.int64), np.array(fps, dtype=np.int64).view(np.uint64), held, similarity)
+            a, b = _similar_within(np.array(nodes, dtype=np.int64), np.array(words, dtype=np.int64).view(np.uint64), held, similarity)
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         for batch in batches:
-            for key, node, fp, s in zip(*(batch.column(c).to_pylist() for c in ("key", "node", "fp", "shingles"))):
+            for key, node, w, s in zip(*(batch.column(c).to_pylist() for c in ("key", "node", "words", "shingles"))):
                 if key != held_key:
                     if len(held) > 1:
                         yield links_of()
-                    held_key, nodes, fps, held = key, [], [], []
+                    held_key, nodes, words, held = key, [], [], []
                 nodes.append(node)
-                fps.append(fp)
+                words.append(w)
                 held.append(np.frombuffer(s, dtype=np.uint64))
         if len(held) > 1:
             yield links_of()
 
-    linked = tiled.join(sets, "h").select("key", "node", "fp", "shingles").repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+    linked = tiled.join(sets, "h").select("key", "node", "words", "shingles").repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
     found = materialize(components(linked), "components")
     named = prints.select("h", "node").distinct().join(found, "node", "left")
     return named.select("h", F.coalesce("component", "node").alias("component"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 import random
 from collections import Counter
 
+import numpy as np
+
 import corpus_pipeline
 from quarrylane.llm import pieces, quality, simhash
 
@@ -101,3 +103,48 @@ def test_near_dedup_of_null_and_repeated_ids(spark, tmp_path):
     docs = spark.createDataFrame([(i, t, str(k)) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string")
     got = [(r["doc_id"], r["text"] or "") for r in corpus_pipeline.near_dedup(spark, docs, "").collect()]
     assert Counter(got) == Counter([(None, a), (None, b), (7, c), (7, d), (None, "")])
+
+
+def test_similar_takes_its_candidates_from_fingerprints_and_pivots():
+    rng = np.random.default_rng(3)
+    base = simhash.shingles(" ".join(f"b{i}" for i in range(300)))
+    sets = [np.unique(np.concatenate((base[rng.random(len(base)) < keep], rng.integers(1 << 63, size=20, dtype=np.uint64)))) for keep in rng.uniform(0.2, 1, 120)]
+    words = np.stack([simhash._wide(s, 12) for s in sets])
+    for s, w in zip(sets, words[:, 0].tolist()):
+        assert w == sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in s.tolist()) > len(s))
+    pivots = simhash.pivots(simhash.SIMILAR_PIVOTS).tolist()
+    table = np.array([[(w ^ p).bit_count() for p in pivots] for w in words[:, 0].tolist()], dtype=np.int8)
+    order = np.argsort(table[:, 0], kind="stable")
+    words, table = words[order, : simhash.VERIFY_WORDS], table[order]
+    bits = lambda x, y: sum((a ^ b).bit_count() for a, b in zip(x, y))
+    rows = words.tolist()
+    want = {(i, j) for i in range(120) for j in range(i + 1, 120) if (rows[i][0] ^ rows[j][0]).bit_count() <= simhash.CANDIDATE_BITS and bits(rows[i], rows[j]) <= simhash.VERIFY_BITS}
+    assert 500 < len(want) < 6000
+    assert {*zip(*(x.tolist() for x in simhash._candidates(words, table)))} == want
+    far = np.zeros_like(table)
+    far[60:, 5] = simhash.CANDIDATE_BITS + 1  # a table by which the halves are far apart
+    assert {*zip(*(x.tolist() for x in simhash._candidates(words, far)))} == {(i, j) for i, j in want if (i < 60) == (j < 60)}
+
+
+def test_similar_in_crowded_buckets_and_small_tiles(spark):
+    rng = random.Random(8)
+    texts = []
+    for g in range(12):
+        base = [f"g{g}w{i}" for i in range(rng.choice((12, 40, 150)))]
+        for _ in range(15):
+            text = list(base)
+            for at in rng.sample(range(len(text)), rng.randint(0, max(1, len(text) // 40))):
+                text[at] = rng.choice("xyz")
+            texts.append(" ".join(text))
+    texts = sorted({*texts})
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    root = [*range(len(texts))]
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if len(x & y) >= 0.8 * len(x | y) and root[i] != root[j]:
+                root = [root[j] if r == root[i] else r for r in root]
+    named = spark.createDataFrame([(t, r) for t, r in zip(texts, root)], "text string, root int").selectExpr("xxhash64(text) h", "root").collect()
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    for most_in_bucket, most_in_tile in ((simhash.MOST_IN_BUCKET, simhash.MOST_IN_TILE), (3, 400), (simhash.MOST_IN_BUCKET, 64 * 200)):
+        got = {r["h"]: r["component"] for r in simhash.similar(docs, most_in_bucket=most_in_bucket, most_in_tile=most_in_tile).collect()}
+        assert len({(got[r["h"]], r["root"]) for r in named}) == len({*got.values()}) == len({*root})
